@@ -1,0 +1,83 @@
+"""Runs of near-identical consecutive events as regex matches over symbol strings."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from trackloom.functions.geo import great_circle_m
+
+#: First code point and number of code points of the symbols; none of them is a line end.
+SYMBOL_BASE, SYMBOLS = 0x4E00, 20_000
+#: Islands of one session that share a string.
+ISLANDS_PER_STRING = 20_000
+
+
+def _spans(least: int):
+    pattern = re.compile(r"(.)\1{%d,}" % (least - 1), re.S)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            agents, starts, symbols = (b.column(i).to_pylist() for i in range(3))
+            times, offsets = b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            row, first, last = [], [], []
+            for i, text in enumerate(symbols):
+                for m in pattern.finditer(text):
+                    row.append(i)
+                    first.append(offsets[i] + m.start())
+                    last.append(offsets[i] + m.end() - 1)
+            row, first, last = (np.asarray(x, dtype=np.int64) for x in (row, first, last))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([agents[i] for i in row], pa.string()), pa.array([starts[i] for i in row], pa.int64()), pa.array(times[first], pa.int64()), pa.array(times[last], pa.int64()), pa.array(last - first + 1, pa.int64())],
+                names=["agent_id", "session_s", "start_s", "end_s", "n_events"],
+            )
+
+    return run
+
+
+def position_runs(sessions: DataFrame, near_m: float = 5.0, least: int = 3) -> DataFrame:
+    """agent_id, session_s, start_s, end_s, n_events, duration_s of each run.
+
+    ``sessions`` has agent_id, start_s, s, lng, lat, one row an event.  Located
+    events of a session are canonicalised: an event at most ``near_m`` from the
+    one before it keeps that one's symbol, any other takes the next code point.
+    The symbols of a session are concatenated, the backreference ``(.)\\1+``
+    finds the repetitions and the spans are mapped back to times.  Neighbouring
+    groups always differ in their symbol, so a match is exactly one maximal run.
+    A session's string is cut only between such groups, which can't cut a run.
+    Events without a position are passed over; a run shorter than ``least``
+    isn't reported; an empty table gives no rows.
+    """
+    w = Window.partitionBy("agent_id", "start_s").orderBy("s")
+    here = sessions.where("lng is not null and lat is not null").select("agent_id", "start_s", "s", "lng", "lat").repartition("agent_id", "start_s")
+    far = F.coalesce(great_circle_m(F.lag("lng").over(w), F.lag("lat").over(w), F.col("lng"), F.col("lat")) > near_m, F.lit(True))
+    islands = here.withColumn("_new", far.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    symbol = F.decode(F.encode(F.expr(f"decode(unhex(lpad(hex({SYMBOL_BASE} + pmod(_island, {SYMBOLS})), 4, '0')), 'UTF-16BE')"), "UTF-8"), "UTF-8")
+    packed = (
+        islands.select("agent_id", "start_s", F.floor(F.col("_island") / ISLANDS_PER_STRING).alias("_block"), F.struct("s", symbol.alias("c")).alias("e"))
+        .groupBy("agent_id", "start_s", "_block")
+        .agg(F.sort_array(F.collect_list("e")).alias("e"))
+        .select("agent_id", "start_s", F.concat_ws("", F.col("e.c")).alias("symbols"), F.col("e.s").alias("times"))
+    )
+    found = packed.mapInArrow(_spans(least), "agent_id string, session_s bigint, start_s bigint, end_s bigint, n_events bigint")
+    return found.withColumn("duration_s", F.col("end_s") - F.col("start_s"))
+
+
+def collapse(df: DataFrame, keys: list[str], order: list[str], value: list[str]) -> DataFrame:
+    """Runs of equal consecutive ``value``: keys, value, n, first and last of order[0].
+
+    Null values equal each other.  All of ``order`` breaks ties; rows that tie in
+    all of it are taken in an arbitrary order.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    v = F.struct(*value)
+    changed = F.when(F.lag(F.lit(1)).over(w).isNull() | ~F.lag(v).over(w).eqNullSafe(v), 1).otherwise(0)
+    run = df.withColumn("_c", changed).withColumn("_run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*keys, *value, "_run").agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at")).drop("_run")
