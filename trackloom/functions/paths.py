@@ -57,6 +57,10 @@ def impossible(lng: np.ndarray, lat: np.ndarray) -> np.ndarray:
         return (np.abs(lng) > 180) | (np.abs(lat) > 90) | ~np.isfinite(lng) | ~np.isfinite(lat) | ((lng == 0) & (lat == 0))
 
 
+def _running_median(v: np.ndarray, half: int) -> np.ndarray:
+    return np.sort(np.lib.stride_tricks.sliding_window_view(v, 2 * half + 1), axis=1)[:, half]
+
+
 def step_counts(t: np.ndarray, lng: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """Counters of a session's steps: speed bins, kinds of steps, bins of jitter."""
     out = np.zeros(LENGTH_BINS + BINS, dtype=np.int64)
@@ -71,9 +75,8 @@ def step_counts(t: np.ndarray, lng: np.ndarray, lat: np.ndarray) -> np.ndarray:
         least = np.minimum(d[1:], d[:-1])
         spiky[1:-1] = (np.hypot(x[2:] - x[:-2], y[2:] - y[:-2]) < 0.3 * least) & (least > 100)
     if len(t) >= 2 * HALF + 1:
-        around = lambda v: np.median(np.lib.stride_tricks.sliding_window_view(v, 2 * HALF + 1), axis=1)
-        usual = np.median(np.lib.stride_tricks.sliding_window_view(d, 2 * HALF), axis=1)
-        spiky[HALF:-HALF] |= np.hypot(x[HALF:-HALF] - around(x), y[HALF:-HALF] - around(y)) > 2 * HALF * usual + 60
+        usual = _running_median(d, HALF - 1)[:-1]
+        spiky[HALF:-HALF] |= np.hypot(x[HALF:-HALF] - _running_median(x, HALF), y[HALF:-HALF] - _running_median(y, HALF)) > 2 * HALF * usual[: len(t) - 2 * HALF] + 60
     calm = ~(spiky[1:] | spiky[:-1])
     zero, small = d == 0, d < JITTER_M
     move = calm & (d >= MOVE_M) | calm & (d >= LEAST_MOVE_M) & (d / dt > 1.0)
@@ -248,8 +251,7 @@ def stays(t: np.ndarray, x: np.ndarray, y: np.ndarray, h: Habits, least_s: int =
             continue
         px, py, s = x[a : b + 1], y[a : b + 1], t[a : b + 1]
         m = len(s)
-        # seconds spent around each event, in order: first and last neighbour by doubling windows
-        core = _densest(s, px, py, reach)
+        core = _densest(s, px, py, reach, max(1, least_s // 3))
         i, j = core
         for _ in range(3):
             cx, cy = np.median(px[i : j + 1]), np.median(py[i : j + 1])
@@ -280,27 +282,32 @@ def stays(t: np.ndarray, x: np.ndarray, y: np.ndarray, h: Habits, least_s: int =
     return sorted(out)
 
 
-def _densest(s: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float) -> tuple[int, int]:
-    """The longest time an event's neighbours cover, as their first and last place."""
+def _densest(s: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float, every_s: int) -> tuple[int, int]:
+    """The longest time an event's unbroken neighbours cover, as their first and last place.
+
+    One event in ``every_s`` seconds is looked at, so none of the clusters asked
+    for, which last three times as long, is passed over.
+    """
     n = len(s)
-    fwd, alive = np.arange(n), np.ones(n, dtype=bool)
-    for k in range(1, n):
-        i = np.flatnonzero(alive[: n - k])
-        if not len(i):
-            break
-        ok = np.hypot(x[i + k] - x[i], y[i + k] - y[i]) <= reach
-        fwd[i[ok]] = i[ok] + k
-        alive[i[~ok]] = False
-    bwd, alive = np.arange(n), np.ones(n, dtype=bool)
-    for k in range(1, n):
-        i = np.flatnonzero(alive[k:]) + k
-        if not len(i):
-            break
-        ok = np.hypot(x[i - k] - x[i], y[i - k] - y[i]) <= reach
-        bwd[i[ok]] = i[ok] - k
-        alive[i[~ok]] = False
-    k = int(np.argmax(s[fwd] - s[bwd]))
-    return int(bwd[k]), int(fwd[k])
+    seeds = np.flatnonzero(np.concatenate([[True], np.diff(s // every_s) != 0]))
+    best, found = -1, (0, 0)
+    for c in range(0, len(seeds), 16):
+        k = seeds[c : c + 16]
+        wide = 256
+        while True:
+            lo, hi = max(0, int(k[0]) - wide), min(n, int(k[-1]) + wide + 1)
+            col = np.arange(lo, hi)
+            far = np.hypot(x[lo:hi] - x[k][:, None], y[lo:hi] - y[k][:, None]) > reach
+            last = np.where(far & (col > k[:, None]), col, hi).min(axis=1) - 1
+            first = np.where(far & (col < k[:, None]), col, lo - 1).max(axis=1) + 1
+            if (lo == 0 or (first > lo).all()) and (hi == n or (last < hi - 1).all()):
+                break
+            wide *= 4
+        spent = s[last] - s[first]
+        m = int(np.argmax(spent))
+        if spent[m] > best:
+            best, found = spent[m], (int(first[m]), int(last[m]))
+    return found
 
 
 def _drifts(s: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float) -> bool:

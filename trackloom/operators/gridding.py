@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geo import great_circle_m
-from trackloom.operators.pings import SESSION_GAP_S, with_sessions
 
 
 def increments(readings: DataFrame, keys: list[str], at: str, value: str, step: int, monotone: bool = True) -> DataFrame:
@@ -37,8 +36,8 @@ def overlap(c: Column, step: int, t1: Column, t2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(c + step, t2) - F.greatest(c, t1)).cast("double")
 
 
-def session_grid(ev: DataFrame, step: int = 300, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """One row per agent and ``step`` seconds of each session.
+def session_grid(s: DataFrame, step: int = 300) -> DataFrame:
+    """One row per agent and ``step`` seconds of each session of ``session_events``.
 
     agent_id, start_s, period_s, lng, lat, moved_m, n_located, covered.  The
     coordinates and the travelled distance are treated as counters that run on
@@ -49,7 +48,6 @@ def session_grid(ev: DataFrame, step: int = 300, gap_s: int = SESSION_GAP_S) ->
     before a session's first and after its last position lng and lat stay null.
     moved_m is null where no interval between positions touches the period.
     """
-    s = with_sessions(ev, gap_s).select("agent_id", "start_s", "s", "lng", "lat").repartition("agent_id", "start_s")
     w = Window.partitionBy("agent_id", "start_s").orderBy("s")
     # unlocated events only matter as ends of the session; the rest is dropped before the second sort
     ends = Window.partitionBy("agent_id", "start_s")

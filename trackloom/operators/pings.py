@@ -1,17 +1,18 @@
 """From raw location rows to events and sessions.
 
 An agent has at most one event a second, so a group keyed by agent and UTC day
-never holds more than 86,400 events, however much of the input one agent sends.
-All ordered work below is keyed that way; what crosses a day boundary travels in
-one summary row per agent and day.
+never holds more than 86,400 events, and one keyed by session no more than the
+session has seconds, however much of the input one agent sends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.timeparse import clean_key, epoch_seconds
+from trackloom.plans.joins import fits
+from trackloom.plans.stage import staged
 
 DAY_S = 86_400
 SESSION_GAP_S = 1_800
@@ -27,13 +28,13 @@ def usable_pings(raw: DataFrame) -> DataFrame:
     """
     number = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
     located = number("lng").isNotNull() & number("lat").isNotNull()
-    return raw.select(
-        F.col("ping_id").cast("bigint").alias("ping_id"),
-        clean_key(F.col("agent_id").cast("string")).alias("agent_id"),
-        epoch_seconds(F.col("time").cast("string")).alias("s"),
-        F.when(located, F.col("lng").cast("double")).alias("lng"),
-        F.when(located, F.col("lat").cast("double")).alias("lat"),
-    ).where("agent_id is not null and s is not null")
+    # a generated column keeps the filter above it, so the texts are read only once
+    key = F.struct(clean_key(F.col("agent_id").cast("string")).alias("agent_id"), epoch_seconds(F.col("time").cast("string")).alias("s"))
+    return (
+        raw.select(F.col("ping_id").cast("bigint").alias("ping_id"), F.explode(F.array(key)).alias("k"), F.when(located, F.col("lng").cast("double")).alias("lng"), F.when(located, F.col("lat").cast("double")).alias("lat"))
+        .where("k.agent_id is not null and k.s is not null")
+        .select("ping_id", "k.agent_id", "k.s", "lng", "lat")
+    )
 
 
 def events(pings: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -50,22 +51,41 @@ def events(pings: DataFrame, keep_ids: bool = False) -> DataFrame:
     return p.groupBy("agent_id", "day", "s").agg(at, *more).select(*cols)
 
 
-def with_sessions(ev: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """Adds start_s, the first second of the event's session.
+def session_blocks(seconds: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
+    """agent_id, block, start_s: the session that holds an agent's block of ``gap_s`` seconds.
 
-    A session ends where the next event comes more than ``gap_s`` later; exactly
-    ``gap_s`` doesn't split.  Within an agent's day a window finds the starts;
-    the last start of earlier days comes from the days' summary rows.
+    Two events of one block are less than ``gap_s`` apart, so a session can only
+    end between blocks.  First and last second of each block are aggregated
+    before the shuffle; the window runs over these few rows.
     """
-    day = Window.partitionBy("agent_id", "day").orderBy("s")
-    marked = ev.withColumn("_prev", F.lag("s").over(day)).withColumn("_own", F.when(F.col("s") - F.col("_prev") > gap_s, F.col("s")))
-    over_days = Window.partitionBy("agent_id").orderBy("day")
-    days = (
-        marked.groupBy("agent_id", "day")
-        .agg(F.min("s").alias("_first"), F.max("s").alias("_last"), F.max("_own").alias("_inner"))
-        .withColumn("_opens", F.when(F.coalesce(F.col("_first") - F.lag("_last").over(over_days) > gap_s, F.lit(True)), F.col("_first")))
-        .withColumn("_carried", F.last(F.coalesce("_inner", "_opens"), ignorenulls=True).over(over_days.rowsBetween(Window.unboundedPreceding, -1)))
-        .select("agent_id", "day", F.coalesce("_opens", "_carried").alias("_at_first"))
+    over = Window.partitionBy("agent_id").orderBy("block")
+    opens = F.coalesce(F.col("first") - F.lag("last").over(over) > gap_s, F.lit(True))
+    return (
+        seconds.groupBy("agent_id", _block(gap_s).alias("block"))
+        .agg(F.min("s").alias("first"), F.max("s").alias("last"))
+        .withColumn("opened", F.when(opens, F.col("first")))
+        .select("agent_id", "block", F.last("opened", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("start_s"))
     )
-    inner = F.max("_own").over(day.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_start", inner).join(days, ["agent_id", "day"]).withColumn("start_s", F.coalesce("_start", "_at_first")).drop("_prev", "_own", "_start", "_at_first")
+
+
+def _block(gap_s: int) -> Column:
+    return F.floor(F.col("s") / gap_s).cast("bigint")
+
+
+def session_events(raw: DataFrame, gap_s: int = SESSION_GAP_S, keep_ids: bool = False) -> DataFrame:
+    """One row an event with its session: agent_id, start_s, s, lng, lat[, ping_ids].
+
+    start_s is the session's first second.  A session ends where the next event
+    comes more than ``gap_s`` later; exactly ``gap_s`` doesn't split.  The rows
+    come out partitioned by (agent_id, start_s), the only shuffle of the pings
+    while the table of blocks is small enough to broadcast; beyond that it is
+    joined on (agent_id, block), which holds at most ``gap_s`` seconds a key.
+    """
+    p = usable_pings(raw)
+    blocks = staged(session_blocks(p.select("agent_id", "s"), gap_s))
+    keyed = p.withColumn("block", _block(gap_s))
+    joined = keyed.join(F.broadcast(blocks) if fits(blocks) else blocks, ["agent_id", "block"])
+    at = F.max(F.when(F.col("lng").isNotNull(), F.struct("lng", "lat"))).alias("at")
+    more = [F.collect_list("ping_id").alias("ping_ids")] if keep_ids else []
+    cols = ["agent_id", "start_s", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"), *(["ping_ids"] if keep_ids else [])]
+    return joined.repartition("agent_id", "start_s").groupBy("agent_id", "start_s", "s").agg(at, *more).select(*cols)

@@ -45,7 +45,7 @@ def _spans(least: int):
 def position_runs(sessions: DataFrame, near_m: float = 5.0, least: int = 3) -> DataFrame:
     """agent_id, session_s, start_s, end_s, n_events, duration_s of each run.
 
-    ``sessions`` has agent_id, start_s, s, lng, lat, one row an event.  Located
+    ``sessions`` is ``session_events``: one row an event.  Located
     events of a session are canonicalised: an event at most ``near_m`` from the
     one before it keeps that one's symbol, any other takes the next code point.
     The symbols of a session are concatenated, the backreference ``(.)\\1+``
@@ -56,7 +56,7 @@ def position_runs(sessions: DataFrame, near_m: float = 5.0, least: int = 3) -> D
     isn't reported; an empty table gives no rows.
     """
     w = Window.partitionBy("agent_id", "start_s").orderBy("s")
-    here = sessions.where("lng is not null and lat is not null").select("agent_id", "start_s", "s", "lng", "lat").repartition("agent_id", "start_s")
+    here = sessions.where("lng is not null and lat is not null").select("agent_id", "start_s", "s", "lng", "lat")
     far = F.coalesce(great_circle_m(F.lag("lng").over(w), F.lag("lat").over(w), F.col("lng"), F.col("lat")) > near_m, F.lit(True))
     islands = here.withColumn("_new", far.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     symbol = F.decode(F.encode(F.expr(f"decode(unhex(lpad(hex({SYMBOL_BASE} + pmod(_island, {SYMBOLS})), 4, '0')), 'UTF-16BE')"), "UTF-8"), "UTF-8")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import paths
 from trackloom.functions.geo import EARTH_RADIUS_M
-from trackloom.operators.tracks import Sessions, agent_counters, dense, over_batches, packed_sessions
+from trackloom.operators.tracks import Sessions, agent_profiles, dense, over_batches, packed_sessions
 from trackloom.plans.joins import cell_join
 from trackloom.plans.stage import staged
 
@@ -81,7 +81,7 @@ def stops_and_trips(raw: DataFrame, least_s: int = LEAST_S, far_m: float = FAR_M
     Sessions without a position have one trip of 0 m if they last at all.
     """
     packed = staged(packed_sessions(raw))
-    counters, everyone = agent_counters(packed)
+    counters, everyone = agent_profiles(packed)
     joined = cell_join(packed, counters, ["agent_id"], broadcast_rows=2_000)
     return joined.mapInArrow(over_batches(_parts(everyone, least_s, far_m, with_trips)), PARTS)
 

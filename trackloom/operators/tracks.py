@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import paths
-from trackloom.operators.pings import SESSION_GAP_S, events, usable_pings, with_sessions
+from trackloom.operators.pings import SESSION_GAP_S, session_events
+from trackloom.plans.stage import staged
 
 
 def packed_sessions(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
@@ -21,7 +22,7 @@ def packed_sessions(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
     session has at most one event a second, so an array is bounded by its length
     in seconds; an agent with very many rows is spread over its sessions.
     """
-    ev = with_sessions(events(usable_pings(raw), keep_ids=True), gap_s)
+    ev = session_events(raw, gap_s, keep_ids=True)
     e = F.sort_array(F.collect_list(F.struct("s", "lng", "lat", "ping_ids")))
     return (
         ev.groupBy("agent_id", "start_s")
@@ -69,42 +70,73 @@ HOURS_AT = paths.LENGTH_BINS + paths.BINS
 COUNTERS = HOURS_AT + 48
 
 
-def _counters(b: pa.RecordBatch) -> pa.RecordBatch:
-    s = Sessions(b)
-    by_agent: dict[str, np.ndarray] = {}
-    for _, agent, k in s:
-        here = s.located[k]
-        t, lng, lat = s.t[k][here], s.lng[k][here], s.lat[k][here]
-        c = by_agent.setdefault(agent, np.zeros(COUNTERS))
-        c[:HOURS_AT] += paths.step_counts(t, lng, lat)
-        hour, v = paths.hourly_speed(t, lng, lat)
-        c[HOURS_AT : HOURS_AT + 24] += np.bincount(hour, v, minlength=24)
-        c[HOURS_AT + 24 :] += np.bincount(hour, minlength=24)
-    agents, ks, ns = [], [], []
-    for agent, c in by_agent.items():
-        k = np.flatnonzero(c)
-        agents += [agent] * len(k)
-        ks.append(k)
-        ns.append(c[k])
-    cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return pa.RecordBatch.from_arrays([pa.array(agents, pa.string()), pa.array(cat(ks, np.int32)), pa.array(cat(ns, np.float64))], names=["agent_id", "k", "n"])
-
-
-def agent_counters(packed: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(agent_id, k, n arrays) of every agent, and the sums over all agents.
-
+PROFILE = "agent_id string, k int, n double, f array<float>"
+#: Kind of the rows of a profile that are drawn readings, not counters.
+DRAWN = -1
+
+
+def _profiles(a_session: int):
+    def profile(b: pa.RecordBatch) -> pa.RecordBatch:
+        s = Sessions(b)
+        by_agent: dict[str, np.ndarray] = {}
+        drawn, of = [], []
+        for _, agent, k in s:
+            here = s.located[k]
+            t, lng, lat = s.t[k][here], s.lng[k][here], s.lat[k][here]
+            c = by_agent.setdefault(agent, np.zeros(COUNTERS))
+            c[:HOURS_AT] += paths.step_counts(t, lng, lat)
+            hour, v = paths.hourly_speed(t, lng, lat)
+            c[HOURS_AT : HOURS_AT + 24] += np.bincount(hour, v, minlength=24)
+            c[HOURS_AT + 24 :] += np.bincount(hour, minlength=24)
+            if a_session and len(t):
+                lot = (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+                pick = np.argsort(lot, kind="stable")[:a_session]
+                # the hour rides along so that the season can be taken off once it is known
+                drawn.append(np.column_stack([lot[pick].astype(float), paths.reading_features(t, lng, lat, NO_SEASON)[pick], t[pick] // 3600 % 24]))
+                of += [agent] * len(pick)
+        agents, ks, ns = [], [], []
+        for agent, c in by_agent.items():
+            k = np.flatnonzero(c)
+            agents += [agent] * len(k)
+            ks.append(k)
+            ns.append(c[k])
+        x = np.concatenate(drawn) if drawn else np.zeros((0, 1))
+        k = np.concatenate([*ks, np.full(len(of), DRAWN)]).astype(np.int32)
+        n = np.concatenate([*ns, x[:, 0]])
+        width = x.shape[1] - 1
+        at = np.concatenate([np.zeros(len(agents), np.int64), np.arange(len(of) + 1) * width]).astype(np.int32)
+        f = pa.ListArray.from_arrays(pa.array(at), pa.array(x[:, 1:].astype(np.float32).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array([*agents, *of], pa.string()), pa.array(k), pa.array(n), f], names=["agent_id", "k", "n", "f"])
+
+    return profile
+
+
+NO_SEASON = np.zeros(24)
+
+
+def agent_profiles(packed: DataFrame, sample: int = 0, a_session: int = 16) -> tuple[DataFrame, np.ndarray]:
+    """(agent_id, ck, cn[, f]) of every agent, and the counters summed over all agents.
+
+    ck and cn are numbers and values of the agent's counters over all its rows.
     Counters add up, so they are summed before and after the shuffle and a hot
-    agent costs no more than others.  The sums over all agents are COUNTERS
-    numbers, whatever the input.
+    agent costs no more than others.  f holds up to ``sample`` readings' features
+    and hours, one after the other: those with the least hash of their time,
+    at most ``a_session`` from a session.  The rank limit is applied before the
+    shuffle, too.  The sums over all agents are COUNTERS numbers, whatever the
+    input.
     """
-    c = packed.select("agent_id", "start_s", "s", "lng", "lat", "n_ids", "ping_ids").mapInArrow(over_batches(_counters), "agent_id string, k int, n double")
-    by_agent = c.groupBy("agent_id", "k").agg(F.sum("n").alias("n")).groupBy("agent_id").agg(F.collect_list(F.struct("k", "n")).alias("c"))
-    from trackloom.plans.stage import staged
-
+    rows = packed.select("agent_id", "start_s", "s", "lng", "lat", "n_ids", "ping_ids").mapInArrow(over_batches(_profiles(a_session if sample else 0)), PROFILE)
+    if sample:
+        rows = staged(rows)
+    by_agent = rows.where(F.col("k") != DRAWN).groupBy("agent_id", "k").agg(F.sum("n").alias("n")).groupBy("agent_id").agg(F.collect_list(F.struct("k", "n")).alias("c"))
     by_agent = staged(by_agent.select("agent_id", F.col("c.k").alias("ck"), F.col("c.n").alias("cn")))
     everyone = np.zeros(COUNTERS)
     for r in by_agent.select(F.explode(F.arrays_zip("ck", "cn")).alias("x")).groupBy("x.ck").agg(F.sum("x.cn").alias("n")).collect():
         everyone[r["ck"]] = r["n"]
+    if sample:
+        w = Window.partitionBy("agent_id").orderBy("n", "f")
+        drawn = rows.where(F.col("k") == DRAWN).select("agent_id", "n", "f").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+        by_agent = by_agent.join(drawn.groupBy("agent_id").agg(F.flatten(F.collect_list("f")).alias("f")), "agent_id")
     return by_agent, everyone
 
 

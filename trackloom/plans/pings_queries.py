@@ -18,11 +18,11 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return gridding.session_grid(_events(spark, sf)).where("not covered").select("agent_id", "period_s")
+    return gridding.session_grid(pings.session_events(_raw(spark, sf))).where("not covered").select("agent_id", "period_s")
 
 
 def p1_series(spark: SparkSession, sf: str) -> DataFrame:
-    return gridding.session_grid(_events(spark, sf)).select("agent_id", "period_s", "lng", "lat", "moved_m", "n_located", "covered")
+    return gridding.session_grid(pings.session_events(_raw(spark, sf))).select("agent_id", "period_s", "lng", "lat", "moved_m", "n_located", "covered")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,11 +42,11 @@ def p3_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.position_runs(pings.with_sessions(_events(spark, sf))).select("agent_id", "start_s", "end_s")
+    return runs.position_runs(pings.session_events(_raw(spark, sf))).select("agent_id", "start_s", "end_s")
 
 
 def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.position_runs(pings.with_sessions(_events(spark, sf))).select("agent_id", "start_s", "end_s", "duration_s", "n_events")
+    return runs.position_runs(pings.session_events(_raw(spark, sf))).select("agent_id", "start_s", "end_s", "duration_s", "n_events")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
