@@ -43,11 +43,16 @@ def bin_top(b: float) -> float:
     return LOWEST * 2.0 ** ((b + 1) / BINS_PER_OCTAVE)
 
 
+def _middle(v: np.ndarray) -> float:
+    k = len(v) // 2
+    return float(np.partition(v, k)[k])
+
+
 def plane(lng: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Metres east and north of the middle of the usable positions."""
     with np.errstate(invalid="ignore"):
         ok = (np.abs(lng) <= 180) & (np.abs(lat) <= 90)
-    mx, my = (np.median(lng[ok]), np.median(lat[ok])) if ok.any() else (0.0, 0.0)
+    mx, my = (_middle(lng[ok]), _middle(lat[ok])) if ok.any() else (0.0, 0.0)
     return (lng - mx) * (M_PER_DEG * np.cos(np.radians(my))), (lat - my) * M_PER_DEG
 
 
@@ -156,6 +161,8 @@ def _stuck_repeats(s: np.ndarray, x: np.ndarray, y: np.ndarray, h: Habits, slack
     stale = np.zeros(len(s), dtype=bool)
     tol = min(15.0, slack / 3) + 2 * h.jitter
     both = np.concatenate([[False], (np.diff(x) == 0) & (np.diff(y) == 0)])
+    if not both.any():
+        return _stuck_lines(s, x, y, h, tol, stale)
     run = np.cumsum(~both) - 1
     begin = np.flatnonzero(~both)
     a, b = begin[1:] - 1, begin[1:]
@@ -163,10 +170,16 @@ def _stuck_repeats(s: np.ndarray, x: np.ndarray, y: np.ndarray, h: Habits, slack
     d, wait = np.hypot(x[b] - x[a], y[b] - y[a]), np.maximum(s[b] - s[a], 1)
     stuck = np.append((length[:-1] > 1) & (d - tol > 1.2 * h.top * wait), False)
     stale |= stuck[run] & both
+    return _stuck_lines(s, x, y, h, tol, stale)
+
+
+def _stuck_lines(s: np.ndarray, x: np.ndarray, y: np.ndarray, h: Habits, tol: float, stale: np.ndarray) -> np.ndarray:
+    """Adds the events that repeat one coordinate while the other goes on."""
     for c, other in ((x, y), (y, x)):
-        run, begin, length = _runs(c)
-        if length.max() < 3:
+        same = c[1:] == c[:-1]
+        if not (same[1:] & same[:-1]).any():
             continue
+        run, begin, length = _runs(c)
         a, b = begin[1:] - 1, begin[1:]
         moved = np.concatenate([[0], np.cumsum(np.diff(other) != 0)])
         moves = moved[a] - moved[begin[:-1]]
@@ -324,13 +337,6 @@ def _drifts(s: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float) -> bool:
     return bool(moved > max(8.0, 4.0 * doubt))
 
 
-def hourly_speed(t: np.ndarray, lng: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hour of day and logarithm of the speed of every step."""
-    x, y = plane(lng, lat)
-    v = np.hypot(np.diff(x), np.diff(y)) / np.maximum(np.diff(t), 1)
-    return (t[1:] // 3600 % 24).astype(np.int64), np.log1p(np.nan_to_num(v, posinf=1e9))
-
-
 FEATURES = ("level", "difference", "least speed", "greatest speed", "season", "run length", "speed after run")
 
 
@@ -340,7 +346,7 @@ def reading_features(t: np.ndarray, lng: np.ndarray, lat: np.ndarray, usual: np.
     out = np.zeros((n, len(FEATURES)))
     x, y = plane(lng, lat)
     x, y = np.nan_to_num(x, posinf=1e9, neginf=-1e9), np.nan_to_num(y, posinf=1e9, neginf=-1e9)
-    out[:, 0] = np.log1p(np.hypot(x - np.median(x), y - np.median(y))) if n else 0
+    out[:, 0] = np.log1p(np.hypot(x - _middle(x), y - _middle(y))) if n else 0
     if n < 2:
         return out
     dt = np.maximum(np.diff(t), 1)
@@ -352,6 +358,8 @@ def reading_features(t: np.ndarray, lng: np.ndarray, lat: np.ndarray, usual: np.
         f = dt[:-1] / np.maximum(t[2:] - t[:-2], 1)
         out[1:-1, 1] = np.log1p(np.hypot(x[:-2] + (x[2:] - x[:-2]) * f - x[1:-1], y[:-2] + (y[2:] - y[:-2]) * f - y[1:-1]))
     for c in (x, y):
+        if (c[1:] != c[:-1]).all():
+            continue
         run, begin, length = _runs(c)
         place = np.arange(n) - begin[run]
         leave = np.append(np.log1p(np.abs(c[begin[1:]] - c[begin[1:] - 1]) / np.maximum(t[begin[1:]] - t[begin[1:] - 1], 1)), 0.0)

@@ -37,18 +37,15 @@ def usable_pings(raw: DataFrame) -> DataFrame:
     )
 
 
-def events(pings: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """One row per agent and second: agent_id, day, s, lng, lat[, ping_ids].
+def events(pings: DataFrame) -> DataFrame:
+    """One row per agent and second: agent_id, s, lng, lat.
 
     Repeated deliveries of one second become one event; it is located if any
     delivery is (their positions agree; of differing ones the greatest pair is
     taken, so that the result doesn't depend on arrival).
     """
-    p = pings.withColumn("day", F.floor(F.col("s") / DAY_S).cast("bigint")).repartition("agent_id", "day")
     at = F.max(F.when(F.col("lng").isNotNull(), F.struct("lng", "lat"))).alias("at")
-    more = [F.collect_list("ping_id").alias("ping_ids")] if keep_ids else []
-    cols = ["agent_id", "day", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"), *(["ping_ids"] if keep_ids else [])]
-    return p.groupBy("agent_id", "day", "s").agg(at, *more).select(*cols)
+    return pings.groupBy("agent_id", "s").agg(at).select("agent_id", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"))
 
 
 def session_blocks(seconds: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
@@ -72,20 +69,25 @@ def _block(gap_s: int) -> Column:
     return F.floor(F.col("s") / gap_s).cast("bigint")
 
 
-def session_events(raw: DataFrame, gap_s: int = SESSION_GAP_S, keep_ids: bool = False) -> DataFrame:
-    """One row an event with its session: agent_id, start_s, s, lng, lat[, ping_ids].
+def session_pings(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
+    """Usable pings with start_s, the first second of their session.
 
-    start_s is the session's first second.  A session ends where the next event
-    comes more than ``gap_s`` later; exactly ``gap_s`` doesn't split.  The rows
-    come out partitioned by (agent_id, start_s), the only shuffle of the pings
-    while the table of blocks is small enough to broadcast; beyond that it is
-    joined on (agent_id, block), which holds at most ``gap_s`` seconds a key.
+    A session ends where the next event comes more than ``gap_s`` later; exactly
+    ``gap_s`` doesn't split.  The table of blocks is broadcast while it is small;
+    beyond that it is joined on (agent_id, block), which holds at most ``gap_s``
+    seconds a key.
     """
     p = usable_pings(raw)
     blocks = staged(session_blocks(p.select("agent_id", "s"), gap_s))
     keyed = p.withColumn("block", _block(gap_s))
-    joined = keyed.join(F.broadcast(blocks) if fits(blocks) else blocks, ["agent_id", "block"])
+    return keyed.join(F.broadcast(blocks) if fits(blocks) else blocks, ["agent_id", "block"]).drop("block")
+
+
+def session_events(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
+    """One row an event with its session: agent_id, start_s, s, lng, lat.
+
+    The rows come out partitioned by (agent_id, start_s).
+    """
     at = F.max(F.when(F.col("lng").isNotNull(), F.struct("lng", "lat"))).alias("at")
-    more = [F.collect_list("ping_id").alias("ping_ids")] if keep_ids else []
-    cols = ["agent_id", "start_s", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"), *(["ping_ids"] if keep_ids else [])]
-    return joined.repartition("agent_id", "start_s").groupBy("agent_id", "start_s", "s").agg(at, *more).select(*cols)
+    rows = session_pings(raw, gap_s).repartition("agent_id", "start_s").groupBy("agent_id", "start_s", "s").agg(at)
+    return rows.select("agent_id", "start_s", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"))

@@ -10,38 +10,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import paths
-from trackloom.operators.pings import SESSION_GAP_S, session_events
+from trackloom.operators.pings import SESSION_GAP_S, session_pings
 from trackloom.plans.stage import staged
 
 
 def packed_sessions(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """agent_id, start_s, s, lng, lat, n_ids, ping_ids: one row a session, arrays in order of time.
+    """agent_id, start_s, s, lng, lat, ping_ids: one row a session, arrays of its deliveries in any order.
 
-    lng and lat are null in events without a position.  ping_ids holds the
-    deliveries of all events one after the other, n_ids how many each has.  A
-    session has at most one event a second, so an array is bounded by its length
-    in seconds; an agent with very many rows is spread over its sessions.
+    lng and lat are null in deliveries without a position.  An agent with very
+    many rows is spread over its sessions; a session has at most one event a
+    second, however often its events are delivered.
     """
-    ev = session_events(raw, gap_s, keep_ids=True)
-    e = F.sort_array(F.collect_list(F.struct("s", "lng", "lat", "ping_ids")))
-    return (
-        ev.groupBy("agent_id", "start_s")
-        .agg(e.alias("e"))
-        .select("agent_id", "start_s", F.col("e.s").alias("s"), F.col("e.lng").alias("lng"), F.col("e.lat").alias("lat"), F.transform("e.ping_ids", lambda p: F.size(p)).alias("n_ids"), F.flatten("e.ping_ids").alias("ping_ids"))
-    )
+    e = F.collect_list(F.struct("s", "lng", "lat", "ping_id"))
+    packed = session_pings(raw, gap_s).repartition("agent_id", "start_s").groupBy("agent_id", "start_s").agg(e.alias("e"))
+    return packed.select("agent_id", "start_s", F.col("e.s").alias("s"), F.col("e.lng").alias("lng"), F.col("e.lat").alias("lat"), F.col("e.ping_id").alias("ping_ids"))
 
 
 class Sessions:
-    """The columns of one Arrow batch of packed sessions as flat numpy arrays."""
+    """One Arrow batch of packed sessions as flat numpy arrays of events in order.
+
+    Deliveries of one second are one event, with the greatest position if they
+    differ; n_ids tells how many there are.
+    """
 
     def __init__(self, b: pa.RecordBatch) -> None:
         self.agent = b.column("agent_id").to_pylist()
         self.start = b.column("start_s").to_pylist()
         flat = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False)
-        self.t, self.n_ids, self.ids = flat("s").astype(np.int64), flat("n_ids").astype(np.int64), flat("ping_ids").astype(np.int64)
-        self.lng, self.lat = flat("lng").astype(float), flat("lat").astype(float)
-        at = b.column("s").offsets.to_numpy().astype(np.int64)
-        self.at = at - at[0]
+        t, lng, lat, ids = flat("s").astype(np.int64), flat("lng").astype(float), flat("lat").astype(float), flat("ping_ids").astype(np.int64)
+        session = np.repeat(np.arange(b.num_rows), np.diff(b.column("s").offsets.to_numpy()))
+        order = np.lexsort((-lat, -lng, t, session))
+        t, session = t[order], session[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(t) != 0) | (np.diff(session) != 0)])) if len(t) else np.zeros(0, np.int64)
+        self.ids = ids[order]
+        self.t, self.lng, self.lat = t[first], lng[order][first], lat[order][first]
+        self.n_ids = np.diff(np.append(first, len(t)))
+        self.at = np.searchsorted(session[first], np.arange(b.num_rows + 1))
         self.located = ~(np.isnan(self.lng) | np.isnan(self.lat))
         self.first_id = np.concatenate([[0], np.cumsum(self.n_ids)])
 
@@ -85,14 +89,14 @@ def _profiles(a_session: int):
             t, lng, lat = s.t[k][here], s.lng[k][here], s.lat[k][here]
             c = by_agent.setdefault(agent, np.zeros(COUNTERS))
             c[:HOURS_AT] += paths.step_counts(t, lng, lat)
-            hour, v = paths.hourly_speed(t, lng, lat)
-            c[HOURS_AT : HOURS_AT + 24] += np.bincount(hour, v, minlength=24)
-            c[HOURS_AT + 24 :] += np.bincount(hour, minlength=24)
             if a_session and len(t):
+                features, hour = paths.reading_features(t, lng, lat, NO_SEASON), t // 3600 % 24
+                c[HOURS_AT : HOURS_AT + 24] += np.bincount(hour[1:], features[1:, SPEED], minlength=24)
+                c[HOURS_AT + 24 :] += np.bincount(hour[1:], minlength=24)
                 lot = (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
                 pick = np.argsort(lot, kind="stable")[:a_session]
                 # the hour rides along so that the season can be taken off once it is known
-                drawn.append(np.column_stack([lot[pick].astype(float), paths.reading_features(t, lng, lat, NO_SEASON)[pick], t[pick] // 3600 % 24]))
+                drawn.append(np.column_stack([lot[pick].astype(float), features[pick], hour[pick]]))
                 of += [agent] * len(pick)
         agents, ks, ns = [], [], []
         for agent, c in by_agent.items():
@@ -112,6 +116,8 @@ def _profiles(a_session: int):
 
 
 NO_SEASON = np.zeros(24)
+#: The feature that is the logarithm of the last step's speed as long as no season is taken off.
+SPEED = paths.FEATURES.index("season")
 
 
 def agent_profiles(packed: DataFrame, sample: int = 0, a_session: int = 16) -> tuple[DataFrame, np.ndarray]:
@@ -125,7 +131,7 @@ def agent_profiles(packed: DataFrame, sample: int = 0, a_session: int = 16) -> t
     shuffle, too.  The sums over all agents are COUNTERS numbers, whatever the
     input.
     """
-    rows = packed.select("agent_id", "start_s", "s", "lng", "lat", "n_ids", "ping_ids").mapInArrow(over_batches(_profiles(a_session if sample else 0)), PROFILE)
+    rows = packed.mapInArrow(over_batches(_profiles(a_session if sample else 0)), PROFILE)
     if sample:
         rows = staged(rows)
     by_agent = rows.where(F.col("k") != DRAWN).groupBy("agent_id", "k").agg(F.sum("n").alias("n")).groupBy("agent_id").agg(F.collect_list(F.struct("k", "n")).alias("c"))
