@@ -1,8 +1,4 @@
-"""Reading of time stamps written in mixed notations.
-
-Everything is a Catalyst expression: the common notation is tested first, so
-that the other patterns are only tried on the rows that need them.
-"""
+"""Reading of time stamps written in mixed notations, as Catalyst expressions."""
 
 from __future__ import annotations
 
@@ -30,6 +26,13 @@ def epoch_seconds(text: Column) -> Column:
     partial dates, other texts, empty texts and nulls give null.  Fractions are
     floored.
     """
+    plain = text.rlike(_PLAIN)
+    # the rare notations stay out of the generated code, which would be too long to be compiled
+    rare = F.get(F.transform(F.array(text), _any_notation), F.lit(0))
+    return F.when(plain, F.unix_seconds(F.concat(text, F.lit("Z")).try_cast("timestamp"))).otherwise(rare)
+
+
+def _any_notation(text: Column) -> Column:
     s = F.btrim(text, F.lit(WHITE))
     iso = F.translate(F.translate(s, "/,", "-."), "t", "T")
     zone = r"(?i)([Zz]|UTC|GMT|[+-]\d\d(:?\d\d)?)$"
