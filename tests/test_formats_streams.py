@@ -54,9 +54,9 @@ def test_network_files(spark, tmp_path):
 
 
 def run(stream, name):
-    q = stream.writeStream.outputMode("append").format("memory").queryName(name).start()
+    q = stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(60)
     finally:
         q.stop()
 

@@ -61,7 +61,7 @@ def test_kalman_and_simplify(spark):
         want.append(f[0])
     assert np.allclose(k, want)
     assert len(xs(cleaning.simplify(line(spark, [3.0]), 5))) == 1 and len(xs(cleaning.simplify(line(spark, z), 5))) == 60
-    assert cleaning.simplify_line(np.array([0, 1, 2, 3.0]), np.array([0, 0.1, 5, 0]), 1).tolist() == [0, 1, 2, 3]
+    assert cleaning.simplify_line(np.array([0, 1, 2, 3.0]), np.array([0, 0.1, 5, 0]), 1).tolist() == [0, 2, 3]
 
 
 def test_gap_fill(spark):
@@ -184,9 +184,10 @@ def test_lines_to_network(spark):
 
 
 def test_simulated_drive_is_matched(spark):
-    from trackloom.plans.track_queries import _lattice
+    from trackloom.plans.views import link_view
 
-    roads = _lattice(spark)
+    l = link_view(spark).select(F.col("link_id").cast("bigint").alias("link"), F.col("from_node").cast("bigint").alias("from_node"), F.col("to_node").cast("bigint").alias("to_node"), "x1", "y1", "x2", "y2")
+    roads = l.unionByName(l.select((F.col("link") + 10_000).alias("link"), F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))
     nodes = [1 + k for k in range(6)] + [6 + 50 * k for k in range(1, 5)]
     at = lambda n: ((n - 1) % 50 * 100.0, (n - 1) // 50 * 100.0)
     route = spark.createDataFrame([("a", 0.0, [at(n) for n in nodes])], "agent_id string, o_time_s double, pts array<struct<x: double, y: double>>")

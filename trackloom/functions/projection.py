@@ -14,6 +14,8 @@ _RECT = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 #: Coefficients of the series in the third flattening, to its fourth power.
 _ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
 _BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+#: From the conformal to the geographic latitude.
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
 _E = math.sqrt(FLAT * (2 - FLAT))
 
 
@@ -47,14 +49,11 @@ def from_utm(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column,
     for j, b in enumerate(_BETA, 1):
         u -= b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         v -= b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi_tan = F.sin(u) / F.sqrt(F.sinh(v) ** 2 + F.cos(u) ** 2)
-    # back from the conformal to the geographic latitude by Newton steps on its tangent
-    t = chi_tan
-    for _ in range(3):
-        sigma = F.sinh(_E * F.atanh(_E * t / F.sqrt(1 + t * t)))
-        c = t * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + t * t)
-        t += (chi_tan - c) / F.sqrt(1 + c * c) * (1 + (1 - _E**2) * t * t) / ((1 - _E**2) * F.sqrt(1 + t * t))
-    return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + zone * 6 - 183, F.degrees(F.atan(t))
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    lat = chi
+    for j, d in enumerate(_DELTA, 1):
+        lat += d * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + zone * 6 - 183, F.degrees(lat)
 
 
 def to_mercator(lng: Column, lat: Column) -> tuple[Column, Column]:

@@ -100,7 +100,8 @@ def _profiles(a_session: int):
                 of += [agent] * len(pick)
         agents, ks, ns = [], [], []
         for agent, c in by_agent.items():
-            k = np.flatnonzero(c)
+            # an agent without a single step still needs a row
+            k = np.union1d(np.flatnonzero(c), [0])
             agents += [agent] * len(k)
             ks.append(k)
             ns.append(c[k])
