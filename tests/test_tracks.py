@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows
+from tests.conftest import rows, two_way_lattice
 from trackloom.functions import projection
 from trackloom.operators import cleaning, grids, matching, network, simulation, trips
 
@@ -184,10 +184,7 @@ def test_lines_to_network(spark):
 
 
 def test_simulated_drive_is_matched(spark):
-    from trackloom.plans.views import link_view
-
-    l = link_view(spark).select(F.col("link_id").cast("bigint").alias("link"), F.col("from_node").cast("bigint").alias("from_node"), F.col("to_node").cast("bigint").alias("to_node"), "x1", "y1", "x2", "y2")
-    roads = l.unionByName(l.select((F.col("link") + 10_000).alias("link"), F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))
+    roads = two_way_lattice(spark)
     nodes = [1 + k for k in range(6)] + [6 + 50 * k for k in range(1, 5)]
     at = lambda n: ((n - 1) % 50 * 100.0, (n - 1) // 50 * 100.0)
     route = spark.createDataFrame([("a", 0.0, [at(n) for n in nodes])], "agent_id string, o_time_s double, pts array<struct<x: double, y: double>>")
