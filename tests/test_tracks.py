@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tests.conftest import rows, two_way_lattice
 from trackloom.functions import projection
 from trackloom.operators import cleaning, grids, matching, network, simulation, trips
@@ -162,6 +163,13 @@ def test_components_and_chains(spark):
     assert rows(network.chains(links)) == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
+def test_components_of_all_links(spark, tmp_path):
+    # nodes 1 to 4 hang together by links 1, 2, 3 only if no link is left out; 8 and 9 are a second component
+    links = [(1, 1, 2), (2, 2, 3), (3, 3, 4), (4, 8, 9), (5, None, 7)]
+    spark.createDataFrame(links, "link_id bigint, from_node bigint, to_node bigint").write.parquet(f"{tmp_path}/link_layer.parquet")
+    assert rows(entry.queries()["network_components"](spark, str(tmp_path))) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
+
+
 def test_directions(spark):
     links = spark.createDataFrame([(1, 1, 2, 1, 5.0), (2, 1, 3, -1, 5.0), (3, 4, 5, 0, 5.0), (4, 4, 5, 1, 6.0), (5, 7, 7, 0, 1.0)], "link_id bigint, from_node bigint, to_node bigint, dir int, length double")
     assert rows(network.directed_links(links).select("link_id", "from_node", "to_node")) == [(1, 1, 2), (2, 3, 1), (3, 4, 5), (3, 5, 4)]
