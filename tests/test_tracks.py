@@ -144,6 +144,25 @@ def test_bounded_paths(spark):
     assert sorted(map(tuple, matching.relaxed_costs(df, 12.0).collect())) == want
 
 
+def test_large_graphs_give_the_same(spark, monkeypatch):
+    _, df = graph(spark, 1, 30, 90)
+    # equal costs over differently many links, a link without length, a repeated one and a loop
+    more = df.unionByName(spark.createDataFrame([(50, 51, 2.0), (51, 53, 2.0), (50, 52, 4.0), (50, 53, 4.0), (52, 53, 0.0), (53, 52, 0.0), (50, 51, 3.0), (51, 51, 0.0)], df.schema))
+    p = line(spark, [10, 120, 230, 340, 430], dt=20)
+    l = two_way_lattice(spark).where("from_node <= 60 and to_node <= 60")
+    m = matching.Model(buffer_m=60.0, top_k=4, cutoff_m=250.0)
+    e = l.select(F.col("from_node").alias("f"), F.col("to_node").alias("t"), F.lit(100.0).alias("length"))
+
+    def results():
+        got = matching.match(p, l, m)
+        ends = got.where("seq in (0, 4)")
+        return rows(matching.bounded_paths(more, 12.0)), rows(got), rows(matching.completed(ends, p, matching.bounded_paths(e, 600.0), l))
+
+    small = results()
+    monkeypatch.setattr(matching, "GRAPH_ROWS", 10)
+    assert results() == small and len(small[1]) == 5 and len(small[2]) >= 2
+
+
 def test_components_and_chains(spark):
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(k, k + 1) for k in range(200, 260)] + [(500, 500)]

@@ -67,12 +67,12 @@ def with_state(c: DataFrame) -> DataFrame:
 
 
 def _dijkstra(neighbours: dict[int, list[tuple[int, float]]], source: int, cutoff: float) -> Iterator[tuple[int, float, list[int]]]:
-    """(node, cost, path) in order of cost; of equal costs the lower node first."""
+    """(node, cost, path) in order of cost; of equal costs the path with fewer links, then from the lower node."""
     done: dict[int, int] = {}
-    best = {source: (0.0, -1)}
-    heap = [(0.0, source, -1)]
+    best = {source: (0.0, 0, -1)}
+    heap = [(0.0, 0, source, -1)]
     while heap:
-        cost, node, before = heapq.heappop(heap)
+        cost, links, node, before = heapq.heappop(heap)
         if node in done:
             continue
         done[node] = before
@@ -82,9 +82,9 @@ def _dijkstra(neighbours: dict[int, list[tuple[int, float]]], source: int, cutof
         yield node, cost, path[::-1]
         for to, length in neighbours.get(node, ()):
             c = cost + length
-            if c <= cutoff and to not in done and (to not in best or (c, node) < best[to]):
-                best[to] = (c, node)
-                heapq.heappush(heap, (c, to, node))
+            if c <= cutoff and to not in done and (to not in best or (c, links + 1, node) < best[to]):
+                best[to] = (c, links + 1, node)
+                heapq.heappush(heap, (c, links + 1, to, node))
 
 
 def bounded_paths(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
@@ -92,10 +92,10 @@ def bounded_paths(edges: DataFrame, cutoff: float, sources: DataFrame | None = N
 
     ``edges`` has f, t, length >= 0.  A graph of at most GRAPH_ROWS edges is sent
     to the workers once and every source searched there; sources are spread over
-    the cluster.
+    the cluster.  A larger one is relaxed by joins, with equal results.
     """
     if not fits(edges, GRAPH_ROWS):
-        return relaxed_costs(edges, cutoff, sources).withColumn("path", F.lit(None).cast("array<bigint>"))
+        return relaxed_paths(edges, cutoff, sources)
     graph: dict[int, list[tuple[int, float]]] = {}
     for r in edges.select("f", "t", "length").toLocalIterator():
         graph.setdefault(r["f"], []).append((r["t"], r["length"]))
@@ -110,18 +110,30 @@ def bounded_paths(edges: DataFrame, cutoff: float, sources: DataFrame | None = N
     return nodes.repartition("o").mapInPandas(run, "o bigint, d bigint, cost double, path array<bigint>")
 
 
-def relaxed_costs(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
-    """o, d, cost as ``bounded_paths``, for graphs of any size: rounds of joins and minima, each staged."""
-    e = staged(edges.groupBy("f", "t").agg(F.min("length").alias("length")))
+def relaxed_paths(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
+    """o, d, cost, path as ``bounded_paths``, for graphs of any size: rounds of joins and minima, each staged.
+
+    Paths are compared from their end, so that the least one is that of
+    ``_dijkstra``: least cost, fewest links, lowest node before, and so on.
+    """
+    big = lambda c: F.col(c).cast("bigint").alias(c)
+    e = staged(edges.where("f != t").groupBy(big("f"), big("t")).agg(F.min("length").alias("length")))
     start = e if sources is None else e.join(sources.select(F.col("o").alias("f")).distinct(), "f", "left_semi")
-    known = front = staged(start.where(F.col("length") <= cutoff).select(F.col("f").alias("o"), F.col("t").alias("d"), F.col("length").alias("cost")).where("o != d"))
+    way = lambda cost, turned: F.struct(cost.cast("double").alias("cost"), F.size(turned).alias("n"), turned.alias("turned"))
+    known = front = staged(start.where(F.col("length") <= cutoff).select(F.col("f").alias("o"), F.col("t").alias("d"), way(F.col("length"), F.array("t", "f")).alias("w")))
     while front.limit(1).count():
-        further = front.join(e.withColumnRenamed("f", "d"), "d").select("o", F.col("t").alias("d"), (F.col("cost") + F.col("length")).alias("cost")).where((F.col("cost") <= cutoff) & (F.col("o") != F.col("d")))
-        both = known.withColumn("new", F.lit(False)).unionByName(further.withColumn("new", F.lit(True))).groupBy("o", "d").agg(F.min(F.struct("cost", "new")).alias("m"))
-        known = staged(both.select("o", "d", "m.cost", "m.new"))
+        step = front.join(e.withColumnRenamed("f", "d"), "d").where((F.col("w.cost") + F.col("length") <= cutoff) & (F.col("o") != F.col("t")))
+        further = step.select("o", F.col("t").alias("d"), way(F.col("w.cost") + F.col("length"), F.concat(F.array("t"), "w.turned")).alias("w"))
+        both = known.withColumn("new", F.lit(False)).unionByName(further.withColumn("new", F.lit(True))).groupBy("o", "d").agg(F.min(F.struct("w", "new")).alias("m"))
+        known = staged(both.select("o", "d", "m.w", "m.new"))
         front = known.where("new").drop("new")
         known = known.drop("new")
-    return known
+    return known.select("o", "d", "w.cost", F.reverse("w.turned").alias("path"))
+
+
+def relaxed_costs(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
+    """o, d, cost of ``relaxed_paths``."""
+    return relaxed_paths(edges, cutoff, sources).drop("path")
 
 
 def emission(c: DataFrame, points: DataFrame, m: Model = Model()) -> DataFrame:
