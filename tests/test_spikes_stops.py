@@ -2,7 +2,7 @@ import numpy as np
 
 from trackloom.functions import paths
 from trackloom.functions.forest import Forest
-from trackloom.operators.spikes import false_readings, score_readings
+from trackloom.operators.spikes import SUSPECT_QUANTILE, false_readings, score_readings
 from trackloom.operators.stops import stop_pings, stops_and_trips
 
 T0 = 1_483_228_800
@@ -101,3 +101,16 @@ def test_waits_and_slow_progress_are_no_stays():
     x[50:90] = 4900 + rng.normal(0, 2, 40)
     (a, b), = paths.stays(t, x, rng.normal(0, 2, 200), h)
     assert 48 <= a <= 51 and 88 <= b <= 92
+
+
+def test_cut_is_taken_from_all_readings(spark):
+    # one long session: a tenth of all its readings, not of a few drawn ones, lies below the cut
+    rng = np.random.default_rng(4)
+    data = [(k, "a", str(T0 + 15 * k), 98.4 + 0.0002 * k + rng.normal(0, 1e-5), 36.3 + rng.normal(0, 1e-5)) for k in range(3000)]
+    data += [(10_000 + k, *data[k][1:]) for k in range(0, 3000, 7)]
+    df = spark.createDataFrame([(i, a, t, float(x), float(y)) for i, a, t, x, y in data], SCHEMA)
+    got = [r for r in score_readings(df).collect() if r["ping_id"] < 10_000]
+    assert len(got) == 3000 and abs(sum(not r["suspect"] for r in got) / 3000 - SUSPECT_QUANTILE) < 0.005
+    score = np.array([r["score"] for r in got])
+    cut = np.quantile(score, SUSPECT_QUANTILE)
+    assert all(r["suspect"] == (r["score"] >= cut) for r in got if abs(r["score"] - cut) > 1 / 4096)

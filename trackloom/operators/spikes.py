@@ -6,7 +6,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from trackloom.functions import paths
 from trackloom.functions.forest import SAMPLE, Forest
@@ -14,12 +15,14 @@ from trackloom.operators.tracks import HOURS_AT, Sessions, agent_profiles, dense
 from trackloom.plans.joins import cell_join
 from trackloom.plans.stage import staged
 
-#: Readings of one session that may enter its agent's training sample; the agent's sample has SAMPLE readings.
-SAMPLE_A_SESSION = 16
+#: Readings of an agent that its trees are drawn from, each tree its own SAMPLE.
+POOL = 4 * SAMPLE
 #: A reading is suspect from this quantile of its own source's scores on.
 SUSPECT_QUANTILE = 0.1
+#: Bins of the scores, which lie between 0 and 1, that the quantile is taken from.
+SCORE_BINS = 4096
 
-FOUND = "ping_id bigint, agent_id string, s bigint, score double, suspect boolean, impossible boolean, displaced boolean, stale boolean"
+SCORED = "ping_id bigint, agent_id string, s bigint, score double, first boolean, impossible boolean, displaced boolean, stale boolean"
 
 
 def _usual_speed(c: np.ndarray, everyone: np.ndarray) -> np.ndarray:
@@ -45,7 +48,7 @@ def _flags(everyone: np.ndarray):
             x[:, 4] -= usual[x[:, width].astype(int)]
             x = x[:, :width]
             forest = Forest(x, seed=zlib.crc32(agent.encode()))
-            known[agent] = paths.habits(c, everyone), usual, forest, float(np.quantile(forest.score(x), SUSPECT_QUANTILE))
+            known[agent] = paths.habits(c, everyone), usual, forest
         return known[agent]
 
     def flag(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -53,44 +56,59 @@ def _flags(everyone: np.ndarray):
         listed = {c: (b.column(c).flatten().to_numpy(zero_copy_only=False), b.column(c).offsets.to_numpy() - b.column(c).offsets[0].as_py()) for c in ("ck", "cn", "f")}
         part = lambda c, i: listed[c][0][listed[c][1][i] : listed[c][1][i + 1]]
         n = len(s.t)
-        score, suspect, bad = np.zeros(n), np.zeros(n, bool), np.zeros((3, n), bool)
+        score, bad = np.zeros(n), np.zeros((3, n), bool)
         for i, agent, k in s:
             here = np.flatnonzero(s.located[k]) + k.start
             if not len(here):
                 continue
-            h, usual, forest, cut = model(agent, part("ck", i), part("cn", i), part("f", i))
+            h, usual, forest = model(agent, part("ck", i), part("cn", i), part("f", i))
             t, lng, lat = s.t[here], s.lng[here], s.lat[here]
             score[here] = forest.score(paths.reading_features(t, lng, lat, usual))
             off, stale = paths.false_positions(t, lng, lat, h)
             bad[0, here] = paths.impossible(lng, lat)
             bad[1, here], bad[2, here] = off & ~bad[0, here], stale
-            suspect[here] = (score[here] >= cut) | bad[0, here]
         ids, e = s.ids_of(np.flatnonzero(s.located))
         agents = np.array(s.agent, dtype=object)[np.searchsorted(s.at, e, side="right") - 1]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(agents, pa.string()), pa.array(s.t[e]), pa.array(score[e]), pa.array(suspect[e]), *(pa.array(x[e]) for x in bad)], names=[c.split()[0] for c in FOUND.split(", ")])
+        first = np.diff(e, prepend=-1) != 0
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(agents, pa.string()), pa.array(s.t[e]), pa.array(score[e]), pa.array(first), *(pa.array(x[e]) for x in bad)], names=[c.split()[0] for c in SCORED.split(", ")])
 
     return flag
 
 
+def score_cuts(scored: DataFrame) -> DataFrame:
+    """agent_id, cut: the SUSPECT_QUANTILE of the scores of all of a source's readings, to a bin.
+
+    Readings are counted by bin before the shuffle; a source has at most
+    SCORE_BINS rows in the window.  Repeated deliveries count once.
+    """
+    bins = scored.where("first").groupBy("agent_id", F.floor(F.col("score") * SCORE_BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("agent_id")
+    so_far, all_ = F.sum("n").over(w.orderBy("bin")), F.sum("n").over(w)
+    return bins.select("agent_id", "bin", so_far.alias("so_far"), all_.alias("all")).where(F.col("so_far") > F.col("all") * SUSPECT_QUANTILE).groupBy("agent_id").agg((F.min("bin") / SCORE_BINS).alias("cut"))
+
+
 def score_readings(raw: DataFrame) -> DataFrame:
     """Every usable, located reading with its score and rules.
 
     ping_id, agent_id, s, score, suspect, impossible, displaced, stale.  Per
-    source an isolation forest is grown on a bounded sample (SAMPLE readings,
-    chosen by a hash of their time, at most SAMPLE_A_SESSION a session) of the
-    features level, difference, speeds, seasonal deviation and run length; it
-    scores every reading, and those above the median score of their source are
-    suspect.  The physical rules are explicit: positions off the globe,
-    positions off the path with the most right events under the source's own top
-    speed (displaced), repetitions of a stuck receiver (stale).  Habits (top
-    speed, jitter, hourly means) are counted over all rows.
+    source an isolation forest is grown on the features level, difference,
+    speeds, seasonal deviation and run length; each tree draws its own SAMPLE
+    readings from a pool of up to POOL of the source's, chosen by a hash of
+    their time whatever their session.  It scores every reading, and those from
+    the SUSPECT_QUANTILE of all scores of their source on are suspect.  The
+    physical rules are explicit: positions off the globe, positions off the path
+    with the most right events under the source's own top speed (displaced),
+    repetitions of a stuck receiver (stale).  Habits (top speed, jitter, hourly
+    means) are counted over all rows.
 
     Unusable and unlocated rows have no row here; every delivery of an event has
     one.  A source with a single reading is only tested for impossible values.
     """
     packed = staged(packed_sessions(raw))
-    models, everyone = agent_profiles(packed, SAMPLE, SAMPLE_A_SESSION)
-    return cell_join(packed, models, ["agent_id"], broadcast_rows=2_000).mapInArrow(over_batches(_flags(everyone)), FOUND)
+    models, everyone = agent_profiles(packed, POOL)
+    scored = staged(cell_join(packed, models, ["agent_id"], broadcast_rows=2_000).mapInArrow(over_batches(_flags(everyone)), SCORED))
+    suspect = (F.col("score") >= F.col("cut")) | F.col("impossible")
+    return cell_join(scored, score_cuts(scored), ["agent_id"]).select("ping_id", "agent_id", "s", "score", suspect.alias("suspect"), "impossible", "displaced", "stale")
 
 
 def false_readings(raw: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ PROFILE = "agent_id string, k int, n double, f array<float>"
 DRAWN = -1
 
 
-def _profiles(a_session: int):
+def _profiles(sample: int):
     def profile(b: pa.RecordBatch) -> pa.RecordBatch:
         s = Sessions(b)
         by_agent: dict[str, np.ndarray] = {}
@@ -89,12 +89,12 @@ def _profiles(a_session: int):
             t, lng, lat = s.t[k][here], s.lng[k][here], s.lat[k][here]
             c = by_agent.setdefault(agent, np.zeros(COUNTERS))
             c[:HOURS_AT] += paths.step_counts(t, lng, lat)
-            if a_session and len(t):
+            if sample and len(t):
                 features, hour = paths.reading_features(t, lng, lat, NO_SEASON), t // 3600 % 24
                 c[HOURS_AT : HOURS_AT + 24] += np.bincount(hour[1:], features[1:, SPEED], minlength=24)
                 c[HOURS_AT + 24 :] += np.bincount(hour[1:], minlength=24)
                 lot = (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-                pick = np.argsort(lot, kind="stable")[:a_session]
+                pick = np.argsort(lot, kind="stable")[:sample]
                 # the hour rides along so that the season can be taken off once it is known
                 drawn.append(np.column_stack([lot[pick].astype(float), features[pick], hour[pick]]))
                 of += [agent] * len(pick)
@@ -121,18 +121,17 @@ NO_SEASON = np.zeros(24)
 SPEED = paths.FEATURES.index("season")
 
 
-def agent_profiles(packed: DataFrame, sample: int = 0, a_session: int = 16) -> tuple[DataFrame, np.ndarray]:
+def agent_profiles(packed: DataFrame, sample: int = 0) -> tuple[DataFrame, np.ndarray]:
     """(agent_id, ck, cn[, f]) of every agent, and the counters summed over all agents.
 
     ck and cn are numbers and values of the agent's counters over all its rows.
     Counters add up, so they are summed before and after the shuffle and a hot
     agent costs no more than others.  f holds up to ``sample`` readings' features
     and hours, one after the other: those with the least hash of their time,
-    at most ``a_session`` from a session.  The rank limit is applied before the
-    shuffle, too.  The sums over all agents are COUNTERS numbers, whatever the
+    whatever their session.  The rank limit is applied before the shuffle, too.  The sums over all agents are COUNTERS numbers, whatever the
     input.
     """
-    rows = packed.mapInArrow(over_batches(_profiles(a_session if sample else 0)), PROFILE)
+    rows = packed.mapInArrow(over_batches(_profiles(sample)), PROFILE)
     if sample:
         rows = staged(rows)
     by_agent = rows.where(F.col("k") != DRAWN).groupBy("agent_id", "k").agg(F.sum("n").alias("n")).groupBy("agent_id").agg(F.collect_list(F.struct("k", "n")).alias("c"))
