@@ -114,3 +114,23 @@ def test_cut_is_taken_from_all_readings(spark):
     score = np.array([r["score"] for r in got])
     cut = np.quantile(score, SUSPECT_QUANTILE)
     assert all(r["suspect"] == (r["score"] >= cut) for r in got if abs(r["score"] - cut) > 1 / 4096)
+
+
+def test_stop_whose_seeds_lie_at_its_edge():
+    # every 100 s an event at one side of the place, two neighbours each way at the other side
+    k = np.arange(31) % 10
+    x = np.where(k == 0, 6.0, np.where((k < 3) | (k > 7), -6.0, 0.0))
+    assert paths.stays(np.arange(31) * 10, x, np.zeros(31), paths.Habits(20.0, 0.0, 0.05)) == [(0, 30)]
+
+
+def test_longest_neighbourhood_is_that_of_all_events():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        n = int(rng.integers(2, 150))
+        s = np.cumsum(rng.integers(1, 60, n))
+        x, y = np.cumsum(rng.normal(0, rng.choice([1, 5, 20]), n)) * rng.choice([0, 0.3, 1]) + rng.normal(0, 6, n), rng.normal(0, 6, n)
+        away = np.hypot(x - x[:, None], y - y[:, None]) > 15
+        first = [max(np.flatnonzero(away[k, :k]), default=-1) + 1 for k in range(n)]
+        last = [k + min(np.flatnonzero(away[k, k:]), default=n - k) - 1 for k in range(n)]
+        a, z = paths._densest(s, x, y, 15.0, 100)
+        assert s[z] - s[a] == max(s[j] - s[i] for i, j in zip(first, last))

@@ -295,31 +295,63 @@ def stays(t: np.ndarray, x: np.ndarray, y: np.ndarray, h: Habits, least_s: int =
     return sorted(out)
 
 
-def _densest(s: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float, every_s: int) -> tuple[int, int]:
-    """The longest time an event's unbroken neighbours cover, as their first and last place.
-
-    One event in ``every_s`` seconds is looked at, so none of the clusters asked
-    for, which last three times as long, is passed over.
-    """
-    n = len(s)
-    seeds = np.flatnonzero(np.concatenate([[True], np.diff(s // every_s) != 0]))
-    best, found = -1, (0, 0)
-    for c in range(0, len(seeds), 16):
-        k = seeds[c : c + 16]
-        wide = 256
+def _unbroken(k: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the unbroken neighbours of each of the events ``k``, which ascend."""
+    n = len(x)
+    first, last = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    for c in range(0, len(k), 16):
+        q = k[c : c + 16]
+        wide = 16
         while True:
-            lo, hi = max(0, int(k[0]) - wide), min(n, int(k[-1]) + wide + 1)
+            lo, hi = max(0, int(q[0]) - wide), min(n, int(q[-1]) + wide + 1)
             col = np.arange(lo, hi)
-            far = np.hypot(x[lo:hi] - x[k][:, None], y[lo:hi] - y[k][:, None]) > reach
-            last = np.where(far & (col > k[:, None]), col, hi).min(axis=1) - 1
-            first = np.where(far & (col < k[:, None]), col, lo - 1).max(axis=1) + 1
-            if (lo == 0 or (first > lo).all()) and (hi == n or (last < hi - 1).all()):
+            far = np.hypot(x[lo:hi] - x[q][:, None], y[lo:hi] - y[q][:, None]) > reach
+            z = np.where(far & (col > q[:, None]), col, hi).min(axis=1) - 1
+            a = np.where(far & (col < q[:, None]), col, lo - 1).max(axis=1) + 1
+            if (lo == 0 or (a > lo).all()) and (hi == n or (z < hi - 1).all()):
                 break
             wide *= 4
-        spent = s[last] - s[first]
-        m = int(np.argmax(spent))
-        if spent[m] > best:
-            best, found = spent[m], (int(first[m]), int(last[m]))
+        first[c : c + 16], last[c : c + 16] = a, z
+    return first, last
+
+
+def _densest(s: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float, every_s: int) -> tuple[int, int]:
+    """The longest time any event's unbroken neighbours cover, as their first and last place.
+
+    One event in ``every_s`` seconds is a seed, so that neighbours lasting that
+    long include one.  Events whose neighbours include a seed lie in its reach,
+    and these neighbours within twice that; so only events around seeds whose
+    unbroken surroundings of twice the reach last longer than the best found have
+    to be tried.  If nothing lasts ``every_s``, every event is tried.
+    """
+    seeds = np.flatnonzero(np.concatenate([[True], np.diff(s // every_s) != 0]))
+
+    def longest(k: np.ndarray) -> tuple[int, tuple[int, int]]:
+        first, last = _unbroken(k, x, y, reach)
+        m = int(np.argmax(s[last] - s[first]))
+        return int(s[last[m]] - s[first[m]]), (int(first[m]), int(last[m]))
+
+    best, found = longest(seeds)
+    lo, hi = _unbroken(seeds, x, y, 2 * reach)
+    bound = s[hi] - s[lo]
+    tried = np.zeros(len(s), dtype=bool)
+    tried[seeds] = True
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] <= best:
+            break
+        a, z = int(lo[i]), int(hi[i]) + 1
+        k = a + np.flatnonzero(~tried[a:z] & (np.hypot(x[a:z] - x[seeds[i]], y[a:z] - y[seeds[i]]) <= reach))
+        tried[k] = True
+        # those nearest to the middle first, as they cover most
+        for part in np.array_split(k[np.argsort(np.hypot(x[k] - np.median(x[a:z]), y[k] - np.median(y[a:z])))], max(1, len(k) // 64)):
+            if bound[i] > best and len(part):
+                spent, at = longest(np.sort(part))
+                if spent > best:
+                    best, found = spent, at
+    if best < every_s:
+        spent, at = longest(np.arange(len(s)))
+        if spent > best:
+            found = at
     return found
 
 
