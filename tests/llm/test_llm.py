@@ -94,6 +94,19 @@ def test_mixture(spark):
     assert rows(mixing.mix(docs, targets)) == rows(m) and not mixing.mix(docs.limit(0), targets).collect() and not mixing.mix(docs, targets.limit(0)).collect()
 
 
+def test_scarce_feed_is_clamped(spark, tmp_path):
+    from trackloom.llm.registry import QUERIES
+
+    data = [(0, "word", "small", "x")] + [(1 + k, "word " * 20, "big", "x") for k in range(300)] + [(400 + k, "word " * 20, "middle", "x") for k in range(100)]
+    spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("small", 0.05, 4), ("big", 0.75, 2), ("middle", 0.2, 2)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = QUERIES["p8_mix"](spark, str(tmp_path)).collect()
+    assert [r["repeats"] for r in got if r["source"] == "small"] == [4]
+    assert sum(r["source"] == "big" for r in got) == 300 and sum(r["source"] == "middle" for r in got) >= 80
+    share = {r["source"]: r["share"] for r in QUERIES["p8_shares"](spark, str(tmp_path)).collect()}
+    assert abs(share["big"] / share["middle"] - 0.75 / 0.2) < 0.1 and 0 < share["small"] < 0.01
+
+
 CUT = {
     "\\documentclass{article}\n\\begin{document}\nSome text that": True,
     "\\documentclass{article}\n\\begin{document}\nText.\n\\end{document}\n% a draft that breaks": False,

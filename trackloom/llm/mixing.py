@@ -27,21 +27,21 @@ class Share:
         return self.wanted / self.size if self.size else 0.0
 
 
-def water_fill(sizes: dict[str, int], weights: dict[str, float], most: dict[str, int], total: float | None = None) -> dict[str, Share]:
+def water_fill(sizes: dict[str, int], weights: dict[str, float], most: dict[str, int], total: float | None = None, least: float = 0.0) -> dict[str, Share]:
     """Tokens wanted from each source.
 
     Sources that would be repeated more than ``most`` times are clamped there and
     their excess goes to the others in proportion to their weights, again and
     again until all fit.  Empty sources and those without weight give nothing.
     ``total`` defaults to the greatest amount at which no source has to be
-    clamped, so that the shares are those asked for.  Beyond what all caps allow
-    the total isn't reached.
+    clamped, so that the shares are those asked for, but at least ``least``.
+    Beyond what all caps allow the total isn't reached.
     """
     live = {s for s in weights if sizes.get(s, 0) > 0 and weights[s] > 0 and most.get(s, 0) > 0}
     cap = {s: float(sizes[s]) * most[s] for s in live}
     if total is None:
         scale = sum(weights[s] for s in live)
-        total = min((cap[s] * scale / weights[s] for s in live), default=0.0)
+        total = max(least, min((cap[s] * scale / weights[s] for s in live), default=0.0))
     wanted = {s: 0.0 for s in weights}
     free, rest = set(live), float(total)
     while free:
@@ -56,7 +56,7 @@ def water_fill(sizes: dict[str, int], weights: dict[str, float], most: dict[str,
     return {s: Share(sizes.get(s, 0), wanted[s]) for s in weights}
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, vocabulary: str = VOCABULARY, cover: bool = False) -> DataFrame:
     """doc_id, source, n_tokens, repeats of the chosen records (repeats >= 1).
 
     ``docs`` has doc_id, text, source; ``targets`` has source, target_share and
@@ -70,7 +70,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     ends is put in order, so no source is sorted in one task.  Records without
     tokens or of a source without target aren't chosen; repeated targets of a
     source add up; records repeated in ``docs`` each count; empty inputs give no
-    rows.
+    rows.  With ``cover`` and no total, the total is at least that of all tokens
+    of the targeted sources, so that a scarce source is clamped and doesn't
+    limit the others.
     """
     wanted = {
         r["source"]: r
@@ -85,7 +87,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     counted = staged(token_counts(named, vocabulary).where("n_tokens > 0").withColumn("lot", lot).withColumn("part", F.pmod("lot", F.lit(PARTS)).cast("int")))
     parts = counted.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
     sizes = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    share = water_fill(sizes, {s: float(r["w"] or 0) for s, r in wanted.items()}, {s: int(r["m"] or 0) for s, r in wanted.items()}, total_tokens)
+    weights = {s: float(r["w"] or 0) for s, r in wanted.items()}
+    least = float(sum(n for s, n in sizes.items() if weights[s] > 0)) if cover else 0.0
+    share = water_fill(sizes, weights, {s: int(r["m"] or 0) for s, r in wanted.items()}, total_tokens, least)
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, int(v.epochs + 1e-9), max(0.0, v.wanted - int(v.epochs + 1e-9) * v.size)) for s, v in share.items()] or [("", 0, 0.0)], "source string, whole int, fraction double")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

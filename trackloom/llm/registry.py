@@ -17,12 +17,12 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(_docs(spark, sf), spark.read.parquet(f"{sf}/mix_targets.parquet"))
+    return mixing.mix(_docs(spark, sf), spark.read.parquet(f"{sf}/mix_targets.parquet"), cover=True)
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     targets = spark.read.parquet(f"{sf}/mix_targets.parquet")
-    return mixing.shares(mixing.mix(_docs(spark, sf), targets), targets)
+    return mixing.shares(mixing.mix(_docs(spark, sf), targets, cover=True), targets)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
