@@ -163,6 +163,21 @@ def test_large_graphs_give_the_same(spark, monkeypatch):
     assert results() == small and len(small[1]) == 5 and len(small[2]) >= 2
 
 
+@pytest.mark.parametrize("graph_rows", [2_000_000, 1])
+def test_beyond_the_cutoff(spark, monkeypatch, graph_rows):
+    monkeypatch.setattr(matching, "GRAPH_ROWS", graph_rows)
+    ends = [0.0, 500.0, 600.0, 700.0, 800.0, 900.0]
+    l = spark.createDataFrame([(k, k, k + 1, a, 0.0, b, 0.0) for k, (a, b) in enumerate(zip(ends, ends[1:]))], "link bigint, from_node bigint, to_node bigint, x1 double, y1 double, x2 double, y2 double")
+    p = line(spark, [450, 550, 850], dt=60)
+    m = matching.Model(buffer_m=20.0, cutoff_m=150.0)
+    got = matching.match(p, l, m)
+    # the first link is longer than the cutoff, but leads to the second one
+    assert [(r["link"], r["route_m"]) for r in got.orderBy("seq").collect()] == [(0, 100.0), (1, 1000.0), (4, None)]
+    paths = matching.bounded_paths(matching.link_edges(l), m.cutoff_m)
+    # from the second to the fifth link it is 200 m
+    assert rows(matching.completed(got, p, paths, l).select("seq", "sub_seq", "link")) == [(1, 1, 2), (1, 2, 3)]
+
+
 def test_components_and_chains(spark):
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(k, k + 1) for k in range(200, 260)] + [(500, 500)]

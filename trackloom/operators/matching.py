@@ -131,6 +131,47 @@ def relaxed_paths(edges: DataFrame, cutoff: float, sources: DataFrame | None = N
     return known.select("o", "d", "w.cost", F.reverse("w.turned").alias("path"))
 
 
+def with_long_links(paths: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``paths`` and, where it has none from ``sources``, single links of any length as paths of their own."""
+    e = edges.select(F.col("f").cast("bigint").alias("o"), F.col("t").cast("bigint").alias("d"), "length").where("o != d")
+    if sources is not None:
+        e = e.join(sources.select(F.col("o").cast("bigint")).distinct(), "o", "left_semi")
+    e = e.groupBy("o", "d").agg(F.min("length").cast("double").alias("cost")).withColumn("path", F.array("o", "d"))
+    return paths.unionByName(e.join(paths.select("o", "d"), ["o", "d"], "left_anti"))
+
+
+def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """o, d, cost, path of the given pairs, however long; pairs that aren't connected have no row."""
+    pairs = staged(pairs.select(F.col("o").cast("bigint"), F.col("d").cast("bigint")).where("o != d").distinct())
+    if not fits(edges, GRAPH_ROWS):
+        return relaxed_paths(edges, math.inf, pairs).join(pairs, ["o", "d"], "left_semi")
+    graph: dict[int, list[tuple[int, float]]] = {}
+    for r in edges.select("f", "t", "length").toLocalIterator():
+        graph.setdefault(r["f"], []).append((r["t"], r["length"]))
+    shared = edges.sparkSession.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for o, ends in zip(b["o"], b["ends"]):
+                left = set(ends)
+                for d, c, p in _dijkstra(shared.value, o, math.inf):
+                    if d in left:
+                        rows.append((o, d, c, p))
+                        left.discard(d)
+                    if not left:
+                        break
+            yield pd.DataFrame(rows, columns=["o", "d", "cost", "path"])
+
+    # a source has at most as many ends as there are nodes
+    return pairs.groupBy("o").agg(F.collect_set("d").alias("ends")).mapInPandas(run, "o bigint, d bigint, cost double, path array<bigint>")
+
+
+def link_edges(directed: DataFrame) -> DataFrame:
+    """f, t, length of directed links."""
+    return directed.select(F.col("from_node").alias("f"), F.col("to_node").alias("t"), plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("length"))
+
+
 def relaxed_costs(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
     """o, d, cost of ``relaxed_paths``."""
     return relaxed_paths(edges, cutoff, sources).drop("path")
@@ -161,7 +202,8 @@ def transitions(c: DataFrame, points: DataFrame, paths: DataFrame, m: Model = Mo
     A route leads along the first link, by the cached path between the links'
     first nodes, onto the second.  It is valid on the same link, between
     opposite links, or if the path begins with the first link and doesn't turn
-    back over the second; others get the length for unconnected links.
+    back over the second; others get the length for unconnected links.  Links
+    longer than the cutoff of the paths must be among these as paths of their own.
     """
     with_cands = c.select("agent_id", "seq").distinct()
     nxt = F.lead("seq").over(by_agent())
@@ -244,9 +286,9 @@ def decode(c: DataFrame, t: DataFrame) -> DataFrame:
 def match(points: DataFrame, directed: DataFrame, m: Model = Model()) -> DataFrame:
     """agent_id, seq, link, from_node, to_node, dist_m, along_m, heading, route_m, loc_type of every matchable point."""
     c = staged(emission(with_state(candidates(points, directed, m)), points, m))
-    edges = directed.select(F.col("from_node").alias("f"), F.col("to_node").alias("t"), plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("length"))
+    edges = link_edges(directed)
     starts = c.select(F.col("from_node").alias("o")).distinct()
-    paths = bounded_paths(edges, m.cutoff_m, starts)
+    paths = with_long_links(staged(bounded_paths(edges, m.cutoff_m, starts)), edges, starts)
     best = decode(c, transitions(c, points, paths, m))
     heading = F.pmod(F.degrees(F.atan2("dx", "dy")), F.lit(360.0))
     return best.join(c, ["agent_id", "seq", "state"]).select("agent_id", "seq", "link", "from_node", "to_node", "dist_m", "along_m", F.round(heading, 2).alias("heading"), "route_m", F.lit("s").alias("loc_type"))
@@ -255,15 +297,19 @@ def match(points: DataFrame, directed: DataFrame, m: Model = Model()) -> DataFra
 def completed(matched: DataFrame, points: DataFrame, paths: DataFrame, directed: DataFrame, top_kmh: float = 200.0) -> DataFrame:
     """Rows for the links between two matched ones that don't touch: loc_type 'c', sub_seq from 1.
 
-    They lie on the cached path, at their middle; times are spread evenly over
-    them.  Paths that would need more than ``top_kmh`` aren't filled in.
+    They lie on the cached path or, where ``paths`` has none, on the shortest one
+    of any length, at their middle; times are spread evenly over them.  Paths that would need more than ``top_kmh`` aren't filled in.
     """
     w = by_agent()
     t = points.select("agent_id", "seq", "t_s")
     nxt = F.struct("seq", "from_node", "to_node", "t_s")
     pairs = matched.join(t, ["agent_id", "seq"]).withColumn("n", F.lead(nxt).over(w)).where("n is not null and not (from_node = n.from_node and to_node = n.to_node) and to_node != n.from_node")
     p = paths.select(F.col("o").alias("to_node"), F.col("d").alias("_d"), "cost", "path")
-    j = pairs.withColumn("_d", F.col("n.from_node")).join(p, ["to_node", "_d"])
+    pairs = staged(pairs.withColumn("_d", F.col("n.from_node")))
+    ends = pairs.select(F.col("to_node").alias("o"), F.col("_d").alias("d")).join(paths.select("o", "d"), ["o", "d"], "left_anti")
+    beyond = pair_paths(link_edges(directed), ends)
+    p = p.unionByName(beyond.select(F.col("o").alias("to_node"), F.col("d").alias("_d"), "cost", "path"))
+    j = pairs.join(p, ["to_node", "_d"])
     j = j.where((F.col("n.t_s") > F.col("t_s")) & (3.6 * F.col("cost") / (F.col("n.t_s") - F.col("t_s")) < top_kmh))
     legs = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.struct(a.alias("f"), b.alias("t")))
     j = j.select("agent_id", "seq", "t_s", F.col("n.t_s").alias("t2"), F.size("path").alias("parts"), F.posexplode(legs).alias("k", "leg"))
