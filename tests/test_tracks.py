@@ -178,6 +178,17 @@ def test_beyond_the_cutoff(spark, monkeypatch, graph_rows):
     assert rows(matching.completed(got, p, paths, l).select("seq", "sub_seq", "link")) == [(1, 1, 2), (1, 2, 3)]
 
 
+def test_links_that_bend(spark):
+    # 100 m north, then 100 m east; its chord is far from its corner and shorter than its course
+    l = spark.createDataFrame([(0, 1, 2, [(0.0, 0.0), (0.0, 100.0), (100.0, 100.0)]), (1, 2, 3, [(100.0, 100.0), (200.0, 100.0)])], "link bigint, from_node bigint, to_node bigint, pts array<struct<x: double, y: double>>")
+    p = spark.createDataFrame([(1, 0, 0, 3.0, 50.0), (1, 1, 10, 60.0, 104.0), (1, 2, 20, 150.0, 100.0)], "agent_id bigint, seq bigint, t_s bigint, x_m double, y_m double")
+    c = matching.candidates(p, l, matching.Model(buffer_m=20.0))
+    assert rows(c.select("seq", "link", "dist_m", "along_m", "length", "dx", "dy")) == [(0, 0, 3.0, 50.0, 200.0, 0.0, 100.0), (1, 0, 4.0, 160.0, 200.0, 100.0, 0.0), (2, 1, 0.0, 50.0, 100.0, 100.0, 0.0)]
+    got = matching.match(p, l, matching.Model(buffer_m=20.0)).orderBy("seq").collect()
+    assert [(r["link"], r["route_m"]) for r in got] == [(0, 110.0), (0, 90.0), (1, None)]
+    assert rows(matching._middles(l).select("link", "x_m", "y_m", "along_m")) == [(0, 0.0, 100.0, 100.0), (1, 150.0, 100.0, 50.0)]
+
+
 def test_components_and_chains(spark):
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(k, k + 1) for k in range(200, 260)] + [(500, 500)]

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators import network
 from trackloom.operators.cleaning import by_agent, plane_distance
 from trackloom.plans.joins import cell_join, fits
 from trackloom.plans.stage import staged
@@ -36,19 +37,41 @@ class Model:
     cutoff_m: float = 1200.0
 
 
+def link_parts(directed: DataFrame) -> DataFrame:
+    """link, from_node, to_node, part, x1, y1, x2, y2, before, length: the segments of each link, its length before them and in all."""
+    if "pts" not in directed.columns:
+        length = plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+        return directed.select("link", "from_node", "to_node", F.lit(0).alias("part"), "x1", "y1", "x2", "y2", F.lit(0.0).alias("before"), length.alias("length"))
+    s = network.segments(directed.select(F.col("link").alias("link_id"), "pts"))
+    s = s.select(F.col("link_id").alias("link"), F.col("topo_seq").alias("part"), "x1", "y1", "x2", "y2", (F.col("seg_acc") - F.col("seg_length")).alias("before"), F.max("seg_acc").over(Window.partitionBy("link_id")).alias("length"))
+    return directed.select("link", "from_node", "to_node").join(s, "link")
+
+
+def _middles(directed: DataFrame) -> DataFrame:
+    """link, from_node, to_node, x_m, y_m, along_m: the middle of each link along its course."""
+    if "pts" not in directed.columns:
+        return directed.select("link", "from_node", "to_node", ((F.col("x1") + F.col("x2")) / 2).alias("x_m"), ((F.col("y1") + F.col("y2")) / 2).alias("y_m"), (plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) / 2).alias("along_m"))
+    own, half = plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), F.col("length") / 2
+    f = F.coalesce(F.try_divide(half - F.col("before"), own), F.lit(0.0))
+    s = link_parts(directed).where(F.col("before") <= half).withColumn("_k", F.row_number().over(Window.partitionBy("link").orderBy(F.desc("part")))).where("_k = 1")
+    return s.select("link", "from_node", "to_node", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x_m"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y_m"), half.alias("along_m"))
+
+
 def candidates(points: DataFrame, directed: DataFrame, m: Model = Model()) -> DataFrame:
     """agent_id, seq, link, from_node, to_node, dist_m, along_m, length, dx, dy: the nearest links of each point.
 
-    ``directed`` has link, from_node, to_node, x1, y1, x2, y2 (straight links).
-    Links are spread over the cells their box, widened by the buffer, touches; a
-    point has one cell; the exact distance decides; the ``top_k`` nearest stay,
-    equal ones by link.  dx, dy is the link's direction.
+    ``directed`` has link, from_node, to_node and x1, y1, x2, y2 (straight links)
+    or pts, their array<struct<x,y>>.  Segments are spread over the cells their
+    box, widened by the buffer, touches; a point has one cell; the exact distance
+    decides; a link counts by its nearest segment, of equal ones the first; the
+    ``top_k`` nearest links stay, equal ones by link.  along_m is measured along
+    the link; dx, dy is the direction of the segment.
     """
     size = m.buffer_m
     cell = lambda c: F.floor(c / size).cast("bigint")
     lo = lambda a, b: cell(F.least(a, b) - size)
     hi = lambda a, b: cell(F.greatest(a, b) + size)
-    spread = directed.select("link", "from_node", "to_node", "x1", "y1", "x2", "y2", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2"))).alias("cx"))
+    spread = link_parts(directed).withColumn("cx", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2"))))
     spread = spread.withColumn("cy", F.explode(F.sequence(lo(F.col("y1"), F.col("y2")), hi(F.col("y1"), F.col("y2")))))
     p = points.where("x_m is not null and y_m is not null").select("agent_id", "seq", "x_m", "y_m", cell(F.col("x_m")).alias("cx"), cell(F.col("y_m")).alias("cy"))
     j = cell_join(p, spread, ["cx", "cy"])
@@ -56,7 +79,11 @@ def candidates(points: DataFrame, directed: DataFrame, m: Model = Model()) -> Da
     n = ux * ux + uy * uy
     f = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("x_m") - F.col("x1")) * ux + (F.col("y_m") - F.col("y1")) * uy, n))), F.lit(0.0))
     j = j.withColumn("_f", f).withColumn("dist_m", plane_distance(F.col("x1") + F.col("_f") * ux, F.col("y1") + F.col("_f") * uy, F.col("x_m"), F.col("y_m"))).where(F.col("dist_m") <= size)
-    j = j.select("agent_id", "seq", "link", "from_node", "to_node", "dist_m", (F.col("_f") * F.sqrt(n)).alias("along_m"), F.sqrt(n).alias("length"), ux.alias("dx"), uy.alias("dy"))
+    j = j.select("agent_id", "seq", "link", "from_node", "to_node", "part", "dist_m", (F.col("before") + F.col("_f") * F.sqrt(n)).alias("along_m"), "length", ux.alias("dx"), uy.alias("dy"))
+    if "pts" in directed.columns:
+        nearest = Window.partitionBy("agent_id", "seq", "link").orderBy("dist_m", "part")
+        j = j.withColumn("_k", F.row_number().over(nearest)).where("_k = 1").drop("_k")
+    j = j.drop("part")
     w = Window.partitionBy("agent_id", "seq").orderBy("dist_m", "link")
     return j.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= m.top_k).drop("_k")
 
@@ -168,8 +195,9 @@ def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def link_edges(directed: DataFrame) -> DataFrame:
-    """f, t, length of directed links."""
-    return directed.select(F.col("from_node").alias("f"), F.col("to_node").alias("t"), plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("length"))
+    """f, t, length of directed links, along their course if they bend."""
+    length = network.line_length(F.col("pts")) if "pts" in directed.columns else plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return directed.select(F.col("from_node").alias("f"), F.col("to_node").alias("t"), length.alias("length"))
 
 
 def relaxed_costs(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
@@ -314,8 +342,7 @@ def completed(matched: DataFrame, points: DataFrame, paths: DataFrame, directed:
     legs = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.struct(a.alias("f"), b.alias("t")))
     j = j.select("agent_id", "seq", "t_s", F.col("n.t_s").alias("t2"), F.size("path").alias("parts"), F.posexplode(legs).alias("k", "leg"))
     j = j.select("agent_id", "seq", (F.col("k") + 1).alias("sub_seq"), F.col("leg.f").alias("from_node"), F.col("leg.t").alias("to_node"), (F.col("t_s") + (F.col("t2") - F.col("t_s")) * (F.col("k") + 1) / F.col("parts")).alias("t_s"))
-    mid = directed.select("link", "from_node", "to_node", ((F.col("x1") + F.col("x2")) / 2).alias("x_m"), ((F.col("y1") + F.col("y2")) / 2).alias("y_m"), (plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) / 2).alias("along_m"))
-    return j.join(mid, ["from_node", "to_node"]).withColumn("loc_type", F.lit("c"))
+    return j.join(_middles(directed), ["from_node", "to_node"]).withColumn("loc_type", F.lit("c"))
 
 
 def link_runs(matched: DataFrame, keep: str = "first") -> DataFrame:

@@ -6,13 +6,14 @@ a double doesn't decide whether two engines agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import projection
 from trackloom.functions.geo import great_circle_m
 from trackloom.functions.wkt import line_points, point_xy
 from trackloom.operators import cleaning, grids, matching, network, trips
+from trackloom.operators.pings import session_events
 from trackloom.plans.stage import staged
 from trackloom.plans.views import GPS_SQL, LINK_SQL, gps_view, link_view
 from trackloom.sources.formats import way_points
@@ -273,6 +274,56 @@ def match_completed(spark, sf):
     return matching.completed(m, p, paths, l).select("agent_id", "seq", "sub_seq", "link", "from_node", "to_node", milli("t_s").alias("t_ms"), milli("along_m").alias("along_mm"))
 
 
+def _zone(spark: SparkSession, sf: str) -> Column:
+    """The zone of the middle of the road network; all of it is projected there."""
+    xy = point_xy(F.col("geometry"))
+    return F.lit(spark.read.parquet(f"{sf}/node_layer.parquet").select(projection.utm_zone(F.avg(xy["x"])).alias("z")).first()["z"])
+
+
+def _roads(spark: SparkSession, sf: str) -> DataFrame:
+    """link, from_node, to_node, pts in metres of every direction of link_layer that can be driven."""
+    zone = _zone(spark, sf)
+
+    def planar(p: Column) -> Column:
+        x, y = projection.to_utm(p["x"], p["y"], zone)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    d = network.directed_links(_links(spark, sf).withColumn("pts", F.transform(line_points(F.col("geometry")), planar)), "pts")
+    return staged(d.select((F.col("link_id") * 2 + F.col("reverse").cast("int")).alias("link"), "from_node", "to_node", "pts"))
+
+
+def _road_points(spark: SparkSession, sf: str) -> DataFrame:
+    """agent_id (agent and first second of the session), seq, t_s, x_m, y_m of the located events on the globe."""
+    e = session_events(spark.read.parquet(f"{sf}/example_sparse_gps.parquet")).where("lng between -180 and 180 and lat between -80 and 84")
+    x, y = projection.to_utm(F.col("lng"), F.col("lat"), _zone(spark, sf))
+    seq = F.row_number().over(Window.partitionBy("agent_id", "start_s").orderBy("s")) - 1
+    return staged(e.select(F.concat_ws("/", "agent_id", "start_s").alias("agent_id"), seq.cast("bigint").alias("seq"), F.col("s").alias("t_s"), x.alias("x_m"), y.alias("y_m")))
+
+
+def _by_session(matched: DataFrame) -> DataFrame:
+    at = r"^(.*)/(-?\d+)$"
+    return matched.select(F.regexp_extract("agent_id", at, 1).alias("agent_id"), F.regexp_extract("agent_id", at, 2).cast("bigint").alias("start_s"), *[c for c in matched.columns if c != "agent_id"])
+
+
+@query()
+def road_path_cost(spark, sf):
+    e = matching.link_edges(_roads(spark, sf))
+    return matching.with_long_links(staged(matching.bounded_paths(e, matching.Model().cutoff_m)), e).select("o", "d", milli("cost").alias("cost_mm"))
+
+
+@query()
+def match_roads(spark, sf):
+    return _by_session(matching.match(_road_points(spark, sf), _roads(spark, sf)))
+
+
+@query()
+def match_roads_completed(spark, sf):
+    p, l = _road_points(spark, sf), _roads(spark, sf)
+    m = staged(matching.match(p, l))
+    paths = staged(matching.bounded_paths(matching.link_edges(l), matching.Model().cutoff_m, m.select(F.col("to_node").alias("o"))))
+    return _by_session(matching.completed(m, p, paths, l).select("agent_id", "seq", "sub_seq", "link", "from_node", "to_node", "t_s", "x_m", "y_m", "along_m"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM link_layer WHERE link_id % 3 = 0 UNION SELECT to_node, from_node FROM link_layer WHERE link_id % 3 = 0),
 reach(node, c) USING KEY (node) AS (
   SELECT a, a FROM e GROUP BY a
