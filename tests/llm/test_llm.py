@@ -151,3 +151,11 @@ def test_nested_markup():
     assert truncation.open_items("lost } brace { and\n\nnext paragraph") == []
     assert truncation.open_items("\\begin{verbatim}$ { \\end{verbatim}") == []
     assert truncation.open_items("$a {b") == ["$", "{"] and re.match("x", "x")
+
+
+def test_brackets_and_quotes_of_prose_are_held():
+    held = truncation.open_items
+    assert held("A sentence (see Fig.") == ["("] and held("He says “so it is.") == ["“"] and held("He says ``so.") == ["``"]
+    assert held("Open [1, 2) it is, ``so\" and „so“.") == [] and held("On $[0, 1)$ and \\([0, 1)\\), (a).") == [] and held("Lost (here\n\nA new paragraph.") == []
+    assert held("\\emph{lost ( here} and on.") == [] and held("1) first, 2) second.") == []
+    assert held("\\begin{align} (x \\end{align} whole.") == []

@@ -21,7 +21,9 @@ FORMULA_SHARE = 0.03
 #: A kind of end counts as expected in a feed if at least this share of its texts of that kind have it.
 BASELINE = 0.5
 
-_TOKENS = re.compile(r"\\(begin|end)\s*\{([^{}\n]*)\}|\\verb\*?([^\sA-Za-z*]).*?\3|\\.|\$\$|[{}$]|(?<!\\)%[^\n]*|\n[ \t\r]*\n", re.S)
+_TOKENS = re.compile(r"\\(begin|end)\s*\{([^{}\n]*)\}|\\verb\*?([^\sA-Za-z*]).*?\3|\\.|\$\$|[{}$]|(?<!\\)%[^\n]*|\n[ \t\r]*\n|``|''|[()\[\]“”„\"]", re.S)
+_FORMULA = re.compile(r"\$|\\[\[(]|(?:equation|align|eqnarray|gather|multline|displaymath|math|array|tikzpicture)")
+_OPENING, _CLOSING = {"(": ")", "[": ")", "“": "”", "„": "”", "``": "”"}, {")": ")", "]": ")", "”": "”", "''": "”", '"': "”"}
 _FULL = re.compile(r"^[^%\n]*\\(?:documentclass|documentstyle|magnification|begin\s*\{document\})", re.M)
 _CLOSED = re.compile(r"^(?:[^%\n\\]|\\[^\n])*?(?:\\end\s*\{\s*document\s*\}|\\bye\b|\\end\s*$)", re.M)
 _LAST_COMMENTS = re.compile(r"(?:\n|^)[ \t]*%[^\n]*$")
@@ -36,8 +38,10 @@ def open_items(text: str) -> list[str]:
     """What a stack automaton over the markup still holds at the end of ``text``.
 
     Environments nest by name; braces and formulas end at the latest with their
-    paragraph, so a stray sign early in a text doesn't count against its end.
-    Comments, escaped signs and verbatim text are passed over.
+    paragraph, so a stray sign early in a text doesn't count against its end; so
+    do brackets and quotes of prose, either bracket closing either, as in
+    half-open intervals.  A straight quote only closes, as it doesn't tell what
+    it is.  Comments, escaped signs and verbatim text are passed over.
     """
     stack: list[str] = []
     verbatim = ""
@@ -60,7 +64,7 @@ def open_items(text: str) -> list[str]:
         elif sign == "{":
             stack.append("{")
         elif sign == "}":
-            while stack and stack[-1] in ("$", "$$"):
+            while stack and (stack[-1] in ("$", "$$") or stack[-1] in _OPENING):
                 stack.pop()
             if stack and stack[-1] == "{":
                 stack.pop()
@@ -74,8 +78,22 @@ def open_items(text: str) -> list[str]:
         elif sign == "\\]":
             if "\\[" in stack:
                 del stack[len(stack) - 1 - stack[::-1].index("\\[") :]
+        elif sign == "\\(":
+            stack.append("\\(")
+        elif sign == "\\)":
+            if "\\(" in stack:
+                del stack[len(stack) - 1 - stack[::-1].index("\\(") :]
         elif sign[0] == "\n":
-            stack = [x for x in stack if x not in ("{", "$", "$$", "\\[")]
+            stack = [x for x in stack if x not in ("{", "$", "$$", "\\[", "\\(") and x not in _OPENING]
+        elif any(_FORMULA.match(x) for x in stack):
+            continue
+        elif sign in _OPENING and not (sign == "“" and "„" in stack):
+            stack.append(sign)
+        elif sign in _CLOSING or sign == "“":
+            what = _CLOSING.get(sign, "”")
+            at = [i for i, x in enumerate(stack) if _OPENING.get(x) == what]
+            if at:
+                del stack[at[-1]]
     if verbatim:
         stack.append(verbatim)
     return stack
