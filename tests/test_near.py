@@ -33,10 +33,15 @@ def test_hot_cells_are_salted(spark, monkeypatch):
     left = spark.createDataFrame([(1, i) for i in range(500)] + [(k, k) for k in range(2, 40)], "cell bigint, v bigint")
     right = spark.createDataFrame([(k, f"r{k}") for k in range(1, 30)] + [(1, "again")], "cell bigint, w string")
     want = rows(left.join(right, ["cell"]))
-    monkeypatch.setattr(joins, "HOT_SHARE", 3)
+    monkeypatch.setattr(joins, "HOT_ROWS", 30)
     assert rows(joins.cell_join(left, right, ["cell"], broadcast_rows=5).select("cell", "v", "w")) == want
 
 
+def test_wide_rows_are_not_broadcast(spark):
+    few = spark.createDataFrame([(1, ["x" * 1000] * 50, [1.0] * 100)], "cell bigint, w array<string>, v array<double>")
+    assert joins.small(few) and not joins.small(few, size=50_000) and joins.small(few.select("v", "cell"), size=50_000)
+
+
 def test_regions_with_holes_pieces_and_no_geometry(spark):
     shapes = {
         1: "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))",

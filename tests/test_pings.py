@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from trackloom.functions.timeparse import epoch_seconds
-from trackloom.operators import gridding, pings, runs, sessions
+from trackloom.operators import gridding, pings, sessions
 
 SCHEMA = "ping_id bigint, agent_id string, time string, lng double, lat double, extra string"
 T0 = 1_483_228_800
@@ -54,39 +54,54 @@ def brute(data, gap=1800):
     return out
 
 
-def test_sessions_grid_and_runs_against_brute_force(spark):
-    data = random_pings()
+def sweep(df):
+    return sessions.sweep_sessions(pings.day_events(df, before_s=pings.SESSION_GAP_S))
+
+
+def check_against_brute_force(spark, data):
     df = raw(spark, data)
     want = brute(data)
-    got = sessions.sweep_sessions(pings.events(pings.usable_pings(df)))
-    assert rows(got.select("agent_id", "start_s", "end_s", "duration_s", "n_events")) == sorted(((a, e[0][0], e[-1][0], e[-1][0] - e[0][0], len(e)) for a, e in want), key=repr)
-    ev = pings.session_events(df)
-    assert rows(ev.select("agent_id", "start_s").distinct()) == sorted(((a, e[0][0]) for a, e in want), key=repr)
+    assert rows(sweep(df)) == sorted(((a, e[0][0], e[-1][0], e[-1][0] - e[0][0], len(e)) for a, e in want), key=repr)
+    ev = sessions.session_events(df)
+    assert rows(ev.select("agent_id", "start_s", "s")) == sorted(((a, e[0][0], t) for a, e in want for t, _ in e), key=repr)
     cells = {(a, c, c in {t // 300 * 300 for t, p in e if p}) for a, e in want for c in range(e[0][0] // 300 * 300, e[-1][0] // 300 * 300 + 1, 300)}
-    assert rows(gridding.session_grid(ev).select("agent_id", "period_s", "covered")) == sorted(cells, key=repr)
+    assert rows(gridding.session_grid(df).select("agent_id", "period_s", "covered")) == sorted(cells, key=repr)
+
+
+def test_sessions_and_grid_against_brute_force(spark):
+    check_against_brute_force(spark, random_pings())
 
-    def near(p, q):
-        a, b, c, d = map(math.radians, (*p, *q))
-        h = math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2
-        return 2 * 6_371_008.8 * math.asin(math.sqrt(h)) <= 5
 
-    found = []
-    for a, e in want:
-        run = []
-        for t, p in [x for x in e if x[1]] + [(None, None)]:
-            if run and (p is None or not near(run[-1][1], p)):
-                if len(run) >= 3:
-                    found.append((a, run[0][0], run[-1][0], len(run)))
-                run = []
-            run.append((t, p))
-    assert rows(runs.position_runs(ev).select("agent_id", "start_s", "end_s", "n_events")) == sorted(found, key=repr) and found
+def test_session_of_many_days_delivered_again_and_again(spark):
+    # one agent that never pauses for 30 days, every position delivered ten times
+    rng = random.Random(1)
+    day = [("a", T0 + 1500 * k, None if rng.random() < 0.2 else 98.0 + k * 1e-3, 36.0) for k in range(30 * 86_400 // 1500)]
+    df = raw(spark, day * 10)
+    assert [(r["duration_s"], r["n_events"]) for r in sweep(df).collect()] == [(1500 * (len(day) - 1), len(day))]
+    check_against_brute_force(spark, day)
+    # no group holds more than an agent's day and its halo
+    assert pings.day_packs(df, 7200).selectExpr("max(size(array_distinct(s)))").first()[0] <= (86_400 + 2 * 7200) / 1500 + 1
+
+
+def test_ticks_at_midnight(spark):
+    data = [("a", T0 - 1800, 1.0, 1.0), ("a", T0, 1.0, 1.0), ("a", T0 + 1800, 1.0, 1.0), ("a", T0 + 3601, 1.0, 1.0), ("b", T0 - 1801, 1.0, 1.0), ("b", T0, None, 1.0)]
+    check_against_brute_force(spark, data)
 
 
 def test_filled_positions_lie_between_their_neighbours(spark):
-    ev = pings.session_events(raw(spark, [("a", T0, 10.0, 0.0), ("a", T0 + 1500, 10.01, 0.0)]))
-    got = {r["period_s"]: r for r in gridding.session_grid(ev).collect()}
+    df = raw(spark, [("a", T0, 10.0, 0.0), ("a", T0 + 1500, 10.01, 0.0), ("b", T0, 179.995, 0.0), ("b", T0 + 1500, -179.995, 0.0)])
+    got = {r["period_s"]: r for r in gridding.session_grid(df).where("agent_id = 'a'").collect()}
     assert [got[T0 + k]["covered"] for k in range(0, 1501, 300)] == [True, False, False, False, False, True]
     assert math.isclose(got[T0 + 300]["lng"], 10.003) and math.isclose(sum(r["moved_m"] or 0 for r in got.values()), 1111.95, abs_tol=0.1)
+    # the shorter way around the globe
+    assert all(abs(r["lng"]) > 179.99 for r in gridding.session_grid(df).where("agent_id = 'b'").collect())
+
+
+def test_long_waits_are_marked_not_filled(spark):
+    df = raw(spark, [("a", T0, 10.0, 0.0), *(("a", T0 + 1500 * k, None, None) for k in range(1, 6)), ("a", T0 + 9000, 10.01, 0.0)])
+    got = {r["period_s"] - T0: (r["lng"], r["moved_m"], r["covered"]) for r in gridding.session_grid(df).collect()}
+    assert len(got) == 31 and got[4500] == (None, None, False) and got[9000][2]
+    assert {r["period_s"] - T0: r["lng"] for r in gridding.session_grid(df, bridge_s=9000).collect()}[4500] is not None
 
 
 def test_counter_resets_and_overlaps(spark):
@@ -95,20 +110,13 @@ def test_counter_resets_and_overlaps(spark):
     assert got == {("a", 0): 30.0, ("a", 300): 30.0, ("a", 600): 10.0}
 
 
+def test_a_session_s_counters_begin_anew(spark):
+    df = raw(spark, [("a", T0 + s, x, 0.0) for s, x in ((0, 1.0), (100, 1.001), (200, 1.002), (5000, 1.003), (5100, 1.004))])
+    got = gridding.counter_readings(pings.day_events(df)).orderBy("s").collect()
+    assert [r["n"] for r in got] == [1, 2, 3, 1, 2] and [round(r["odo_m"]) for r in got] == [0, 111, 222, 0, 111]
+
+
 def test_empty_and_all_null(spark):
     for data in ([], [(None, None, None, None)] * 3):
         df = raw(spark, data)
-        ev = pings.session_events(df)
-        assert not rows(ev) and not rows(gridding.session_grid(ev)) and not rows(runs.position_runs(ev)) and not rows(sessions.sweep_sessions(pings.events(pings.usable_pings(df))))
-
-
-def test_collapse_of_equal_values(spark):
-    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (1, 5, "a"), (2, 1, "a")], "k int, t int, v string")
-    assert rows(runs.collapse(df, ["k"], ["t"], ["v"]).select("k", "v", "n", "first_at", "last_at")) == sorted([(1, "a", 2, 1, 2), (1, None, 2, 3, 4), (1, "a", 1, 5, 5), (2, "a", 1, 1, 1)], key=repr)
-
-
-def test_blocks_beyond_broadcast(spark, monkeypatch):
-    df = raw(spark, random_pings(5))
-    want = rows(pings.session_events(df))
-    monkeypatch.setattr(pings, "fits", lambda d: False)
-    assert rows(pings.session_events(df)) == want
+        assert not rows(sessions.session_events(df)) and not rows(gridding.session_grid(df)) and not rows(sweep(df))

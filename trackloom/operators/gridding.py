@@ -1,4 +1,4 @@
-"""Irregular readings onto a regular grid, counter style."""
+"""Irregular readings of counters onto a regular grid."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geo import great_circle_m
+from trackloom.operators.pings import DAY_S, SESSION_GAP_S, day_events
 
 
 def increments(readings: DataFrame, keys: list[str], at: str, value: str, step: int, monotone: bool = True) -> DataFrame:
@@ -36,49 +37,81 @@ def overlap(c: Column, step: int, t1: Column, t2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(c + step, t2) - F.greatest(c, t1)).cast("double")
 
 
-def session_grid(s: DataFrame, step: int = 300) -> DataFrame:
-    """One row per agent and ``step`` seconds of each session of ``session_events``.
+def counter_readings(ev: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
+    """Every event of ``day_events`` as a reading of three counters: adds n, odo_m, and the last position ps, plng, plat.
 
-    agent_id, start_s, period_s, lng, lat, moved_m, n_located, covered.  The
-    coordinates and the travelled distance are treated as counters that run on
-    from one located event to the next; the two signed coordinates never reset.
-    Each difference is spread over the periods it overlaps.  A covered period
-    has the mean of its positions; an uncovered one between two positions has
-    the counters' state at its middle (covered false, lng and lat filled);
-    before a session's first and after its last position lng and lat stay null.
-    moved_m is null where no interval between positions touches the period.
+    n counts a session's events, odo_m the metres from position to position;
+    both begin anew with a session, n at 1 and odo_m at 0.  ps, plng and plat are
+    time and place of the last located event of the session before this one.
     """
-    w = Window.partitionBy("agent_id", "start_s").orderBy("s")
-    # unlocated events only matter as ends of the session; the rest is dropped before the second sort
-    ends = Window.partitionBy("agent_id", "start_s")
-    located = s.withColumn("end_s", F.max("s").over(ends)).where((F.col("lng").isNotNull()) | (F.col("s") == F.col("start_s")))
-    shown = F.col("lng").isNotNull()
-    nxt = F.struct("s", "lng", "lat")
-    seg = located.withColumn("nx", F.lead(nxt).over(w))
-    after = F.coalesce(F.col("nx.s"), F.col("end_s"))
-    # each row answers for the cells from its own to the one before its successor's
-    first = cell(F.col("s"), step)
-    last = F.when(F.col("nx.s").isNull(), cell(F.col("end_s"), step)).otherwise(cell(F.col("nx.s"), step))
+    day = Window.partitionBy("agent_id", "day").orderBy("s")
+    within = Window.partitionBy("agent_id", "day", "_session").orderBy("s")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("s") - F.lag("s").over(day) > gap_s, F.lit(True)).cast("int")
+    e = ev.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.last(F.when(F.col("lng").isNotNull(), F.struct("s", "lng", "lat")), ignorenulls=True).over(before)
+    e = e.withColumn("_p", last).withColumn("n", F.row_number().over(within))
+    way = F.coalesce(great_circle_m(F.col("_p.lng"), F.col("_p.lat"), F.col("lng"), F.col("lat")), F.lit(0.0))
+    e = e.withColumn("_way", way).withColumn("odo_m", F.sum("_way").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return e.select("agent_id", "day", "s", "lng", "lat", "n", "odo_m", F.col("_p.s").alias("ps"), F.col("_p.lng").alias("plng"), F.col("_p.lat").alias("plat"))
+
+
+def session_grid(raw: DataFrame, step: int = 300, bridge_s: int = 3_600) -> DataFrame:
+    """One row per agent and ``step`` seconds of each session: agent_id, period_s, lng, lat, moved_m, n_located, covered.
+
+    Three counters are read at every event (``counter_readings``): the number of
+    the session's events, its metres, and, as counters that may fall, the two
+    coordinates.  Consecutive readings of an agent are differenced.  Where the
+    number of events fails to rise or the metres fall, the counters were reset: a
+    session ended, and nothing is spread between the two.  Any other difference
+    is spread over the periods between its readings in proportion to their
+    overlap; these periods, and those of the readings themselves, are the
+    session's.  A period that gains no located reading is uncovered.  A covered
+    period has the mean of its positions; an uncovered one between two positions
+    at most ``bridge_s`` apart has the coordinates' counters at its middle, a
+    longer wait or an end of the session leaves them null: the period is only
+    marked.  Everything happens within (agent, day) and a halo of ``bridge_s``.
+
+    ``step`` divides a day and ``bridge_s`` is at least the session's gap.  Null
+    agents and times have been left out; ties of deliveries are one event; an
+    empty table gives no rows; further columns are ignored.
+    """
+    if DAY_S % step or bridge_s < SESSION_GAP_S:
+        raise ValueError("a day must be a multiple of step, bridge_s at least the gap of a session")
+    r = counter_readings(day_events(raw, bridge_s, bridge_s))
+    w = Window.partitionBy("agent_id", "day").orderBy("s")
+    r = r.withColumn("_was", F.lag(F.struct("s", "n", "odo_m")).over(w))
+    # a counter of events rises by one from reading to reading of a session
+    reset = F.coalesce((F.col("n") <= F.col("_was.n")) | (F.col("odo_m") < F.col("_was.odo_m")), F.lit(True))
+    r = r.withColumn("_t1", F.when(~reset, F.col("_was.s"))).withColumn("_gain", F.when(~reset, F.col("odo_m") - F.col("_was.odo_m")))
+    t1, t2, shown = F.col("_t1"), F.col("s"), F.col("lng").isNotNull()
+    # metres were made since the last position, which is as long ago as it is, but not beyond the bridge
+    since = F.when(shown & (F.col("ps") >= t2 - bridge_s), F.col("ps"))
+    first = cell(F.coalesce(F.least(since, t1), t1, t2), step)
+    cells = r.withColumn("_since", since).withColumn("period_s", F.explode(F.sequence(first, cell(t2, step), F.lit(step).cast("bigint"))))
     p = F.col("period_s")
-    t2, t1 = F.col("nx.s"), F.col("s")
-    part = F.when(shown & t2.isNotNull(), overlap(p, step, t1, t2) / (t2 - t1))
-    middle = F.when(shown & t2.isNotNull(), (p + step / 2.0 - t1) / (t2 - t1))
-    whole = F.when(shown & t2.isNotNull(), great_circle_m(F.col("lng"), F.col("lat"), F.col("nx.lng"), F.col("nx.lat")))
-    own = shown & (first == p)
-    # a row's cells are first..last; cells strictly between hold no position at all
+    cells = cells.where((p >= F.col("day") * DAY_S) & (p < (F.col("day") + 1) * DAY_S))
+    own = p == cell(t2, step)
+    # ticks land where they are read, metres and coordinates are spread since the last position
+    part = overlap(p, step, F.col("_since"), t2) / (t2 - F.col("_since"))
+    middle = (p + step / 2.0 - F.col("_since")) / (t2 - F.col("_since"))
     inner = (middle >= 0) & (middle <= 1)
+    # the shorter way around the globe
+    turn = F.col("lng") - F.col("plng")
+    turn = F.when((F.abs("lng") <= 180) & (F.abs("plng") <= 180), turn - 360 * F.round(turn / 360)).otherwise(turn)
+    across = F.col("plng") + turn * middle
+    across = F.when((F.abs("lng") <= 180) & (F.abs("plng") <= 180), across - 360 * F.round(across / 360)).otherwise(across)
+    inside = (p >= cell(F.coalesce(t1, t2), step)) | F.col("_since").isNotNull()
     return (
-        seg.withColumn("_whole", whole)
-        .select("*", F.explode(F.sequence(first, F.greatest(first, last), F.lit(step).cast("bigint"))).alias("period_s"))
-        .withColumn("_after", after)
-        .groupBy("agent_id", "start_s", "period_s")
+        cells.where(inside)
+        .groupBy("agent_id", "day", "period_s")
         .agg(
-            F.sum(F.col("_whole") * part).alias("moved_m"),
-            F.count(F.when(own, 1)).alias("n_located"),
-            F.avg(F.when(own, F.col("lng"))).alias("_lng"),
-            F.avg(F.when(own, F.col("lat"))).alias("_lat"),
-            F.max(F.when(inner, F.col("lng") + (F.col("nx.lng") - F.col("lng")) * middle)).alias("_mlng"),
-            F.max(F.when(inner, F.col("lat") + (F.col("nx.lat") - F.col("lat")) * middle)).alias("_mlat"),
+            F.sum(F.col("_gain") * part).alias("moved_m"),
+            F.sum((own & shown).cast("int")).alias("n_located"),
+            F.avg(F.when(own & shown, F.col("lng"))).alias("_lng"),
+            F.avg(F.when(own & shown, F.col("lat"))).alias("_lat"),
+            F.max(F.when(inner, across)).alias("_mlng"),
+            F.max(F.when(inner, F.col("plat") + (F.col("lat") - F.col("plat")) * middle)).alias("_mlat"),
         )
-        .select("agent_id", "start_s", "period_s", F.coalesce("_lng", "_mlng").alias("lng"), F.coalesce("_lat", "_mlat").alias("lat"), "moved_m", "n_located", (F.col("n_located") > 0).alias("covered"))
+        .select("agent_id", "period_s", F.coalesce("_lng", "_mlng").alias("lng"), F.coalesce("_lat", "_mlat").alias("lat"), "moved_m", "n_located", (F.col("n_located") > 0).alias("covered"))
     )

@@ -1,18 +1,18 @@
-"""From raw location rows to events and sessions.
+"""From raw location rows to events of an agent's days.
 
 An agent has at most one event a second, so a group keyed by agent and UTC day
-never holds more than 86,400 events, and one keyed by session no more than the
-session has seconds, however much of the input one agent sends.
+never holds more than 86,400 events (and those of its halo), however much of the
+input one agent sends and however long it keeps sending without a pause.
+Everything that looks beyond a day's border either finds what it needs in the
+halo or is stitched from one summary row a day.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.timeparse import clean_key, epoch_seconds
-from trackloom.plans.joins import fits
-from trackloom.plans.stage import staged
 
 DAY_S = 86_400
 SESSION_GAP_S = 1_800
@@ -44,50 +44,40 @@ def events(pings: DataFrame) -> DataFrame:
     delivery is (their positions agree; of differing ones the greatest pair is
     taken, so that the result doesn't depend on arrival).
     """
-    at = F.max(F.when(F.col("lng").isNotNull(), F.struct("lng", "lat"))).alias("at")
-    return pings.groupBy("agent_id", "s").agg(at).select("agent_id", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"))
+    return pings.groupBy("agent_id", "s").agg(_position()).select("agent_id", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"))
 
 
-def session_blocks(seconds: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """agent_id, block, start_s: the session that holds an agent's block of ``gap_s`` seconds.
+def _position() -> Column:
+    return F.max(F.when(F.col("lng").isNotNull(), F.struct("lng", "lat"))).alias("at")
 
-    Two events of one block are less than ``gap_s`` apart, so a session can only
-    end between blocks.  First and last second of each block are aggregated
-    before the shuffle; the window runs over these few rows.
-    """
-    over = Window.partitionBy("agent_id").orderBy("block")
-    opens = F.coalesce(F.col("first") - F.lag("last").over(over) > gap_s, F.lit(True))
-    return (
-        seconds.groupBy("agent_id", _block(gap_s).alias("block"))
-        .agg(F.min("s").alias("first"), F.max("s").alias("last"))
-        .withColumn("opened", F.when(opens, F.col("first")))
-        .select("agent_id", "block", F.last("opened", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("start_s"))
-    )
 
+def by_day(pings: DataFrame, before_s: int = 0, after_s: int = 0) -> DataFrame:
+    """Pings with ``day``, shuffled once on (agent_id, day).
 
-def _block(gap_s: int) -> Column:
-    return F.floor(F.col("s") / gap_s).cast("bigint")
-
+    A day also gets the pings of the last ``before_s`` seconds before it and of
+    the first ``after_s`` seconds behind it, its halo.
+    """
+    at = lambda c: F.floor(c / DAY_S).cast("bigint")
+    if before_s or after_s:
+        day = F.explode(F.sequence(at(F.col("s") - after_s), at(F.col("s") + before_s)))
+    else:
+        day = at(F.col("s"))
+    return pings.withColumn("day", day).repartition("agent_id", "day")
 
-def session_pings(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """Usable pings with start_s, the first second of their session.
 
-    A session ends where the next event comes more than ``gap_s`` later; exactly
-    ``gap_s`` doesn't split.  The table of blocks is broadcast while it is small;
-    beyond that it is joined on (agent_id, block), which holds at most ``gap_s``
-    seconds a key.
-    """
-    p = usable_pings(raw)
-    blocks = staged(session_blocks(p.select("agent_id", "s"), gap_s))
-    keyed = p.withColumn("block", _block(gap_s))
-    return keyed.join(F.broadcast(blocks) if fits(blocks) else blocks, ["agent_id", "block"]).drop("block")
+def day_events(raw: DataFrame, before_s: int = 0, after_s: int = 0) -> DataFrame:
+    """One row an event of a day or of its halo: agent_id, day, s, lng, lat, partitioned by (agent_id, day)."""
+    rows = by_day(usable_pings(raw), before_s, after_s).groupBy("agent_id", "day", "s").agg(_position())
+    return rows.select("agent_id", "day", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"))
 
 
-def session_events(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """One row an event with its session: agent_id, start_s, s, lng, lat.
+def day_packs(raw: DataFrame, halo_s: int = 0) -> DataFrame:
+    """agent_id, day, s, lng, lat, ping_ids: one row a day and its halo, arrays of its deliveries in any order.
 
-    The rows come out partitioned by (agent_id, start_s).
+    lng and lat are null in deliveries without a position.  A day has at most
+    86,400 events, so a device that never pauses, or an agent with a third of all
+    rows, is spread over its days.
     """
-    at = F.max(F.when(F.col("lng").isNotNull(), F.struct("lng", "lat"))).alias("at")
-    rows = session_pings(raw, gap_s).repartition("agent_id", "start_s").groupBy("agent_id", "start_s", "s").agg(at)
-    return rows.select("agent_id", "start_s", "s", F.col("at.lng").alias("lng"), F.col("at.lat").alias("lat"))
+    e = F.collect_list(F.struct("s", "lng", "lat", "ping_id"))
+    packed = by_day(usable_pings(raw), halo_s, halo_s).groupBy("agent_id", "day").agg(e.alias("e"))
+    return packed.select("agent_id", "day", F.col("e.s").alias("s"), F.col("e.lng").alias("lng"), F.col("e.lat").alias("lat"), F.col("e.ping_id").alias("ping_ids"))

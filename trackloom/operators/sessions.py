@@ -5,46 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.pings import DAY_S, SESSION_GAP_S
+from trackloom.operators.pings import DAY_S, SESSION_GAP_S, day_events
+from trackloom.plans.stage import staged
 
 
 def sweep_sessions(ev: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
     """agent_id, start_s, end_s, duration_s, n_events of every session.
 
+    ``ev`` is ``day_events`` with the last ``gap_s`` seconds before each day.
     Every event adds one at its second and takes one away ``gap_s`` later; at
     equal seconds the additions come first, so a gap of exactly ``gap_s`` keeps
     a session open.  Where the running sum leaves zero a session starts, where
-    it returns to zero it ends.  The sum runs inside an agent's day (at most
-    86,400 events); the sum, the count and the last start before a day come
-    from a window over one summary row per agent and day.  Events at the same
-    second count once; an empty input gives no rows; null agents or times must
-    have been left out before (``usable_pings``).
+    it returns to zero it ends.  An event closes after ``gap_s``, so what is
+    still open when a day begins was opened in its halo: the sum runs inside an
+    agent's day, without a look at other days and without another shuffle.  A
+    day's pieces between two ends are aggregated there, and a window over these
+    few rows joins the pieces of sessions that last beyond a day.  Events at the
+    same second count once; an empty input gives no rows; null agents or times
+    must have been left out before (``usable_pings``).
     """
-    deltas = (
-        ev.select("agent_id", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct((F.col("s") + gap_s).alias("t"), F.lit(-1).alias("d")))).alias("x"))
-        .select("agent_id", "x.t", "x.d", F.floor(F.col("x.t") / DAY_S).cast("bigint").alias("day"))
-        .repartition("agent_id", "day")
-    )
-    day = Window.partitionBy("agent_id", "day").orderBy("t", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
-    over_days = Window.partitionBy("agent_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = (
-        deltas.groupBy("agent_id", "day")
-        .agg(F.sum("d").alias("_d"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("_n"))
-        .select("agent_id", "day", F.coalesce(F.sum("_d").over(over_days), F.lit(0)).alias("_open_before"), F.coalesce(F.sum("_n").over(over_days), F.lit(0)).alias("_n_before"))
-    )
+    one = lambda t, d, own: F.struct(F.col("day"), t.alias("t"), F.lit(d).alias("d"), own.alias("own"))
+    own = (F.floor(F.col("s") / DAY_S) == F.col("day")).cast("int")
+    deltas = ev.select("agent_id", "day", F.explode(F.array(one(F.col("s"), 1, own), one(F.col("s") + gap_s, -1, F.lit(0)))).alias("x")).select("agent_id", "day", "x.t", "x.d", "x.own").where(F.col("t") < (F.col("day") + 1) * DAY_S)
+    order = Window.partitionBy("agent_id", "day").orderBy("t", F.desc("d"))
     crossed = (
-        deltas.withColumn("_sum", F.sum("d").over(day))
-        .withColumn("_n", F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).over(day))
-        .join(days, ["agent_id", "day"])
-        .withColumn("open", F.col("_sum") + F.col("_open_before"))
-        .where("(d = 1 and open = 1) or (d = -1 and open = 0)")
-        .select("agent_id", "t", "d", (F.col("_n") + F.col("_n_before")).alias("n"))
+        deltas.withColumn("open", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("t") >= F.col("day") * DAY_S)
+        .withColumn("starts", (F.col("d") == 1) & (F.col("open") == 1))
+        .withColumn("ends", (F.col("d") == -1) & (F.col("open") == 0))
+        .withColumn("piece", F.sum(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("ends").cast("int"))
     )
-    # crossings alternate between start and end; there are at most DAY_S / gap_s pairs of them a day
-    by_agent = Window.partitionBy("agent_id").orderBy("t", F.desc("d"))
+    pieces = crossed.groupBy("agent_id", "day", "piece").agg(F.min(F.when(F.col("starts"), F.col("t"))).alias("start_s"), F.max(F.when(F.col("ends"), F.col("t") - gap_s)).alias("end_s"), F.sum("own").alias("n"))
+    # at most DAY_S / gap_s + 1 pieces a day
+    by_agent = Window.partitionBy("agent_id").orderBy("day", "piece").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        crossed.withColumn("start_s", F.lag("t").over(by_agent))
-        .withColumn("_at_start", F.lag("n").over(by_agent))
-        .where("d = -1")
-        .select("agent_id", "start_s", (F.col("t") - gap_s).alias("end_s"), (F.col("t") - gap_s - F.col("start_s")).alias("duration_s"), (F.col("n") - F.col("_at_start") + 1).alias("n_events"))
+        pieces.withColumn("_session", F.last("start_s", ignorenulls=True).over(by_agent))
+        .groupBy("agent_id", F.col("_session").alias("start_s"))
+        .agg(F.max("end_s").alias("end_s"), F.sum("n").alias("n_events"))
+        .select("agent_id", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "n_events")
     )
+
+
+def session_events(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
+    """One row an event with its session: agent_id, day, start_s, s, lng, lat.
+
+    Sessions are few; they are joined to the events by the days they touch, of
+    which each has at most DAY_S / gap_s + 1 sessions.
+    """
+    at = lambda c: F.floor(F.col(c) / DAY_S).cast("bigint")
+    ev = staged(day_events(raw, before_s=gap_s))
+    found = sweep_sessions(ev, gap_s).select("agent_id", "start_s", "end_s", F.explode(F.sequence(at("start_s"), at("end_s"))).alias("day"))
+    own = ev.where(F.col("day") == at("s"))
+    return own.join(found, ["agent_id", "day"]).where("s between start_s and end_s").select("agent_id", "day", "start_s", "s", "lng", "lat")

@@ -1,4 +1,4 @@
-"""Whole sessions as arrays, and what each agent usually does."""
+"""Days of events as arrays, and what each agent usually does."""
 
 from __future__ import annotations
 
@@ -6,52 +6,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import paths
-from trackloom.operators.pings import SESSION_GAP_S, session_pings
+from trackloom.operators.pings import DAY_S, SESSION_GAP_S, day_packs
 from trackloom.plans.stage import staged
 
+#: Seconds before and behind a day that its kernels see as well.
+HALO_S = 7_200
 
-def packed_sessions(raw: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """agent_id, start_s, s, lng, lat, ping_ids: one row a session, arrays of its deliveries in any order.
 
-    lng and lat are null in deliveries without a position.  An agent with very
-    many rows is spread over its sessions; a session has at most one event a
-    second, however often its events are delivered.
-    """
-    e = F.collect_list(F.struct("s", "lng", "lat", "ping_id"))
-    packed = session_pings(raw, gap_s).repartition("agent_id", "start_s").groupBy("agent_id", "start_s").agg(e.alias("e"))
-    return packed.select("agent_id", "start_s", F.col("e.s").alias("s"), F.col("e.lng").alias("lng"), F.col("e.lat").alias("lat"), F.col("e.ping_id").alias("ping_ids"))
-
-
-class Sessions:
-    """One Arrow batch of packed sessions as flat numpy arrays of events in order.
+class Days:
+    """One Arrow batch of ``day_packs`` as flat numpy arrays of events in order.
 
     Deliveries of one second are one event, with the greatest position if they
-    differ; n_ids tells how many there are.
+    differ; n_ids tells how many there are.  ``seg`` numbers the sessions, which
+    end where the next event comes more than ``gap_s`` later or at the end of the
+    halo; ``core`` tells the day's own events from those of its halo.
     """
 
-    def __init__(self, b: pa.RecordBatch) -> None:
+    def __init__(self, b: pa.RecordBatch, gap_s: int = SESSION_GAP_S) -> None:
         self.agent = b.column("agent_id").to_pylist()
-        self.start = b.column("start_s").to_pylist()
+        self.day = b.column("day").to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False)
         t, lng, lat, ids = flat("s").astype(np.int64), flat("lng").astype(float), flat("lat").astype(float), flat("ping_ids").astype(np.int64)
-        session = np.repeat(np.arange(b.num_rows), np.diff(b.column("s").offsets.to_numpy()))
-        order = np.lexsort((-lat, -lng, t, session))
-        t, session = t[order], session[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(t) != 0) | (np.diff(session) != 0)])) if len(t) else np.zeros(0, np.int64)
+        pack = np.repeat(np.arange(b.num_rows), np.diff(b.column("s").offsets.to_numpy()))
+        order = np.lexsort((-lat, -lng, t, pack))
+        t, pack = t[order], pack[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(t) != 0) | (np.diff(pack) != 0)])) if len(t) else np.zeros(0, np.int64)
         self.ids = ids[order]
-        self.t, self.lng, self.lat = t[first], lng[order][first], lat[order][first]
+        self.t, self.lng, self.lat, self.pack = t[first], lng[order][first], lat[order][first], pack[first]
         self.n_ids = np.diff(np.append(first, len(t)))
-        self.at = np.searchsorted(session[first], np.arange(b.num_rows + 1))
         self.located = ~(np.isnan(self.lng) | np.isnan(self.lat))
         self.first_id = np.concatenate([[0], np.cumsum(self.n_ids)])
-
-    def __iter__(self) -> Iterator[tuple[int, str, slice]]:
-        for i, agent in enumerate(self.agent):
-            yield i, agent, slice(self.at[i], self.at[i + 1])
+        self.seg = np.cumsum(np.concatenate([[0], (np.diff(self.t) > gap_s) | (np.diff(self.pack) != 0)])) if len(self.t) else np.zeros(0, np.int64)
+        self.core = self.t // DAY_S == self.day[self.pack]
 
     def ids_of(self, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The deliveries of the given events and, for each, its event."""
@@ -59,6 +49,10 @@ class Sessions:
         inner = np.arange(len(k)) - np.repeat(np.cumsum(self.n_ids[events]) - self.n_ids[events], self.n_ids[events])
         return self.ids[self.first_id[k] + inner], k
 
+    def habits(self, b: pa.RecordBatch, events: np.ndarray) -> paths.Habits:
+        """The habits joined to the packs, for each of the given events."""
+        return paths.Habits(*(b.column(c).to_numpy(zero_copy_only=False).astype(float)[self.pack[events]] for c in ("top", "jitter", "lines")))
+
 
 def over_batches(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,84 +63,48 @@ def over_batches(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Ite
     return run
 
 
-#: Counters of usual speed by hour of day: sum of log speed and number of steps.
-HOURS_AT = paths.LENGTH_BINS + paths.BINS
-COUNTERS = HOURS_AT + 48
-
-
-PROFILE = "agent_id string, k int, n double, f array<float>"
-#: Kind of the rows of a profile that are drawn readings, not counters.
-DRAWN = -1
-
-
-def _profiles(sample: int):
-    def profile(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = Sessions(b)
-        by_agent: dict[str, np.ndarray] = {}
-        drawn, of = [], []
-        for _, agent, k in s:
-            here = s.located[k]
-            t, lng, lat = s.t[k][here], s.lng[k][here], s.lat[k][here]
-            c = by_agent.setdefault(agent, np.zeros(COUNTERS))
-            c[:HOURS_AT] += paths.step_counts(t, lng, lat)
-            if sample and len(t):
-                features, hour = paths.reading_features(t, lng, lat, NO_SEASON), t // 3600 % 24
-                c[HOURS_AT : HOURS_AT + 24] += np.bincount(hour[1:], features[1:, SPEED], minlength=24)
-                c[HOURS_AT + 24 :] += np.bincount(hour[1:], minlength=24)
-                lot = (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-                pick = np.argsort(lot, kind="stable")[:sample]
-                # the hour rides along so that the season can be taken off once it is known
-                drawn.append(np.column_stack([lot[pick].astype(float), features[pick], hour[pick]]))
-                of += [agent] * len(pick)
-        agents, ks, ns = [], [], []
-        for agent, c in by_agent.items():
-            # an agent without a single step still needs a row
-            k = np.union1d(np.flatnonzero(c), [0])
-            agents += [agent] * len(k)
-            ks.append(k)
-            ns.append(c[k])
-        x = np.concatenate(drawn) if drawn else np.zeros((0, 1))
-        k = np.concatenate([*ks, np.full(len(of), DRAWN)]).astype(np.int32)
-        n = np.concatenate([*ns, x[:, 0]])
-        width = x.shape[1] - 1
-        at = np.concatenate([np.zeros(len(agents), np.int64), np.arange(len(of) + 1) * width]).astype(np.int32)
-        f = pa.ListArray.from_arrays(pa.array(at), pa.array(x[:, 1:].astype(np.float32).ravel()))
-        return pa.RecordBatch.from_arrays([pa.array([*agents, *of], pa.string()), pa.array(k), pa.array(n), f], names=["agent_id", "k", "n", "f"])
-
-    return profile
-
-
-NO_SEASON = np.zeros(24)
-#: The feature that is the logarithm of the last step's speed as long as no season is taken off.
-SPEED = paths.FEATURES.index("season")
-
-
-def agent_profiles(packed: DataFrame, sample: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """(agent_id, ck, cn[, f]) of every agent, and the counters summed over all agents.
-
-    ck and cn are numbers and values of the agent's counters over all its rows.
-    Counters add up, so they are summed before and after the shuffle and a hot
-    agent costs no more than others.  f holds up to ``sample`` readings' features
-    and hours, one after the other: those with the least hash of their time,
-    whatever their session.  The rank limit is applied before the shuffle, too.  The sums over all agents are COUNTERS numbers, whatever the
-    input.
+def tracks(raw: DataFrame) -> DataFrame:
+    """``day_packs`` with the halo of the kernels, staged."""
+    return staged(day_packs(raw, HALO_S))
+
+
+def _profile(b: pa.RecordBatch) -> pa.RecordBatch:
+    d = Days(b)
+    here = np.flatnonzero(d.located)
+    names, owner = np.unique(np.array(d.agent, dtype=object).astype(str), return_inverse=True)
+    c = paths.step_counts(d.seg[here], owner[d.pack[here]], d.core[here], d.t[here], d.lng[here], d.lat[here], len(names))
+    at, k = np.nonzero(c)
+    # an agent without a single position still needs a row
+    at, k = np.concatenate([at, np.arange(len(names))]), np.concatenate([k, np.zeros(len(names), np.int64)])
+    n = c[at, k]
+    n[len(n) - len(names) :] = 0
+    return pa.RecordBatch.from_arrays([pa.array(names[at], pa.string()), pa.array(k.astype(np.int32)), pa.array(n)], names=["agent_id", "k", "n"])
+
+
+HABITS = "agent_id string, top double, jitter double, lines double, readings bigint, usual array<float>"
+
+
+def agent_habits(packed: DataFrame) -> DataFrame:
+    """HABITS of every agent.
+
+    Counters over all steps (speeds, jitter, hours of day) add up, so they are
+    summed before and after the shuffle and a hot agent costs no more than
+    others; they are turned into habits where they arrive.  The sums over all
+    agents, which stand in where an agent shows little, are COUNTERS numbers
+    whatever the input.
     """
-    rows = packed.mapInArrow(over_batches(_profiles(sample)), PROFILE)
-    if sample:
-        rows = staged(rows)
-    by_agent = rows.where(F.col("k") != DRAWN).groupBy("agent_id", "k").agg(F.sum("n").alias("n")).groupBy("agent_id").agg(F.collect_list(F.struct("k", "n")).alias("c"))
+    by_agent = packed.mapInArrow(over_batches(_profile), "agent_id string, k int, n double").groupBy("agent_id", "k").agg(F.sum("n").alias("n")).groupBy("agent_id").agg(F.collect_list(F.struct("k", "n")).alias("c"))
     by_agent = staged(by_agent.select("agent_id", F.col("c.k").alias("ck"), F.col("c.n").alias("cn")))
-    everyone = np.zeros(COUNTERS)
+    everyone = np.zeros(paths.COUNTERS)
     for r in by_agent.select(F.explode(F.arrays_zip("ck", "cn")).alias("x")).groupBy("x.ck").agg(F.sum("x.cn").alias("n")).collect():
         everyone[r["ck"]] = r["n"]
-    if sample:
-        w = Window.partitionBy("agent_id").orderBy("n", "f")
-        drawn = rows.where(F.col("k") == DRAWN).select("agent_id", "n", "f").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
-        by_agent = by_agent.join(drawn.groupBy("agent_id").agg(F.flatten(F.collect_list("f")).alias("f")), "agent_id")
-    return by_agent, everyone
 
+    def settle(b: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.zeros((b.num_rows, paths.COUNTERS))
+        row = np.repeat(np.arange(b.num_rows), np.diff(b.column("ck").offsets.to_numpy()))
+        counts[row, b.column("ck").flatten().to_numpy()] = b.column("cn").flatten().to_numpy()
+        h, usual = paths.habits(counts, everyone), paths.usual_speed(counts, everyone).astype(np.float32)
+        hours = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * 24), pa.array(usual.ravel()))
+        return pa.RecordBatch.from_arrays([b.column("agent_id"), pa.array(h.top), pa.array(h.jitter), pa.array(h.lines), pa.array(counts[:, paths.READINGS].astype(np.int64)), hours], names=[c.split()[0] for c in HABITS.split(", ")])
 
-def dense(k: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.zeros(COUNTERS)
-    out[k] = n
-    return out
+    return staged(by_agent.mapInArrow(over_batches(settle), HABITS))

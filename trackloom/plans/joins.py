@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Rows up to which a counted side is broadcast; such a row takes at most some hundred bytes.
-BROADCAST_ROWS = 200_000
-#: A key with more than 1/HOT_SHARE of the rows is hot; so there are fewer than HOT_SHARE of them.
-HOT_SHARE, SALTS = 200, 64
+from trackloom.plans.stage import staged
+
+#: Rows and bytes up to which a side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: A key with more left rows than this is hot and is spread over as many tasks as it has such parts.
+HOT_ROWS = 2_000_000
+#: Most tasks a hot key is spread over.
+SALTS = 4_096
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -16,23 +21,43 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _size(c: Column, kind: DataType) -> Column:
+    """Bytes of a value, about; 0 for null."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (StringType, BinaryType, ArrayType, MapType)):
+            return F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + _size(x, inner).cast("int")), F.lit(0)) + 8
+        each = 8 * (len(inner.fields) if isinstance(inner, StructType) else 1)
+        return F.coalesce(F.size(c), F.lit(0)) * each + 8
+    if isinstance(kind, StructType):
+        return sum((_size(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes; reads at most rows + 1 rows."""
+    width = sum((_size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    r = df.limit(rows + 1).select(width.cast("bigint").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
+    return r["n"] <= rows and (r["w"] or 0) <= size
+
+
 def cell_join(left: DataFrame, right: DataFrame, keys: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner equi-join of many rows with few rows a key.
+    """Inner equi-join of many rows with few rows a key; both sides should be cheap to read twice.
 
-    A counted right side within ``broadcast_rows`` is broadcast.  Beyond that
-    both sides are shuffled; keys that hold over 1/200 of the left rows (fewer
-    than 200, found by a partial aggregation) are spread over 64 salts and their
-    right rows repeated, so one cell can't fill one task.
+    A right side within ``broadcast_rows`` rows and BROADCAST_BYTES is broadcast.
+    Beyond that both sides are shuffled.  Keys with over HOT_ROWS left rows, found
+    by one partial aggregation, are spread over up to SALTS salts and their right
+    rows repeated as often, so one cell can't fill one task; the table of hot
+    keys has at most rows / HOT_ROWS rows and is joined, not collected.
     """
-    if fits(right, broadcast_rows):
+    if small(right, broadcast_rows):
         return left.join(F.broadcast(right), keys)
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count()
-    hot = [tuple(r[k] for k in keys) for r in counts.where(F.col("_n") > max(1, total // HOT_SHARE)).collect()]
-    if not hot:
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*keys, F.least(F.ceil(F.col("_n") / HOT_ROWS), F.lit(SALTS)).cast("int").alias("_salts"))
+    hot = staged(hot)
+    if not hot.limit(1).count():
         return left.join(right, keys)
-    packed = F.struct(*keys).isin([F.struct(*[F.lit(v).cast(dict(left.dtypes)[k]).alias(k) for k, v in zip(keys, h)]) for h in hot])
-    salted = left.withColumn("_salt", F.when(packed, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(0).cast("int"))
-    packed_right = F.struct(*keys).isin([F.struct(*[F.lit(v).cast(dict(right.dtypes)[k]).alias(k) for k, v in zip(keys, h)]) for h in hot])
-    repeated = right.withColumn("_salt", F.explode(F.when(packed_right, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")

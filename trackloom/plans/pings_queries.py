@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.wkt import point_xy
-from trackloom.operators import gridding, near, pings, runs, sessions, spikes, stops
+from trackloom.operators import gridding, near, pings, sessions, spikes, stops
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -14,15 +14,15 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return pings.events(pings.usable_pings(_raw(spark, sf)))
+    return pings.day_events(_raw(spark, sf), before_s=pings.SESSION_GAP_S)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return gridding.session_grid(pings.session_events(_raw(spark, sf))).where("not covered").select("agent_id", "period_s")
+    return gridding.session_grid(_raw(spark, sf)).where("not covered").select("agent_id", "period_s")
 
 
 def p1_series(spark: SparkSession, sf: str) -> DataFrame:
-    return gridding.session_grid(pings.session_events(_raw(spark, sf))).select("agent_id", "period_s", "lng", "lat", "moved_m", "n_located", "covered")
+    return gridding.session_grid(_raw(spark, sf))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,14 +41,6 @@ def p3_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spikes.score_readings(_raw(spark, sf))
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.position_runs(pings.session_events(_raw(spark, sf))).select("agent_id", "start_s", "end_s")
-
-
-def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.position_runs(pings.session_events(_raw(spark, sf))).select("agent_id", "start_s", "end_s", "duration_s", "n_events")
-
-
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     raw = _raw(spark, sf).where("lng is not null and lat is not null").select("ping_id", "lng", "lat")
     xy = point_xy(F.col("geometry"))
@@ -64,10 +56,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_stops_trips(spark: SparkSession, sf: str) -> DataFrame:
-    return stops.stops_and_trips(_raw(spark, sf)).drop("ping_ids")
+    return stops.stops_and_trips(_raw(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_sessions, p3_found, p3_scores, p4_found, p4_runs, p5_found, p6_found, p6_stops_trips)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_sessions, p3_found, p3_scores, p5_found, p6_found, p6_stops_trips)}
 
 _EVENTS = r"""
 read_pings AS (

@@ -13,7 +13,7 @@ from trackloom.functions import projection
 from trackloom.functions.geo import great_circle_m
 from trackloom.functions.wkt import line_points, point_xy
 from trackloom.operators import cleaning, grids, matching, network, trips
-from trackloom.operators.pings import session_events
+from trackloom.operators.sessions import session_events
 from trackloom.plans.stage import staged
 from trackloom.plans.views import GPS_SQL, LINK_SQL, gps_view, link_view
 from trackloom.sources.formats import way_points
