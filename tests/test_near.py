@@ -29,6 +29,15 @@ def test_pairs_everywhere_on_the_globe(spark):
     assert {(r[0], r[1]) for r in within_distance(left, right, 40.0).select("ping_id", "target_id").collect()} == want and len(want) > 100
 
 
+def test_no_distance_to_nowhere(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.functions.geo import great_circle_m
+
+    df = spark.createDataFrame([(1.0, 2.0, None, 3.0), (1.0, 2.0, 1.0, 2.0)], "a double, b double, c double, d double")
+    assert [r[0] for r in df.select(great_circle_m(*map(F.col, "abcd"))).collect()] == [None, 0.0]
+
+
 def test_hot_cells_are_salted(spark, monkeypatch):
     left = spark.createDataFrame([(1, i) for i in range(500)] + [(k, k) for k in range(2, 40)], "cell bigint, v bigint")
     right = spark.createDataFrame([(k, f"r{k}") for k in range(1, 30)] + [(1, "again")], "cell bigint, w string")

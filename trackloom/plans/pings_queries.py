@@ -61,7 +61,8 @@ def p6_stops_trips(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_sessions, p3_found, p3_scores, p5_found, p6_found, p6_stops_trips)}
 
-_EVENTS = r"""
+#: Usable pings, events, numbered events and sessions as common table expressions.
+EVENTS_SQL = r"""
 read_pings AS (
   SELECT ping_id, nullif(lower(regexp_replace(agent_id, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), '') AS agent_id, trim(time) AS t, lng, lat
   FROM example_sparse_gps),
@@ -86,27 +87,15 @@ sess AS (
   SELECT agent_id, session_no, min(s) AS start_s, max(s) AS end_s, count(*) AS n_events FROM numbered GROUP BY ALL)
 """
 
-_DISTANCE = "2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians({b2} - {b1}) / 2), 2) + cos(radians({b1})) * cos(radians({b2})) * pow(sin(radians({a2} - {a1}) / 2), 2))))"
-
-_RUNS = f"""
-steps AS (
-  SELECT agent_id, session_no, s, CASE WHEN {_DISTANCE.format(a1="lag(lng) OVER w", b1="lag(lat) OVER w", a2="lng", b2="lat")} <= 5 THEN 0 ELSE 1 END AS away
-  FROM numbered WHERE lng IS NOT NULL WINDOW w AS (PARTITION BY agent_id, session_no ORDER BY s)),
-islands AS (
-  SELECT *, sum(away) OVER (PARTITION BY agent_id, session_no ORDER BY s) AS island FROM steps),
-found AS (
-  SELECT agent_id, min(s) AS start_s, max(s) AS end_s, count(*) AS n_events FROM islands GROUP BY agent_id, session_no, island HAVING count(*) >= 3)
-"""
+DISTANCE_SQL = "2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians({b2} - {b1}) / 2), 2) + cos(radians({b1})) * cos(radians({b2})) * pow(sin(radians({a2} - {a1}) / 2), 2))))"
 
 ORACLE = {
-    "p1_found": f"""WITH {_EVENTS}
+    "p1_found": f"""WITH {EVENTS_SQL}
 SELECT agent_id, period_s FROM (
   SELECT agent_id, unnest(generate_series(start_s // 300 * 300, end_s // 300 * 300, 300)) AS period_s FROM sess) c
 WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.agent_id = c.agent_id AND e.s // 300 * 300 = c.period_s AND e.lng IS NOT NULL)""",
-    "p2_found": f"WITH {_EVENTS} SELECT agent_id, start_s, end_s FROM sess",
-    "p2_sessions": f"WITH {_EVENTS} SELECT agent_id, start_s, end_s, end_s - start_s AS duration_s, n_events FROM sess",
-    "p4_found": f"WITH {_EVENTS}, {_RUNS} SELECT agent_id, start_s, end_s FROM found",
-    "p4_runs": f"WITH {_EVENTS}, {_RUNS} SELECT agent_id, start_s, end_s, end_s - start_s AS duration_s, n_events FROM found",
+    "p2_found": f"WITH {EVENTS_SQL} SELECT agent_id, start_s, end_s FROM sess",
+    "p2_sessions": f"WITH {EVENTS_SQL} SELECT agent_id, start_s, end_s, end_s - start_s AS duration_s, n_events FROM sess",
     "p5_found": rf"""WITH nodes AS (
   SELECT node_id, CAST(regexp_extract(geometry, '\(\s*(\S+)\s+(\S+?)\s*\)', 1) AS DOUBLE) AS x, CAST(regexp_extract(geometry, '\(\s*(\S+)\s+(\S+?)\s*\)', 2) AS DOUBLE) AS y FROM node_layer),
 bands AS (SELECT node_id, x, y, unnest([CAST(floor(y * 2000) AS BIGINT) - 1, CAST(floor(y * 2000) AS BIGINT), CAST(floor(y * 2000) AS BIGINT) + 1]) AS band FROM nodes),
@@ -127,6 +116,6 @@ inside AS (
     WHERE (y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
     GROUP BY ping_id, region_id, part_no HAVING count(*) % 2 = 1))
 SELECT ping_id, 'node' AS layer, node_id AS target_id FROM p JOIN bands USING (band)
-WHERE {_DISTANCE.format(a1="lng", b1="lat", a2="x", b2="y")} <= 15
+WHERE {DISTANCE_SQL.format(a1="lng", b1="lat", a2="x", b2="y")} <= 15
 UNION ALL SELECT ping_id, 'region', region_id FROM inside""",
 }
