@@ -1,12 +1,11 @@
 import random
-import re
 
 import pytest
 
 from tests.conftest import rows
 
 encode = pytest.importorskip("trackloom.llm.encode")
-from trackloom.llm import mixing, truncation  # noqa: E402
+from trackloom.llm import bytepairs, mixing, truncation  # noqa: E402
 from trackloom.llm.bytepairs import BytePairs, load  # noqa: E402
 
 DOCS = "doc_id bigint, text string, source string, ids string"
@@ -53,6 +52,23 @@ def test_verified_pieces_equal_exact_merging(ranks):
         assert ok == (guess == exact)
 
 
+def test_long_words_are_merged_fast(ranks):
+    import time
+
+    b, rng = load(ranks), random.Random(4)
+    for n in (60, 200, 1000):
+        w = bytes(rng.choice(b"etaoinshrdlu") for _ in range(n))
+        b_few, bytepairs.FEW = bytepairs.FEW, 10**9
+        want = b.merge(w)
+        bytepairs.FEW = b_few
+        assert b.merge(w) == want
+    began = time.time()
+    text = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(1_000_000))
+    at, ids = b.encode([text])
+    assert time.time() - began < 30 and at[1] == len(ids) and at[1] < 600_000
+    assert b.encode(["aa" * 3000])[1].tolist() == reference()("aa" * 3000)
+
+
 def test_ids_of_a_table(spark):
     df = spark.createDataFrame([(1, "Hello world", "a", "x"), (2, None, "a", "x"), (3, "", None, "x"), (1, "Hello world", "a", "x")], DOCS)
     got = rows(encode.token_ids(df))
@@ -63,8 +79,6 @@ def test_ids_of_a_table(spark):
 
 
 def test_long_texts_in_parts(ranks, monkeypatch):
-    from trackloom.llm import bytepairs
-
     texts = ["some words of text, " * 50, "short", "", "caf\u00e9 " * 70]
     want = load(ranks).encode(texts)
     monkeypatch.setattr(bytepairs, "PIECES", 7)
@@ -77,6 +91,9 @@ def test_water_filling():
     assert (s["a"].wanted, s["b"].wanted, s["c"].wanted) == (100, 150, 0)
     s = mixing.water_fill({"a": 100, "b": 100}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 3})
     assert s["a"].wanted == s["b"].wanted == 100
+    # the abundant source is gone through once, the scarce ones are repeated or clamped
+    s = mixing.water_fill({"a": 1000, "b": 100, "c": 100}, {"a": 0.5, "b": 0.2, "c": 0.3}, {"a": 1, "b": 2, "c": 9})
+    assert [round(s[k].wanted) for k in "abc"] == [1000, 200, 600]
     s = mixing.water_fill({"a": 10}, {"a": 1.0}, {"a": 2}, 1000)
     assert s["a"].wanted == 20 and mixing.water_fill({}, {"a": 1.0}, {"a": 1})["a"].wanted == 0
 
@@ -121,6 +138,10 @@ CUT = {
     "\\section{Data}\nDone.\n% draft that breaks off in": False,
     "Ends with a mark of omission and…": True,
     "50\\% of cases, as in $a_{1}$ (see Section~\\ref{x}).": False,
+    "\\documentclass{a}\n\\begin{document}\n\\verb|\\end{document}| tells that": True,
+    "\\documentclass{a}\n\\begin{document}\n\\begin{verbatim}\n\\bye\n\\end{verbatim}\nText": True,
+    "\\documentclass{a}\n\\begin{document}\nText (open {.\n\\end { document }\nleft (over": False,
+    "A line that ends in an escape \\": True, "An entity is cut &am": True, "Half a letter \ufffd": True,
     "Withdrawn.": False, "% empty\n": False, "": False, "  \n": False,
 }
 
@@ -137,6 +158,13 @@ def test_cut_texts(spark):
     assert not truncation.truncated(docs.limit(0)).collect()
 
 
+def test_stamps_of_any_length(spark):
+    long = "received through a very long chain of mirrors, " * 20
+    data = [(i, f"\\section{{A}}\nWhole.\n[{long}{10000 + i}]", "f", "x") for i in range(80)]
+    data += [(100 + i, f"\\section{{A}}\nCut in the mid\n[{long}{20000 + i}]", "f", "x") for i in range(10)]
+    assert {r["doc_id"] for r in truncation.truncated(spark.createDataFrame(data, DOCS)).collect()} == set(range(100, 110))
+
+
 def test_stamps_and_limits(spark):
     data = [(i, f"\\section{{A}}\nWhole sentence number {'x' * (i % 7)}.\n%% record {10000 + i} --", "f", "x") for i in range(80)]
     data += [(100 + i, f"\\section{{A}}\n{'y' * 60}\n%% record {20000 + i} --", "f", "x") for i in range(10)]
@@ -145,16 +173,19 @@ def test_stamps_and_limits(spark):
     assert set(got) - {200} == set(range(100, 110))
 
 
+def held(text):
+    return truncation.scan(text)[0]
+
+
 def test_nested_markup():
-    assert truncation.open_items("\\begin{a}{$x$}\\end{a} \\{ \\% $$y$$") == []
-    assert truncation.open_items("\\begin{a}\\begin{b}\\end{a}") == []
-    assert truncation.open_items("lost } brace { and\n\nnext paragraph") == []
-    assert truncation.open_items("\\begin{verbatim}$ { \\end{verbatim}") == []
-    assert truncation.open_items("$a {b") == ["$", "{"] and re.match("x", "x")
+    assert held("\\begin{a}{$x$}\\end{a} \\{ \\% $$y$$") == []
+    assert held("\\begin{a}\\begin{b}\\end{a}") == []
+    assert held("lost } brace { and\n\nnext paragraph") == []
+    assert held("\\begin{verbatim}$ { \\end{verbatim}") == []
+    assert held("$a {b") == ["$", "{"]
 
 
 def test_brackets_and_quotes_of_prose_are_held():
-    held = truncation.open_items
     assert held("A sentence (see Fig.") == ["("] and held("He says “so it is.") == ["“"] and held("He says ``so.") == ["``"]
     assert held("Open [1, 2) it is, ``so\" and „so“.") == [] and held("On $[0, 1)$ and \\([0, 1)\\), (a).") == [] and held("Lost (here\n\nA new paragraph.") == []
     assert held("\\emph{lost ( here} and on.") == [] and held("1) first, 2) second.") == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import sys
 import unicodedata
@@ -15,6 +16,8 @@ import numpy as np
 NEVER = np.iinfo(np.int64).max
 #: White space as Unicode defines it (fixed values).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Words of up to so many bytes are merged by going over all pairs again and again.
+FEW = 48
 #: Pieces of a long text that are handled together.
 PIECES = 1_000_000
 
@@ -40,6 +43,15 @@ def splitter() -> re.Pattern[str]:
 ASCII_SPLITTER = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+def _room(v: np.ndarray, size: int) -> np.ndarray:
+    """``v`` with room for ``size`` values; it doubles, so that growing costs no more than what is put in."""
+    if len(v) >= size:
+        return v
+    out = np.zeros(max(size, 2 * len(v), 1024), v.dtype)
+    out[: len(v)] = v
+    return out
+
+
 class BytePairs:
     """A vocabulary whose ids are the order of its merges, as in rank files."""
 
@@ -61,13 +73,15 @@ class BytePairs:
         for token in self.ids:
             self._reach[token[:2]] = max(self._reach.get(token[:2], 1), len(token))
         self.known: dict[str, int] = {}
-        self._words: list[np.ndarray] = []
+        self._used = 0
         self._flat, self._at, self._len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.failed = 0
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the earliest merge, the leftmost of equals."""
         parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        if len(parts) > FEW:
+            return self._merge_many(parts)
         while len(parts) > 1:
             least = min(self.pair.get(p, NEVER) for p in zip(parts, parts[1:]))
             if least == NEVER:
@@ -83,6 +97,29 @@ class BytePairs:
             parts = merged
         return parts
 
+    def _merge_many(self, parts: list[int]) -> list[int]:
+        """The same with a heap of merges and linked neighbours, n log n in the word's length."""
+        n, pair = len(parts), self.pair
+        before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := pair.get((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            merged, i, a, b = heapq.heappop(heap)
+            j = behind[i]
+            # outdated if either part was merged meanwhile; a merged right part is -1
+            if j == n or parts[i] != a or parts[j] != b:
+                continue
+            parts[i], parts[j] = merged, -1
+            k = behind[i] = behind[j]
+            if k < n:
+                before[k] = i
+                if (r := pair.get((merged, parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i, merged, parts[k]))
+            h = before[i]
+            if h >= 0 and (r := pair.get((parts[h], merged))) is not None:
+                heapq.heappush(heap, (r, h, parts[h], merged))
+        return [p for p in parts if p >= 0]
+
     def longest(self, word: bytes) -> list[int]:
         """Speculation: the longest token from each place on."""
         out, i, n = [], 0, len(word)
@@ -134,12 +171,15 @@ class BytePairs:
         for i in failing:
             guess[i] = self.merge(words[i].encode("utf-8", "surrogatepass"))
         self.failed += len(failing)
-        for w, g in zip(words, guess):
-            self.known[w] = len(self.known)
-            self._words.append(np.array(g, dtype=np.int32))
-        self._len = np.fromiter(map(len, self._words), np.int64, len(self._words))
-        self._flat = np.concatenate(self._words)
-        self._at = np.cumsum(self._len) - self._len
+        size = np.fromiter(map(len, guess), np.int64, len(guess))
+        n, used = len(self.known), self._used
+        self._len, self._at = _room(self._len, n + len(words)), _room(self._at, n + len(words))
+        self._flat = _room(self._flat, used + int(size.sum()))
+        self._len[n : n + len(words)], self._at[n : n + len(words)] = size, used + np.cumsum(size) - size
+        self._flat[used : used + int(size.sum())] = np.fromiter(chain.from_iterable(guess), np.int32, int(size.sum()))
+        self._used = used + int(size.sum())
+        for i, w in enumerate(words, n):
+            self.known[w] = i
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         pattern = ASCII_SPLITTER if text.isascii() else splitter()
@@ -158,7 +198,7 @@ class BytePairs:
             # a bound on memory, not on what is encoded: the table is rebuilt from what comes
             if len(self.known) > 2_000_000:
                 self.known.clear()
-                self._words.clear()
+                self._used = 0
             self._learn([w for w in dict.fromkeys(pieces) if w not in self.known])
             return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 

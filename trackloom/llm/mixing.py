@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.timeparse import clean_key
 from trackloom.llm.encode import VOCABULARY, token_counts
+from trackloom.plans.joins import cell_join
 from trackloom.plans.stage import staged
 
 #: Parts that a source's records are dealt into before the last one is cut exactly.
@@ -27,21 +28,31 @@ class Share:
         return self.wanted / self.size if self.size else 0.0
 
 
-def water_fill(sizes: dict[str, int], weights: dict[str, float], most: dict[str, int], total: float | None = None, least: float = 0.0) -> dict[str, Share]:
+def covering_total(sizes: dict[str, int], weights: dict[str, float], most: dict[str, int]) -> float:
+    """The least total at which no source leaves out a record.
+
+    Water that stands at level v gives v * weight from a source, at most its cap.
+    The level that takes the most abundant source through all its records once is
+    the greatest size / weight; scarcer ones are repeated, or clamped, below it.
+    """
+    live = [s for s in weights if sizes.get(s, 0) > 0 and weights[s] > 0 and most.get(s, 0) > 0]
+    level = max((sizes[s] / weights[s] for s in live), default=0.0)
+    return sum(min(float(sizes[s]) * most[s], level * weights[s]) for s in live)
+
+
+def water_fill(sizes: dict[str, int], weights: dict[str, float], most: dict[str, int], total: float | None = None) -> dict[str, Share]:
     """Tokens wanted from each source.
 
     Sources that would be repeated more than ``most`` times are clamped there and
     their excess goes to the others in proportion to their weights, again and
     again until all fit.  Empty sources and those without weight give nothing.
-    ``total`` defaults to the greatest amount at which no source has to be
-    clamped, so that the shares are those asked for, but at least ``least``.
-    Beyond what all caps allow the total isn't reached.
+    ``total`` defaults to ``covering_total``.  Beyond what all caps allow the
+    total isn't reached.
     """
     live = {s for s in weights if sizes.get(s, 0) > 0 and weights[s] > 0 and most.get(s, 0) > 0}
     cap = {s: float(sizes[s]) * most[s] for s in live}
     if total is None:
-        scale = sum(weights[s] for s in live)
-        total = max(least, min((cap[s] * scale / weights[s] for s in live), default=0.0))
+        total = covering_total(sizes, weights, most)
     wanted = {s: 0.0 for s in weights}
     free, rest = set(live), float(total)
     while free:
@@ -56,7 +67,7 @@ def water_fill(sizes: dict[str, int], weights: dict[str, float], most: dict[str,
     return {s: Share(sizes.get(s, 0), wanted[s]) for s in weights}
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, vocabulary: str = VOCABULARY, cover: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source, n_tokens, repeats of the chosen records (repeats >= 1).
 
     ``docs`` has doc_id, text, source; ``targets`` has source, target_share and
@@ -70,9 +81,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     ends is put in order, so no source is sorted in one task.  Records without
     tokens or of a source without target aren't chosen; repeated targets of a
     source add up; records repeated in ``docs`` each count; empty inputs give no
-    rows.  With ``cover`` and no total, the total is at least that of all tokens
-    of the targeted sources, so that a scarce source is clamped and doesn't
-    limit the others.
+    rows.  Without a total no record of a targeted source is left out
+    (``covering_total``): the most abundant one is gone through once, scarce ones
+    are repeated, and those that can't be repeated so often are clamped and their
+    excess goes to the others.
     """
     wanted = {
         r["source"]: r
@@ -88,14 +100,13 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     parts = counted.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
     sizes = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     weights = {s: float(r["w"] or 0) for s, r in wanted.items()}
-    least = float(sum(n for s, n in sizes.items() if weights[s] > 0)) if cover else 0.0
-    share = water_fill(sizes, weights, {s: int(r["m"] or 0) for s, r in wanted.items()}, total_tokens, least)
+    share = water_fill(sizes, weights, {s: int(r["m"] or 0) for s, r in wanted.items()}, total_tokens)
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, int(v.epochs + 1e-9), max(0.0, v.wanted - int(v.epochs + 1e-9) * v.size)) for s, v in share.items()] or [("", 0, 0.0)], "source string, whole int, fraction double")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cut = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(plan), "source")
     dealt = cut.select("source", "part", "whole", (F.col("fraction") - F.col("before")).alias("left"), (F.col("before") + F.col("n") <= F.col("fraction")).alias("all"))
-    rows = counted.join(F.broadcast(dealt), ["source", "part"])  # at most PARTS rows a source
+    rows = cell_join(counted, staged(dealt), ["source", "part"])  # at most PARTS rows a source
     inner = Window.partitionBy("source", "part").orderBy("lot", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where("not all and left > 0").withColumn("so_far", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
     # a record is taken if at least half of it fits in
