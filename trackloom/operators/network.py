@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.plans.joins import cell_join
 from trackloom.plans.numbering import number_rows
 from trackloom.plans.stage import staged
 
@@ -58,16 +59,21 @@ def fold_two_way(links: DataFrame, attributes: list[str]) -> DataFrame:
     return d.select("link_id", F.when(back, F.col("to_node")).otherwise(F.col("from_node")).alias("from_node"), F.when(back, F.col("from_node")).otherwise(F.col("to_node")).alias("to_node"), F.lit(1).alias("dir"), "length", *pick)
 
 
-def merge_double(links: DataFrame) -> DataFrame:
+def merge_double(links: DataFrame, by_length: bool = True) -> DataFrame:
     """Forward links that run opposite to each other become one with dir 0, that with the least link_id.
 
-    Pairs are told by their unordered ends and whole metres of length.
+    Repeated forward links, with the same ends in the same order (and length, if
+    that counts), are dropped first but for the least link_id.  With
+    ``by_length`` a pair must agree in whole metres of length, without it any two
+    links between the same nodes fit, whatever their course.
     """
     one = F.col("dir") == 1
-    key = [F.least("from_node", "to_node"), F.greatest("from_node", "to_node"), F.floor("length")]
-    w = Window.partitionBy(*key, one)
-    d = links.withColumn("_ways", F.size(F.collect_set("from_node").over(w))).withColumn("_k", F.row_number().over(w.orderBy("link_id")))
-    both = one & (F.col("_ways") == 2)
+    more = [F.floor("length")] if by_length else []
+    same = Window.partitionBy("from_node", "to_node", *more, one).orderBy("link_id")
+    d = links.withColumn("_k", F.row_number().over(same)).where(~one | (F.col("_k") == 1)).drop("_k")
+    w = Window.partitionBy(F.least("from_node", "to_node"), F.greatest("from_node", "to_node"), *more, one)
+    d = d.withColumn("_ways", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy("link_id")))
+    both = one & (F.col("_ways") == 2) & (F.col("from_node") != F.col("to_node"))
     return d.where(~both | (F.col("_k") == 1)).withColumn("dir", F.when(both, 0).otherwise(F.col("dir"))).drop("_ways", "_k")
 
 
@@ -131,9 +137,10 @@ def nodes_from_ends(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_at_vertices(lines: DataFrame) -> DataFrame:
-    """Every segment of every line once: x1, y1, x2, y2, and the road_name that comes first."""
-    s = segments(lines.select(F.col("path_id").alias("link_id"), "pts"))
-    return s.groupBy("x1", "y1", "x2", "y2").agg(F.min("link_id").alias("path_id"))
+    """Every segment of every line once: x1, y1, x2, y2, and path_id and road_name of the line that comes first; segments without length are left out."""
+    s = segments(lines.select(F.col("path_id").alias("link_id"), "pts")).where("seg_length > 0")
+    once = s.groupBy("x1", "y1", "x2", "y2").agg(F.min("link_id").alias("path_id"))
+    return once.join(lines.groupBy("path_id").agg(F.min("road_name").alias("road_name")), "path_id").select("x1", "y1", "x2", "y2", "path_id", "road_name")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -167,8 +174,7 @@ def merge_near_nodes(nodes: DataFrame, links: DataFrame, gap_m: float) -> tuple[
     of equals the least id.  Links inside a group vanish; of links that come to
     share their ends the least link_id stays.
     """
-    near = near_pairs(nodes.select(F.col("node_id").alias("id"), "x", "y"), gap_m)
-    comp = components(near.select("a", "b").unionByName(nodes.select(F.col("node_id").alias("a"), F.col("node_id").alias("b"))))
+    comp = near_groups(nodes.select(F.col("node_id").alias("id"), "x", "y"), gap_m)
     deg = node_degrees(links).select(F.col("node_id").alias("node"), "degree")
     w = Window.partitionBy("component").orderBy(F.desc("degree"), "node")
     kept = comp.join(deg, "node", "left").fillna(0, ["degree"]).withColumn("kept_id", F.first("node").over(w)).select(F.col("node").alias("node_id"), "kept_id")
@@ -179,10 +185,28 @@ def merge_near_nodes(nodes: DataFrame, links: DataFrame, gap_m: float) -> tuple[
     return kept, out.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 
+def near_groups(points: DataFrame, radius: float) -> DataFrame:
+    """node, component: points (id, x, y) joined by chains of steps of at most ``radius``.
+
+    Cells measure radius / sqrt(2), so all points of one cell belong together and
+    are linked to its least id.  Between different cells one pair that is near
+    enough suffices, so what goes on is a link a pair of cells, not a pair of
+    points.
+    """
+    size = radius / 2**0.5
+    cell = lambda c: F.floor(F.col(c) / size).cast("bigint")
+    p = points.where("x is not null and y is not null").withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    p = staged(p.withColumn("least", F.min("id").over(Window.partitionBy("cx", "cy"))))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1, 2) for j in (-2, -1, 0, 1, 2) if (i, j) > (0, 0)])
+    right = p.select(F.col("least").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
+    left = p.select(F.col("least").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", F.explode(steps).alias("s")).select("a", "ax", "ay", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    near = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 <= radius * radius
+    between = cell_join(left, right, ["cx", "cy"]).where(near).select("a", "b").distinct()
+    return components(p.select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(between))
+
+
 def near_pairs(points: DataFrame, radius: float) -> DataFrame:
     """a < b, dist of points (id, x, y) at most ``radius`` apart: one side has its cell, the other the cells around."""
-    from trackloom.plans.joins import cell_join
-
     cell = lambda c: F.floor(F.col(c) / radius).cast("bigint")
     p = points.where("x is not null and y is not null")
     left = p.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
@@ -197,9 +221,9 @@ def chain_nodes(links: DataFrame) -> DataFrame:
     return d.where("degree = 2 and out_degree = in_degree and out_degree in (1, 2)").select("node_id")
 
 
-def chains(links: DataFrame) -> DataFrame:
-    """link_id, chain (least link_id of it): links joined at inner chain nodes."""
-    inner = chain_nodes(links)
+def chains(links: DataFrame, inner: DataFrame | None = None) -> DataFrame:
+    """link_id, chain (least link_id of it): links joined at inner chain nodes, or at the given ones of them."""
+    inner = chain_nodes(links) if inner is None else inner
     ends = checked(links).select("link_id", F.explode(F.array("from_node", "to_node")).alias("node_id"))
     at = ends.join(inner, "node_id").groupBy("node_id").agg(F.min("link_id").alias("a"), F.max("link_id").alias("b"))
     linked = at.select("a", "b").unionByName(checked(links).select(F.col("link_id").alias("a"), F.col("link_id").alias("b")))
