@@ -6,19 +6,23 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_EVEN, Decimal
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators import network
+from trackloom.operators import cleaning, network
 from trackloom.operators.cleaning import by_agent, plane_distance
 from trackloom.plans.joins import cell_join, fits
 from trackloom.plans.stage import staged
 
 #: Directed links up to which the graph is sent to the workers; beyond them costs are relaxed by joins.
 GRAPH_ROWS = 2_000_000
+TENTH = Decimal("0.1")
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,9 @@ class Model:
     omitted_m: float = 6.0
     not_connected: float = 1000.0
     cutoff_m: float = 1200.0
+    use_speed: bool = False
+    speed_main: float = 1.0
+    speed_least: float = 0.1
 
 
 def link_parts(directed: DataFrame) -> DataFrame:
@@ -88,12 +95,28 @@ def candidates(points: DataFrame, directed: DataFrame, m: Model = Model()) -> Da
     return j.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= m.top_k).drop("_k")
 
 
+def restricted(c: DataFrame, points: DataFrame, directed: DataFrame) -> DataFrame:
+    """Candidates, where points with a node_id have the links at that node instead: both those that leave and those that enter it."""
+    known = points.where("node_id is not null").select("agent_id", "seq", "x_m", "y_m", F.col("node_id").cast("bigint").alias("node_id"))
+    parts = link_parts(directed)
+    at = lambda side: known.join(parts.withColumnRenamed(side, "node_id").withColumn(side, F.col("node_id")), "node_id")
+    j = at("from_node").unionByName(at("to_node"))
+    ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    n = ux * ux + uy * uy
+    f = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("x_m") - F.col("x1")) * ux + (F.col("y_m") - F.col("y1")) * uy, n))), F.lit(0.0))
+    j = j.withColumn("_f", f).withColumn("dist_m", plane_distance(F.col("x1") + F.col("_f") * ux, F.col("y1") + F.col("_f") * uy, F.col("x_m"), F.col("y_m")))
+    j = j.withColumn("along_m", F.col("before") + F.col("_f") * F.sqrt(n)).withColumn("dx", ux).withColumn("dy", uy)
+    w = Window.partitionBy("agent_id", "seq", "link").orderBy("dist_m", "part")
+    j = j.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*c.columns)
+    return c.join(known.select("agent_id", "seq"), ["agent_id", "seq"], "left_anti").unionByName(j)
+
+
 def with_state(c: DataFrame) -> DataFrame:
     """Adds state, the candidate's number from 0 in order of link within its point."""
     return c.withColumn("state", F.row_number().over(Window.partitionBy("agent_id", "seq").orderBy("link")) - 1)
 
 
-def _dijkstra(neighbours: dict[int, list[tuple[int, float]]], source: int, cutoff: float) -> Iterator[tuple[int, float, list[int]]]:
+def _dijkstra(neighbours: Graph | dict[int, list[tuple[int, float]]], source: int, cutoff: float) -> Iterator[tuple[int, float, list[int]]]:
     """(node, cost, path) in order of cost; of equal costs the path with fewer links, then from the lower node."""
     done: dict[int, int] = {}
     best = {source: (0.0, 0, -1)}
@@ -114,6 +137,45 @@ def _dijkstra(neighbours: dict[int, list[tuple[int, float]]], source: int, cutof
                 heapq.heappush(heap, (c, links + 1, to, node))
 
 
+class Graph:
+    """Directed edges as sorted numpy arrays, sent to the workers once; a node's neighbours become a list when they are asked for."""
+
+    def __init__(self, f: np.ndarray, t: np.ndarray, length: np.ndarray, speed: np.ndarray | None = None) -> None:
+        order = np.lexsort((length, t, f))
+        self.f, self.t, self.length = f[order], t[order], length[order]
+        self.speed = np.full(len(f), np.nan) if speed is None else speed[order]
+        self._known: dict[int, list[tuple[int, float]]] = {}
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> Graph:
+        """From f, t, length and, if there is one, speed; the caller has checked the size."""
+        cols = ["f", "t", "length", *(["speed"] if "speed" in edges.columns else [])]
+        table = edges.select(F.col("f").cast("bigint"), F.col("t").cast("bigint"), *[F.col(c).cast("double") for c in cols[2:]]).toArrow()
+        return cls(*(table.column(c).to_numpy() for c in cols))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
+
+    def _span(self, node: int) -> tuple[int, int]:
+        return int(np.searchsorted(self.f, node)), int(np.searchsorted(self.f, node, side="right"))
+
+    def get(self, node: int, _none: tuple = ()) -> list[tuple[int, float]]:
+        if node not in self._known:
+            i, j = self._span(node)
+            self._known[node] = list(zip(self.t[i:j].tolist(), self.length[i:j].tolist()))
+        return self._known[node]
+
+    def mean_speed(self, path: list[int]) -> float:
+        """By length, over the edges with a speed; not a number if there is none."""
+        whole = m = 0.0
+        for f, t in zip(path, path[1:]):
+            i, j = self._span(f)
+            k = i + int(np.searchsorted(self.t[i:j], t))
+            if self.speed[k] == self.speed[k]:
+                whole, m = whole + self.speed[k] * self.length[k], m + self.length[k]
+        return whole / m if m else math.nan
+
+
 def bounded_paths(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
     """o, d, cost, path of all nodes reachable within ``cutoff`` (inclusive), the source itself left out.
 
@@ -123,10 +185,7 @@ def bounded_paths(edges: DataFrame, cutoff: float, sources: DataFrame | None = N
     """
     if not fits(edges, GRAPH_ROWS):
         return relaxed_paths(edges, cutoff, sources)
-    graph: dict[int, list[tuple[int, float]]] = {}
-    for r in edges.select("f", "t", "length").toLocalIterator():
-        graph.setdefault(r["f"], []).append((r["t"], r["length"]))
-    shared = edges.sparkSession.sparkContext.broadcast(graph)
+    shared = edges.sparkSession.sparkContext.broadcast(Graph.of(edges))
     nodes = (sources if sources is not None else edges.select(F.col("f").alias("o"))).select(F.col("o").cast("bigint")).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,10 +231,7 @@ def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = staged(pairs.select(F.col("o").cast("bigint"), F.col("d").cast("bigint")).where("o != d").distinct())
     if not fits(edges, GRAPH_ROWS):
         return relaxed_paths(edges, math.inf, pairs).join(pairs, ["o", "d"], "left_semi")
-    graph: dict[int, list[tuple[int, float]]] = {}
-    for r in edges.select("f", "t", "length").toLocalIterator():
-        graph.setdefault(r["f"], []).append((r["t"], r["length"]))
-    shared = edges.sparkSession.sparkContext.broadcast(graph)
+    shared = edges.sparkSession.sparkContext.broadcast(Graph.of(edges))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -197,7 +253,8 @@ def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def link_edges(directed: DataFrame) -> DataFrame:
     """f, t, length of directed links, along their course if they bend."""
     length = network.line_length(F.col("pts")) if "pts" in directed.columns else plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return directed.select(F.col("from_node").alias("f"), F.col("to_node").alias("t"), length.alias("length"))
+    speed = ["speed"] if "speed" in directed.columns else []
+    return directed.select(F.col("from_node").alias("f"), F.col("to_node").alias("t"), length.alias("length"), *speed)
 
 
 def relaxed_costs(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
@@ -236,21 +293,33 @@ def transitions(c: DataFrame, points: DataFrame, paths: DataFrame, m: Model = Mo
     with_cands = c.select("agent_id", "seq").distinct()
     nxt = F.lead("seq").over(by_agent())
     step = with_cands.withColumn("next_seq", nxt).where("next_seq is not null")
-    where = points.select("agent_id", "seq", "x_m", "y_m")
-    step = step.join(where, ["agent_id", "seq"]).join(where.select("agent_id", F.col("seq").alias("next_seq"), F.col("x_m").alias("nx"), F.col("y_m").alias("ny")), ["agent_id", "next_seq"])
-    step = step.select("agent_id", "seq", "next_seq", plane_distance(F.col("x_m"), F.col("y_m"), F.col("nx"), F.col("ny")).alias("gps_m"))
+    where = points.select("agent_id", "seq", "x_m", "y_m", F.col("t_s") if m.use_speed else F.lit(0).alias("t_s"))
+    step = step.join(where, ["agent_id", "seq"]).join(where.select("agent_id", F.col("seq").alias("next_seq"), F.col("x_m").alias("nx"), F.col("y_m").alias("ny"), F.col("t_s").alias("nt")), ["agent_id", "next_seq"])
+    gps = plane_distance(F.col("x_m"), F.col("y_m"), F.col("nx"), F.col("ny"))
+    step = step.select("agent_id", "seq", "next_seq", gps.alias("gps_m"), F.coalesce(F.try_divide(gps * 3.6, F.col("nt") - F.col("t_s")), F.lit(math.inf)).alias("gps_kmh"))
     a = c.select("agent_id", "seq", F.col("state").alias("i"), F.col("link").alias("la"), F.col("from_node").alias("fa"), F.col("to_node").alias("ta"), F.col("along_m").alias("ra"))
     b = c.select("agent_id", F.col("seq").alias("next_seq"), F.col("state").alias("j"), F.col("link").alias("lb"), F.col("from_node").alias("fb"), F.col("to_node").alias("tb"), F.col("along_m").alias("rb"))
     # at most top_k squared rows a point
     t = step.join(a, ["agent_id", "seq"]).join(b, ["agent_id", "next_seq"])
-    p = paths.select(F.col("o").alias("fa"), F.col("d").alias("fb"), F.bround("cost", 1).alias("cost"), F.col("path")[1].alias("second"), F.element_at("path", -2).alias("last_but_one"))
+    p = paths.select(F.col("o").alias("fa"), F.col("d").alias("fb"), F.bround("cost", 1).alias("cost"), F.col("path")[1].alias("second"), F.element_at("path", -2).alias("last_but_one"), (F.col("road_kmh") if "road_kmh" in paths.columns else F.lit(None).cast("double")).alias("road_kmh"))
     t = t.join(p, ["fa", "fb"], "left")
     same, opposite = F.col("la") == F.col("lb"), (F.col("fa") == F.col("tb")) & (F.col("ta") == F.col("fb"))
     valid = same | opposite | F.coalesce((F.col("cost") > 0) & (F.col("second") == F.col("ta")) & (F.col("last_but_one") != F.col("tb")), F.lit(False))
     route = F.when(valid, F.abs(F.coalesce(F.col("cost"), F.lit(0.0)) - F.col("ra") + F.col("rb"))).otherwise(m.not_connected)
     t = t.withColumn("valid", valid).withColumn("route_m", route)
     gap = F.when(F.col("valid"), F.abs(F.col("gps_m") - F.col("route_m"))).otherwise(m.not_connected)
-    return t.select("agent_id", "seq", "i", "j", "valid", "route_m", (gap * (-m.dis_para / m.beta)).alias("log_p"))
+    log_p = gap * (-m.dis_para / m.beta)
+    if m.use_speed:
+        log_p = log_p + F.log(speed_factor(F.col("gps_kmh"), F.col("road_kmh"), F.col("valid"), m.speed_main, m.speed_least))
+    return t.select("agent_id", "seq", "i", "j", "valid", "route_m", log_p.alias("log_p"))
+
+
+def with_road_speed(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds road_kmh: the mean speed of a path's edges by length, null speeds left out."""
+    legs = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.struct(a.alias("f"), b.alias("t")))
+    e = edges.groupBy(F.col("f").cast("bigint").alias("f"), F.col("t").cast("bigint").alias("t")).agg(F.min(F.struct("length", "speed")).alias("e")).select("f", "t", "e.*")
+    mean = network.weighted_speed(paths.select("o", "d", F.explode(legs).alias("l")).select("o", "d", "l.*").join(e, ["f", "t"]), ["o", "d"])
+    return paths.join(mean.withColumnRenamed("mean_speed", "road_kmh"), ["o", "d"], "left")
 
 
 def speed_factor(speed: Column, road: Column, valid: Column, main: float = 1.0, least: float = 0.1) -> Column:
@@ -275,14 +344,14 @@ def viterbi(emissions: list[np.ndarray], moves: list[np.ndarray]) -> tuple[list[
 
 
 def decode(c: DataFrame, t: DataFrame) -> DataFrame:
-    """agent_id, seq, state, route_m (to the next matched point) of the best sequence of each agent.
+    """agent_id, seq, state, route_m (to the next matched point), valid of the best sequence of each agent.
 
     Candidates and moves of an agent reach one worker as sorted rows and are
     decoded step by step; partitions hold many agents.  Agents with a single
     matchable point keep their best candidate.
     """
-    rows = c.select("agent_id", "seq", F.lit(0).alias("kind"), F.col("state").alias("i"), F.lit(0).alias("j"), F.col("emission").alias("v"), F.lit(0.0).alias("r"))
-    rows = rows.unionByName(t.select("agent_id", "seq", F.lit(1).alias("kind"), "i", "j", F.col("log_p").alias("v"), F.col("route_m").alias("r")))
+    rows = c.select("agent_id", "seq", F.lit(0).alias("kind"), F.col("state").alias("i"), F.lit(0).alias("j"), F.col("emission").alias("v"), F.lit(0.0).alias("r"), F.lit(True).alias("ok"))
+    rows = rows.unionByName(t.select("agent_id", "seq", F.lit(1).alias("kind"), "i", "j", F.col("log_p").alias("v"), F.col("route_m").alias("r"), F.col("valid").alias("ok")))
     kind = dict(c.dtypes)["agent_id"]
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
@@ -291,11 +360,12 @@ def decode(c: DataFrame, t: DataFrame) -> DataFrame:
         ems = np.split(e["v"].to_numpy(), first[1:])
         mv = g[g["kind"] == 1]
         ms, starts = np.unique(mv["seq"].to_numpy(), return_index=True)
-        step = {s: (v, r) for s, v, r in zip(ms, np.split(mv["v"].to_numpy(), starts[1:]), np.split(mv["r"].to_numpy(), starts[1:]))}
+        step = {s: (v, r, k) for s, v, r, k in zip(ms, *(np.split(mv[c].to_numpy(), starts[1:]) for c in ("v", "r", "ok")))}
         shape = [(len(a), len(b)) for a, b in zip(ems, ems[1:])]
         best, _ = viterbi(ems, [step[s][0].reshape(n) for s, n in zip(seqs, shape)])
         route = [step[s][1].reshape(n)[i, j] for s, n, i, j in zip(seqs, shape, best, best[1:])]
-        return pd.DataFrame({"agent_id": g["agent_id"].iloc[0], "seq": seqs, "state": best, "route_m": [*route, None]})
+        ok = [bool(step[s][2].reshape(n)[i, j]) for s, n, i, j in zip(seqs, shape, best, best[1:])]
+        return pd.DataFrame({"agent_id": g["agent_id"].iloc[0], "seq": seqs, "state": best, "route_m": [*route, None], "valid": [*ok, None]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -308,18 +378,323 @@ def decode(c: DataFrame, t: DataFrame) -> DataFrame:
         if rest:
             yield one(pd.concat(rest))
 
-    return rows.repartition("agent_id").sortWithinPartitions("agent_id", "kind", "seq", "i", "j").mapInPandas(run, f"agent_id {kind}, seq bigint, state int, route_m double")
-
+    return rows.repartition("agent_id").sortWithinPartitions("agent_id", "kind", "seq", "i", "j").mapInPandas(run, f"agent_id {kind}, seq bigint, state int, route_m double, valid boolean")
+
+
+class Moves:
+    """Transitions between the candidates of two points, on a shared graph whose bounded paths are searched once a source and worker."""
+
+    def __init__(self, graph: Graph, m: Model) -> None:
+        self.graph, self.m = graph, m
+        self.known: dict[int, dict[int, tuple[float, int, int, float]]] = {}
+        self.held = 0
+
+    def paths(self, o: int) -> dict[int, tuple[float, int, int, float]]:
+        """By end: cost to a tenth of a metre, second and last but one node, mean speed."""
+        if o not in self.known:
+            # a bound on memory, not on what is found
+            if self.held > 5_000_000:
+                self.known, self.held = {}, 0
+            speed = self.graph.mean_speed if self.m.use_speed else lambda _: math.nan
+            found = {d: (float(Decimal(repr(c)).quantize(TENTH, ROUND_HALF_EVEN)), p[1], p[-2], speed(p)) for d, c, p in _dijkstra(self.graph, o, self.m.cutoff_m) if d != o}
+            for d, c in self.graph.get(o):
+                if d != o and d not in found:
+                    found[d] = (float(Decimal(repr(c)).quantize(TENTH, ROUND_HALF_EVEN)), d, o, speed([o, d]))
+            self.known[o] = found
+            self.held += len(found)
+        return self.known[o]
+
+    def between(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray], gps_m: float, dt: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log probability, route, valid) for each pair of candidates."""
+        none = (math.nan, -1, -1, math.nan)
+        fa, ia = np.unique(a["from_node"], return_inverse=True)
+        fb, ib = np.unique(b["from_node"], return_inverse=True)
+        table = np.array([[found.get(d, none) for d in fb.tolist()] for found in map(self.paths, fa.tolist())], dtype=float)[ia][:, ib]
+        cost, second, before, road = np.moveaxis(table, 2, 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            on = (cost > 0) & (second == a["to_node"][:, None]) & (before != b["to_node"])
+            same = a["link"][:, None] == b["link"]
+            opposite = (a["from_node"][:, None] == b["to_node"]) & (a["to_node"][:, None] == b["from_node"])
+            valid = on | same | opposite
+            route = np.where(valid, np.abs(np.nan_to_num(cost) - a["along_m"][:, None] + b["along_m"]), self.m.not_connected)
+            gap = np.where(valid, np.abs(gps_m - route), self.m.not_connected)
+            log_p = gap * (-self.m.dis_para / self.m.beta)
+            if self.m.use_speed:
+                kmh = gps_m * 3.6 / dt if dt else math.inf
+                main, least = self.m.speed_main, self.m.speed_least
+                known = np.where(kmh <= road, 1.0, main * np.maximum(1 - (kmh - road) / road, least))
+                log_p = log_p + np.log(np.where(np.isnan(road), np.where(valid, 1.0, main * least), known))
+        return log_p, route, valid
+
+
+def decode_shared(c: DataFrame, points: DataFrame, edges: DataFrame, m: Model = Model()) -> DataFrame:
+    """As ``decode`` of ``transitions``, on a graph that is sent to the workers.
+
+    Candidates reach a worker sorted by agent and point and are folded point by
+    point: of the past only the scores of the last point and, for each point, the
+    places of its predecessors are held, so moves are never rows.
+    """
+    shared = edges.sparkSession.sparkContext.broadcast(Graph.of(edges))
+    names = ["link", "from_node", "to_node", "along_m", "emission", "x_m", "y_m", "t_s"]
+    at = points.select("agent_id", "seq", "x_m", "y_m", (F.col("t_s") if "t_s" in points.columns else F.lit(0)).cast("double").alias("t_s"))
+    rows = c.select("agent_id", "seq", "state", *names[:5]).join(at, ["agent_id", "seq"])
+    kind = dict(c.dtypes)["agent_id"]
 
-def match(points: DataFrame, directed: DataFrame, m: Model = Model()) -> DataFrame:
-    """agent_id, seq, link, from_node, to_node, dist_m, along_m, heading, route_m, loc_type of every matchable point."""
-    c = staged(emission(with_state(candidates(points, directed, m)), points, m))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        moves = Moves(shared.value, m)
+        agent, last, z = None, None, np.zeros(0)
+        trail: list[tuple] = []  # (seq, places before, routes, validity) of each point
+
+        def flushed() -> pd.DataFrame:
+            best = [int(z.argmax())]
+            for _, back, *_ in trail[:0:-1]:
+                best.append(int(back[best[-1]]))
+            best.reverse()
+            route = [float(r[i, j]) for (_, _, r, _), i, j in zip(trail[1:], best, best[1:])]
+            ok = [bool(v[i, j]) for (_, _, _, v), i, j in zip(trail[1:], best, best[1:])]
+            return pd.DataFrame({"agent_id": agent, "seq": [x[0] for x in trail], "state": best, "route_m": [*route, None], "valid": [*ok, None]})
+
+        rest: pd.DataFrame | None = None
+        for b in chain(batches, [None]):
+            if b is None:
+                g, whole = rest, True
+            else:
+                g, whole = (b if rest is None else pd.concat([rest, b], ignore_index=True)), False
+            if g is None or not len(g):
+                continue
+            who, seq = g["agent_id"].to_numpy(), g["seq"].to_numpy()
+            edge = np.flatnonzero((who[1:] != who[:-1]) | (seq[1:] != seq[:-1])) + 1
+            starts = np.concatenate([[0], edge])
+            ends = np.append(edge, len(g))
+            # the last point may go on in the next batch
+            rest = None if whole else g.iloc[starts[-1] :]
+            cols = {n: g[n].to_numpy() for n in names}
+            for i, j in list(zip(starts, ends))[: None if whole else -1]:
+                here = {n: v[i:j] for n, v in cols.items()}
+                if trail and who[i] == agent:
+                    gps = math.hypot(here["x_m"][0] - last["x_m"][0], here["y_m"][0] - last["y_m"][0])
+                    log_p, route, ok = moves.between(last, here, gps, here["t_s"][0] - last["t_s"][0])
+                    total = z[:, None] + log_p
+                    back = total.argmax(axis=0)
+                    z = total[back, np.arange(j - i)] + here["emission"]
+                    trail.append((seq[i], back.astype(np.int16), route.astype(np.float64), ok))
+                else:
+                    if trail:
+                        yield flushed()
+                    agent, trail, z = who[i], [(seq[i], None, None, None)], here["emission"] - math.log(j - i)
+                last = here
+        if trail:
+            yield flushed()
+
+    return rows.repartition("agent_id").sortWithinPartitions("agent_id", "seq", "state").mapInPandas(run, f"agent_id {kind}, seq bigint, state int, route_m double, valid boolean")
+
+
+def match(points: DataFrame, directed: DataFrame, m: Model = Model(), nodes: bool = False) -> DataFrame:
+    """agent_id, seq, link, from_node, to_node, dist_m, along_m, heading, route_m, valid, loc_type of every matchable point.
+
+    route_m and valid are those of the way to the agent's next matched point, null
+    at its last one.  With ``nodes`` the points' node_id restricts their
+    candidates.  On networks of up to GRAPH_ROWS directed links sequences are
+    decoded on a shared graph, beyond that paths and transitions are joined; both
+    ways give the same.
+    """
+    c = candidates(points, directed, m)
+    if nodes:
+        c = restricted(c, points, directed)
+    c = staged(emission(with_state(c), points, m))
     edges = link_edges(directed)
-    starts = c.select(F.col("from_node").alias("o")).distinct()
-    paths = with_long_links(staged(bounded_paths(edges, m.cutoff_m, starts)), edges, starts)
-    best = decode(c, transitions(c, points, paths, m))
+    if fits(edges, GRAPH_ROWS):
+        best = decode_shared(c, points, edges, m)
+    else:
+        starts = c.select(F.col("from_node").alias("o")).distinct()
+        paths = with_long_links(staged(bounded_paths(edges, m.cutoff_m, starts)), edges, starts)
+        if m.use_speed and "speed" in edges.columns:
+            paths = with_road_speed(paths, edges)
+        best = decode(c, transitions(c, points, paths, m))
     heading = F.pmod(F.degrees(F.atan2("dx", "dy")), F.lit(360.0))
-    return best.join(c, ["agent_id", "seq", "state"]).select("agent_id", "seq", "link", "from_node", "to_node", "dist_m", "along_m", F.round(heading, 2).alias("heading"), "route_m", F.lit("s").alias("loc_type"))
+    return best.join(c, ["agent_id", "seq", "state"]).select("agent_id", "seq", "link", "from_node", "to_node", "dist_m", "along_m", F.round(heading, 2).alias("heading"), "route_m", "valid", F.lit("s").alias("loc_type"))
+
+
+def warnings(matched: DataFrame) -> DataFrame:
+    """agent_id, seq, next_seq, link, from_node, to_node, next_link, next_from, next_to: steps whose links aren't connected."""
+    n = F.lead(F.struct("seq", "link", "from_node", "to_node")).over(by_agent())
+    return matched.withColumn("_n", n).where("valid = false").select("agent_id", "seq", F.col("_n.seq").alias("next_seq"), "link", "from_node", "to_node", F.col("_n.link").alias("next_link"), F.col("_n.from_node").alias("next_from"), F.col("_n.to_node").alias("next_to"))
+
+
+def warning_lines(warned: DataFrame, directed: DataFrame) -> DataFrame:
+    """agent_id, seq, part ('from' or 'to'), link, pts: the links of each warning as lines."""
+    own = F.col("pts") if "pts" in directed.columns else F.array(F.struct(F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y")), F.struct(F.col("x2").cast("double").alias("x"), F.col("y2").cast("double").alias("y")))
+    parts = warned.select("agent_id", "seq", F.explode(F.array(F.struct(F.lit("from").alias("part"), "link"), F.struct(F.lit("to").alias("part"), F.col("next_link").alias("link")))).alias("w")).select("agent_id", "seq", "w.*")
+    return parts.join(directed.select("link", own.alias("pts")), "link").select("agent_id", "seq", "part", "link", "pts")
+
+
+@dataclass(frozen=True)
+class Cleaning:
+    """What is done to points before they are matched; None leaves a step out."""
+
+    dwell_m: float | None = None
+    dwell_n: int = 2
+    every: int | None = None
+    window: int | None = None
+    dense_m: float | None = None
+
+
+def match_batch(points: DataFrame, directed: DataFrame, m: Model = Model(), clean: Cleaning = Cleaning(), nodes: bool = False) -> dict[str, DataFrame]:
+    """matched, completed, warnings and errors of a table of trajectories.
+
+    Points are cleaned in the order dwell, lower frequency, rolling mean, added
+    points; then matched, and links between matched ones filled in.  errors has a
+    row (agent_id, reason) for every agent without a match; no agent stops others.
+    """
+    p = points
+    if clean.dwell_m is not None:
+        p = cleaning.remove_dwell(p, clean.dwell_m, clean.dwell_n)
+    if clean.every is not None:
+        p = cleaning.lower_frequency(p, clean.every)
+    if clean.window is not None:
+        p = cleaning.rolling_average(p, clean.window)
+    if clean.dense_m is not None:
+        p = cleaning.densify(p, clean.dense_m)
+    p = staged(p)
+    matched = staged(match(p, directed, m, nodes))
+    edges = link_edges(directed)
+    ends = matched.select(F.col("to_node").alias("o")).distinct()
+    paths = staged(bounded_paths(edges, m.cutoff_m, ends))
+    n = matched.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"))
+    everyone = points.select("agent_id").distinct().join(n, "agent_id", "left")
+    errors = everyone.where("n is null or n < 2").select("agent_id", F.when(F.col("n").isNull(), "no point near a link").otherwise("a single point near a link").alias("reason"))
+    return {"matched": matched, "completed": completed(matched, p, paths, directed), "warnings": warnings(matched), "errors": errors}
+
+
+def best_of(points: DataFrame, directed: DataFrame, models: list[Model]) -> DataFrame:
+    """``match`` under the first of ``models`` that leaves an agent without warnings, or the last one; adds model, its number from 0.
+
+    Agents that are done drop out before the next model is tried.
+    """
+    left, found = points, None
+    for k, m in enumerate(models):
+        got = staged(match(left, directed, m).withColumn("model", F.lit(k)))
+        bad = warnings(got).select("agent_id").distinct()
+        last = k == len(models) - 1
+        done = got if last else got.join(bad, "agent_id", "left_anti")
+        found = done if found is None else found.unionByName(done)
+        left = staged(left.join(bad, "agent_id", "left_semi"))
+        if not last and not left.limit(1).count():
+            break
+    return found
+
+
+def dense_result(matched: DataFrame, points: DataFrame, directed: DataFrame, least_m: float = 3.0) -> DataFrame:
+    """agent_id, k, t_s, link, x_m, y_m: the matched places and the vertices of their links in order of the way.
+
+    A run of points on one link gets the link's vertices between its first and
+    last place, a run that is followed by another one those up to the link's end,
+    one that follows another those from its beginning.  Places nearer than
+    ``least_m`` to the next one are left out, but for an agent's last one.  Times
+    of vertices are filled in between those of the points.
+    """
+    w = by_agent()
+    changed = F.coalesce(F.lag("link").over(w) != F.col("link"), F.lit(True)).cast("int")
+    m = matched.join(points.select("agent_id", "seq", "t_s"), ["agent_id", "seq"]).withColumn("_c", changed).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = staged(link_parts(directed))
+    last_run = Window.partitionBy("agent_id")
+    runs = m.groupBy("agent_id", "run", "link").agg(F.min("along_m").alias("a"), F.max("along_m").alias("z")).withColumn("_runs", F.max("run").over(last_run))
+    lo, hi = F.when(F.col("run") == 1, F.col("a")).otherwise(F.lit(-1.0)), F.when(F.col("run") == F.col("_runs"), F.col("z")).otherwise(F.lit(math.inf))
+    ends = parts.select("link", F.explode(F.array(F.struct(F.col("before").alias("along_m"), F.col("x1").alias("x_m"), F.col("y1").alias("y_m")), F.struct((F.col("before") + plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).alias("along_m"), F.col("x2").alias("x_m"), F.col("y2").alias("y_m")))).alias("v")).select("link", "v.*").distinct()
+    vertices = runs.withColumn("_lo", lo).withColumn("_hi", hi).join(ends, "link").where("along_m > _lo and along_m < _hi").select("agent_id", "run", "link", "along_m", "x_m", "y_m", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("t_s"))
+    own = plane_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    f = F.coalesce(F.try_divide(F.col("along_m") - F.col("before"), own), F.lit(0.0))
+    first = Window.partitionBy("agent_id", "seq").orderBy("part")
+    places = m.join(parts.select("link", "part", "x1", "y1", "x2", "y2", "before"), "link").where((F.col("along_m") >= F.col("before") - 1e-6) & (F.col("along_m") <= F.col("before") + own + 1e-6)).withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    places = places.select("agent_id", "run", "link", "along_m", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x_m"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y_m"), F.col("seq").cast("bigint").alias("seq"), F.col("t_s").cast("double").alias("t_s"))
+    order = Window.partitionBy("agent_id").orderBy("run", "along_m", F.col("seq").asc_nulls_last())
+    all_ = places.unionByName(vertices).withColumn("k", F.row_number().over(order))
+    nxt = F.lead(F.struct("x_m", "y_m")).over(Window.partitionBy("agent_id").orderBy("k"))
+    kept = all_.withColumn("_n", nxt).where(F.col("_n").isNull() | (plane_distance(F.col("x_m"), F.col("y_m"), F.col("_n.x_m"), F.col("_n.y_m")) > least_m)).drop("_n")
+    filled = cleaning.gap_fill(kept, ["agent_id"], "k", "t_s")
+    return filled.select("agent_id", (F.row_number().over(Window.partitionBy("agent_id").orderBy("k")) - 1).alias("k"), "t_s", "link", "x_m", "y_m")
+
+
+def path_table(edges: DataFrame, cutoff: float, table: str, sources: DataFrame | None = None) -> DataFrame:
+    """The bounded paths kept in a table at a path: only sources it doesn't hold are searched, and appended.
+
+    o, d, cost (to a tenth), path, second, last_but_one, source rows of single
+    links of any length included.  Losing an executor loses nothing of the table.
+    """
+    spark = edges.sparkSession
+    nodes = (sources if sources is not None else edges.select(F.col("f").alias("o"))).select(F.col("o").cast("bigint").alias("o")).distinct()
+    try:
+        old = spark.read.parquet(table)
+        nodes = staged(nodes.join(old.select("o").distinct(), "o", "left_anti"))
+    except AnalysisException:
+        nodes = staged(nodes)
+    if nodes.limit(1).count():
+        new = with_long_links(bounded_paths(edges, cutoff, nodes), edges, nodes)
+        new.select("o", "d", F.bround("cost", 1).alias("cost"), "path", F.col("path")[1].alias("second"), F.element_at("path", -2).alias("last_but_one")).write.mode("append").parquet(table)
+    return spark.read.parquet(table)
+
+
+def od_paths(edges: DataFrame, pairs: DataFrame, not_connected: float | None = None) -> DataFrame:
+    """o, d, cost, path of every given pair, however long; unreachable ones have ``not_connected`` and an empty path, and a node itself costs 0."""
+    p = pairs.select(F.col("o").cast("bigint"), F.col("d").cast("bigint")).distinct()
+    found = p.join(pair_paths(edges, p), ["o", "d"], "left")
+    own = F.col("o") == F.col("d")
+    return found.select("o", "d", F.when(own, 0.0).otherwise(F.coalesce("cost", F.lit(not_connected).cast("double"))).alias("cost"), F.when(own, F.array("o")).otherwise(F.coalesce("path", F.array().cast("array<bigint>"))).alias("path"))
+
+
+def random_paths(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """o, d, cost, path of ``n`` pairs of nodes drawn by a seeded hash (a sampling operator: ``n`` is what is asked for)."""
+    lot = lambda c, k: F.xxhash64(F.col(c), F.lit(seed * 2 + k))
+    pick = lambda c, k: edges.select(F.col(c).cast("bigint").alias("node")).distinct().orderBy(lot("node", k), "node").limit(n).withColumn("k", F.row_number().over(Window.orderBy(lot("node", k), "node")))
+    return od_paths(edges, pick("f", 0).select("k", F.col("node").alias("o")).join(pick("t", 1).select("k", F.col("node").alias("d")), "k"))
+
+
+def k_shortest(graph: Graph | dict, o: int, d: int, k: int) -> list[tuple[float, list[int]]]:
+    """The k cheapest paths without a node twice, by cost, then nodes."""
+
+    def cheapest(source: int, banned_nodes: set[int], banned: set[tuple[int, int]]) -> tuple[float, list[int]] | None:
+        class Left:
+            @staticmethod
+            def get(node: int, _none: tuple = ()) -> list[tuple[int, float]]:
+                return [(t, m) for t, m in graph.get(node, ()) if t not in banned_nodes and (node, t) not in banned]
+
+        return next(((c, p) for e, c, p in _dijkstra(Left, source, math.inf) if e == d), None)
+
+    def cost_of(path: list[int]) -> float:
+        return sum(min(m for x, m in graph.get(f) if x == t) for f, t in zip(path, path[1:]))
+
+    first = cheapest(o, set(), set())
+    found: list[tuple[float, list[int]]] = [first] if first else []
+    waiting: list[tuple[float, list[int]]] = []
+    while found and len(found) < k:
+        last = found[-1][1]
+        for i in range(len(last) - 1):
+            root = last[: i + 1]
+            banned = {(p[i], p[i + 1]) for _, p in found if p[: i + 1] == root}
+            spur = cheapest(root[-1], set(root[:-1]), banned)
+            if spur:
+                path = root[:-1] + spur[1]
+                if all(path != p for _, p in waiting) and all(path != p for _, p in found):
+                    heapq.heappush(waiting, (cost_of(path), path))
+        if not waiting:
+            break
+        found.append(heapq.heappop(waiting))
+    return found
+
+
+def k_shortest_paths(edges: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """o, d, rank (from 1), cost, path of the k shortest simple paths of each pair, on a graph of at most GRAPH_ROWS edges."""
+    if not fits(edges, GRAPH_ROWS):
+        raise ValueError(f"k shortest paths are searched on at most {GRAPH_ROWS} edges; cut out the part of the network first")
+    shared = edges.sparkSession.sparkContext.broadcast(Graph.of(edges))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(o, d, r, c, p) for o, d in zip(b["o"], b["d"]) for r, (c, p) in enumerate(k_shortest(shared.value, o, d, k), 1)]
+            yield pd.DataFrame(rows, columns=["o", "d", "rank", "cost", "path"])
+
+    p = pairs.select(F.col("o").cast("bigint"), F.col("d").cast("bigint")).where("o != d").distinct()
+    return p.repartition("o", "d").mapInPandas(run, "o bigint, d bigint, rank int, cost double, path array<bigint>")
 
 
 def completed(matched: DataFrame, points: DataFrame, paths: DataFrame, directed: DataFrame, top_kmh: float = 200.0) -> DataFrame:
