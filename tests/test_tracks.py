@@ -189,7 +189,9 @@ def test_links_that_bend(spark):
     assert rows(matching._middles(l).select("link", "x_m", "y_m", "along_m")) == [(0, 0.0, 100.0, 100.0), (1, 150.0, 100.0, 50.0)]
 
 
-def test_components_and_chains(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 5])
+def test_components_and_chains(spark, monkeypatch, one_task):
+    monkeypatch.setattr(network, "ONE_TASK", one_task)
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(k, k + 1) for k in range(200, 260)] + [(500, 500)]
     root = {v: v for p in e for v in p}

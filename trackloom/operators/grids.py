@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.functions.wkt import polygon_parts, ring_edges
+
 
 def fishnet(spark: SparkSession, min_x: float, min_y: float, max_x: float, max_y: float, step_x: float, step_y: float | None = None) -> DataFrame:
     """grid_id (from 1), dx (row), dy (column), xmin, ymin, xmax, ymax of cells from the upper left on.
@@ -23,6 +25,45 @@ def fishnet(spark: SparkSession, min_x: float, min_y: float, max_x: float, max_y
     return g.where((F.col("xmin") <= max_x) & (F.col("ymax") >= min_y))
 
 
+def bounds(df: DataFrame, pts: str = "pts") -> DataFrame:
+    """One row: min_x, min_y, max_x, max_y, mean_x, mean_y and the middle mid_x, mid_y of all points of lines."""
+    p = df.select(F.explode(pts).alias("p"))
+    b = p.agg(*[f(f"p.{c}").alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg)) for c in "xy"])
+    return b.withColumn("mid_x", (F.col("min_x") + F.col("max_x")) / 2).withColumn("mid_y", (F.col("min_y") + F.col("max_y")) / 2)
+
+
+def cells_in(grid: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Cells of a fishnet that touch one of the polygons (geometry as WKT, in the grid's coordinates).
+
+    A cell touches a polygon if an edge crosses the cell or the cell's middle lies
+    inside; both are found by the cells an edge's box covers and by rows of edges
+    towards greater x, never by all pairs.
+    """
+    g = grid.agg(F.min("xmin").alias("x0"), F.max("ymax").alias("y0"), F.first(F.col("xmax") - F.col("xmin")).alias("sx"), F.first(F.col("ymax") - F.col("ymin")).alias("sy")).first()
+    if g["x0"] is None:
+        return grid
+    # a repeated polygon counts once
+    rings = polygons.select(F.explode(polygon_parts(F.col("geometry"))).alias("rings")).distinct()
+    parts = rings.select(F.xxhash64(F.col("rings").cast("string")).alias("part"), F.flatten(F.transform("rings", ring_edges)).alias("e")).select("part", F.explode("e").alias("e"))
+    e = parts.select("part", "e.*")
+    row = lambda y: F.floor((g["y0"] - y) / g["sy"]).cast("bigint")
+    col = lambda x: F.floor((x - g["x0"]) / g["sx"]).cast("bigint")
+    rows = e.withColumn("dx", F.explode(F.sequence(row(F.greatest("y1", "y2")), row(F.least("y1", "y2")))))
+    top, bottom = F.lit(g["y0"]) - F.col("dx") * g["sy"], F.lit(g["y0"]) - (F.col("dx") + 1) * g["sy"]
+    clip = lambda y: F.greatest(bottom, F.least(top, y))
+    x_at = lambda y: F.when(F.col("y1") == F.col("y2"), None).otherwise(F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")))
+    a, b = F.coalesce(x_at(clip(F.col("y1"))), F.col("x1")), F.coalesce(x_at(clip(F.col("y2"))), F.col("x2"))
+    cut = rows.withColumn("dy", F.explode(F.sequence(col(F.least(a, b)), col(F.greatest(a, b))))).select("dx", "dy").distinct()
+    # middles inside: edges of a row that cross the height of its middle, counted to the right of each column
+    middle = F.lit(g["y0"]) - (F.col("dx") + 0.5) * g["sy"]
+    hits = rows.where((F.col("y1") > middle) != (F.col("y2") > middle)).select("part", "dx", (F.col("x1") + (F.col("x2") - F.col("x1")) * (middle - F.col("y1")) / (F.col("y2") - F.col("y1"))).alias("x"))
+    runs = hits.groupBy("part", "dx").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    spans = runs.select("dx", F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.size("xs") - 1), lambda i: i % 2 == 1), lambda i: F.struct(F.get("xs", i - 1).alias("a"), F.get("xs", i).alias("b")))).alias("s")).select("dx", "s.*")
+    lo, hi = F.ceil((F.col("a") - g["x0"]) / g["sx"] - 0.5).cast("bigint"), F.floor((F.col("b") - g["x0"]) / g["sx"] - 0.5).cast("bigint")
+    inside = spans.withColumn("dy", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")))).select("dx", "dy").distinct()
+    return grid.join(cut.unionByName(inside).distinct(), ["dx", "dy"], "left_semi")
+
+
 def degree_steps(lng: float, lat: float, step_m: float) -> tuple[float, float]:
     """Degrees of longitude and latitude that measure ``step_m`` at a place, on the WGS84 ellipsoid."""
     from trackloom.functions.projection import FLAT, A

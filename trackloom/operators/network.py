@@ -6,10 +6,14 @@ length.  Unless said otherwise null ends or directions drop the link.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.plans.joins import cell_join
+from trackloom.plans.joins import cell_join, fits
 from trackloom.plans.numbering import number_rows
 from trackloom.plans.stage import staged
 
@@ -143,16 +147,45 @@ def split_at_vertices(lines: DataFrame) -> DataFrame:
     return once.join(lines.groupBy("path_id").agg(F.min("road_name").alias("road_name")), "path_id").select("x1", "y1", "x2", "y2", "path_id", "road_name")
 
 
+#: Edges (both ways) up to which components are found in one task.
+ONE_TASK = 1_000_000
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = list(batches)
+    if not rows:
+        return
+    e = pd.concat(rows)
+    names, ends = np.unique(np.concatenate([e["u"].to_numpy(), e["v"].to_numpy()]), return_inverse=True)
+    a, b = ends[: len(e)], ends[len(e) :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield pd.DataFrame({"node": names, "component": names[root]})
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least node of it) of an undirected graph.
 
     Every round a node takes the least label among its own, its neighbours' and
     its label's label; with the jumps to the label's label the rounds grow with
     the logarithm of a chain's length.  Each round is staged; only a count
-    comes to the driver.  Loops are fine; nodes without edges must be added as
-    loops.
+    comes to the driver.  A graph of at most ONE_TASK edges is joined in one task
+    instead, with the same result.  Loops are fine; nodes without edges must be
+    added as loops.
     """
     both = staged(edges.select(F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))).alias("e")).select("e.u", "e.v").where("u is not null and v is not null").distinct())
+    if fits(both, ONE_TASK):
+        kind = dict(both.dtypes)["u"]
+        return both.coalesce(1).mapInPandas(_joined, f"node {kind}, component {kind}")
     label = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
     while True:
         near = both.join(label.select(F.col("u").alias("v"), F.col("c")), "v").groupBy("u").agg(F.min("c").alias("n"))

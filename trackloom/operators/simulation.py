@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.matching import pair_paths, random_paths
+
 
 def simulate(routes: DataFrame, speed_mean: float = 10.0, speed_sd: float = 1.0, step_s: float = 1.0, seed: int = 0) -> DataFrame:
     """agent_id, t_s, x_m, y_m, heading: positions every ``step_s`` seconds along each route.
@@ -46,6 +48,27 @@ def simulate(routes: DataFrame, speed_mean: float = 10.0, speed_sd: float = 1.0,
     return routes.select("agent_id", "o_time_s", "pts").mapInPandas(run, "agent_id string, t_s double, x_m double, y_m double, heading double")
 
 
+def path_routes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """agent_id, o_time_s, pts of routes over nodes: ``paths`` has agent_id, o_time_s and path, ``nodes`` node_id, x, y; routes over unknown nodes keep those that are known."""
+    at = nodes.select(F.col("node_id").cast("bigint").alias("node"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("p"))
+    legs = paths.select("agent_id", "o_time_s", F.posexplode("path").alias("k", "node")).join(at, "node")
+    g = legs.groupBy("agent_id", "o_time_s").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("e"))
+    return g.select("agent_id", "o_time_s", F.transform("e", lambda e: e["p"]).alias("pts"))
+
+
+def od_routes(edges: DataFrame, nodes: DataFrame, od: DataFrame) -> DataFrame:
+    """Routes along the shortest paths of requests: ``od`` has agent_id, o_time_s, o, d (nodes); unreachable ones have none."""
+    found = pair_paths(edges, od.select("o", "d"))
+    return path_routes(od.join(found, ["o", "d"]).select(F.col("agent_id").cast("string").alias("agent_id"), "o_time_s", "path"), nodes)
+
+
+def random_routes(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0, span_s: int = 3600) -> DataFrame:
+    """Routes between ``n`` pairs of nodes drawn by a seeded hash, starting within ``span_s`` seconds (a sampling operator)."""
+    p = random_paths(edges, n, seed).where(F.size("path") > 1)
+    start = F.pmod(F.xxhash64("o", "d", F.lit(seed)), F.lit(span_s)).cast("double")
+    return path_routes(p.select(F.concat_ws("-", "o", "d").alias("agent_id"), start.alias("o_time_s"), "path"), nodes)
+
+
 def record(drive: DataFrame, every_s: float = 5.0, mean_m: float = 0.0, sd_m: float = 10.0, heading_sd: float = 5.0, seed: int = 0) -> DataFrame:
     """What a receiver keeps: about one position in ``every_s`` seconds, off by 0.707 N(mean, sd) on both axes.
 

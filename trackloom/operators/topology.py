@@ -207,17 +207,21 @@ def merge_chains(links: DataFrame, inner: DataFrame | None = None, limits: Limit
         names = ["link_id", "members", "_f", "_t", "_length", "_pts"]
         rest: list[pd.DataFrame] = []
         for b in batches:
+            rows: list[tuple] = []
             for c, g in b.groupby("chain", sort=False):
                 if rest and rest[0]["chain"].iloc[0] != c:
-                    yield pd.DataFrame(join(pd.concat(rest)), columns=names)
+                    rows += join(pd.concat(rest))
                     rest = []
                 rest.append(g)
+            yield pd.DataFrame(rows, columns=names)
         if rest:
             yield pd.DataFrame(join(pd.concat(rest)), columns=names)
 
     cols = ["chain", "link_id", "from_node", "to_node", "dir", "length", "pts", *used]
     kind = "bigint"
-    runs = chains.select(*cols).repartition("chain").sortWithinPartitions("chain", "link_id").mapInPandas(stream, f"link_id {kind}, members array<bigint>, _f bigint, _t bigint, _length double, _pts {lines.POINTS}")
+    # most links are a chain of their own and stay out of the kernel
+    longer = chains.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("chain"))).where("_n > 1")
+    runs = longer.select(*cols).repartition("chain").sortWithinPartitions("chain", "link_id").mapInPandas(stream, f"link_id {kind}, members array<bigint>, _f bigint, _t bigint, _length double, _pts {lines.POINTS}")
     runs = staged(runs.where("_f != _t"))
     ends = lambda d, a, b: d.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     inside = runs.select(F.explode("members").alias("link_id"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.geo import great_circle_m
+from trackloom.functions.wkt import polygon_parts
 from trackloom.operators.cleaning import by_agent, plane_distance
+from trackloom.operators.near import containing_regions
 from trackloom.plans.numbering import number_rows
+from trackloom.plans.stage import staged
 
 
 def main_trips(points: DataFrame, threshold_s: int = 1800) -> DataFrame:
@@ -65,17 +69,75 @@ def waypoint_od(trips: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return g.select(*keys, F.col("e")[0]["x_m"].alias("o_x"), F.col("e")[0]["y_m"].alias("o_y"), F.element_at("e", -1)["x_m"].alias("d_x"), F.element_at("e", -1)["y_m"].alias("d_y"), F.concat_ws(";", text).alias("way_points"))
 
 
+def trip_segmentation(points: DataFrame, gap_s: int = 1800, min_distance_m: float = 10.0, n: int = 5, dwell_s: float = 60.0) -> DataFrame:
+    """Points with trip_no, sub_no and a global trip_id, numbered in order of agent, trip and sub-trip: main trips, cut at stays."""
+    t = sub_trips(main_trips(points, gap_s), min_distance_m, n, dwell_s)
+    return trip_ids(t, ["agent_id", "trip_no", "sub_no"])
+
+
+def od_by_gps(points: DataFrame, gap_s: int = 1800, min_distance_m: float = 10.0, n: int = 5, dwell_s: float = 60.0, k: int = 5) -> DataFrame:
+    """od_id, agent_id, trip_no, sub_no, o_x, o_y, d_x, d_y, way_points, hh of the trips of points.
+
+    ``trip_segmentation``, then ``waypoint_od``; od_id is the trip_id, hh the hour
+    of day in which the trip starts.
+    """
+    t = staged(trip_segmentation(points, gap_s, min_distance_m, n, dwell_s))
+    keys = ["trip_id", "agent_id", "trip_no", "sub_no"]
+    start = t.groupBy("trip_id").agg(F.floor(F.min("t_s") / 3600 % 24).cast("int").alias("hh"))
+    return waypoint_od(t, keys, k).join(start, "trip_id").withColumnRenamed("trip_id", "od_id")
+
+
+def region_centres(regions: DataFrame) -> DataFrame:
+    """region_id, x, y: the mean of the vertices of each area; areas without geometry have no row."""
+    v = regions.select("region_id", F.explode(F.flatten(F.flatten(polygon_parts(F.col("geometry"))))).alias("p"))
+    return v.groupBy("region_id").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
+
+
 def region_od(centres: DataFrame, region: str = "region_id") -> DataFrame:
     """All ordered pairs of different regions: o, d, o_x, o_y, d_x, d_y.
 
-    The result itself is the square of the number of regions; the input is a
-    layer of areas and is repartitioned so that the pairs are made in parallel.
+    The result itself is the square of the number of regions.  The origins are
+    repartitioned, so that the pairs, which only a nested loop can make, are made
+    in parallel against the layer of areas.
     """
-    o = centres.select(F.col(region).alias("o"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
+    o = centres.select(F.col(region).alias("o"), F.col("x").alias("o_x"), F.col("y").alias("o_y")).repartition("o")
     d = centres.select(F.col(region).alias("d"), F.col("x").alias("d_x"), F.col("y").alias("d_y"))
     return o.join(d, F.col("o") != F.col("d"))
 
 
+def random_od(spark: SparkSession, regions: DataFrame, n: int, least_m: float, seed: int = 0, snap_deg: float = 1e-4, tries: int = 20_000) -> DataFrame:
+    """od_id, o_x, o_y, d_x, d_y of ``n`` pairs of places drawn within the regions, at least ``least_m`` apart.
+
+    A sampling operator: candidates are drawn in the regions' box from a hash of
+    seed and number, snapped to a grid of ``snap_deg``, kept if both ends lie in a
+    region and are far enough apart, and the first ``n`` are taken.  At most
+    ``tries`` candidates a pair asked for are looked at, in rounds that double.
+    """
+    v = regions.select(F.explode(F.flatten(F.flatten(polygon_parts(F.col("geometry"))))).alias("p"))
+    box = v.agg(F.min("p.x").alias("x1"), F.min("p.y").alias("y1"), F.max("p.x").alias("x2"), F.max("p.y").alias("y2")).first()
+    schema = "od_id bigint, o_x double, o_y double, d_x double, d_y double"
+    if box["x1"] is None or n <= 0:
+        return spark.createDataFrame([], schema)
+
+    def lot(k: int, lo: float, hi: float) -> Column:
+        u = F.pmod(F.xxhash64("id", F.lit(seed * 4 + k)), F.lit(1 << 40)) / float(1 << 40)
+        return F.round((lo + u * (hi - lo)) / snap_deg) * snap_deg
+
+    size = 4 * n
+    while True:
+        c = spark.range(size).select("id", lot(0, box["x1"], box["x2"]).alias("o_x"), lot(1, box["y1"], box["y2"]).alias("o_y"), lot(2, box["x1"], box["x2"]).alias("d_x"), lot(3, box["y1"], box["y2"]).alias("d_y"))
+        c = c.where(great_circle_m(F.col("o_x"), F.col("o_y"), F.col("d_x"), F.col("d_y")) >= least_m)
+        for side in ("o", "d"):
+            at = c.select("id", F.col(f"{side}_x").alias("lng"), F.col(f"{side}_y").alias("lat"))
+            c = c.join(containing_regions(at, regions, "id").select("id").distinct(), "id", "left_semi")
+        c = staged(c)
+        if size >= tries * n or c.limit(n).count() >= n:
+            break
+        size *= 4
+    first = c.orderBy("id").limit(n)
+    return first.select((F.row_number().over(Window.orderBy("id"))).cast("bigint").alias("od_id"), "o_x", "o_y", "d_x", "d_y")
+
+
 def route_points(routes: DataFrame) -> DataFrame:
     """Timed points of routes: path_id, seq, t_s, x, y.
 

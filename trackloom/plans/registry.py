@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import pings_queries, track_queries
+from trackloom.plans import network_queries, pings_queries, track_queries
 from trackloom.plans.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ def shipped(f: Query) -> Query:
     return run
 
 
-_MODULES = (pings_queries, track_queries)
+_MODULES = (pings_queries, track_queries, network_queries)
 
 QUERIES: dict[str, Query] = {k: shipped(f) for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
