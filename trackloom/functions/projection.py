@@ -65,29 +65,30 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / A), F.degrees(2 * F.atan(F.exp(y / A)) - math.pi / 2)
 
 
-#: Ellipsoid, offsets and series of the GCJ-02 and BD-09 datums (fixed values):
-#: axis and squared eccentricity; BD-09's angle factor, ripple and offsets; the
-#: polynomial and the (amplitude, period) sine terms of each axis.
+#: Ellipsoid and offsets of the GCJ-02 and BD-09 datums (fixed values): axis and
+#: squared eccentricity; BD-09's angle factor, ripple and offsets.
 GCJ_A, GCJ_E2 = 6378245.0, 0.00669342162296594323
 BD_FACTOR, BD_RADIUS, BD_ANGLE, BD_LNG, BD_LAT = math.pi * 3000 / 180, 0.00002, 0.000003, 0.0065, 0.006
-GCJ_POLY = {"lat": (-100.0, 2.0, 3.0, 0.0, 0.2, 0.1, 0.2), "lng": (300.0, 1.0, 2.0, 0.1, 0.0, 0.1, 0.1)}
-GCJ_SINES = {"lat": ("xy", ((20, 1.0), (40, 3.0)), ((160, 12.0), (320, 30.0))), "lng": ("xx", ((20, 1.0), (40, 3.0)), ((150, 12.0), (300, 30.0)))}
+#: Coefficients of the GCJ-02 shift (fixed values) for 1, x, y, x*x, y*y, x*y and the root of |x|.
+GCJ_LNG, GCJ_LAT = (300.0, 1.0, 2.0, 0.1, 0.0, 0.1, 0.1), (-100.0, 2.0, 3.0, 0.0, 0.2, 0.1, 0.2)
+#: Sizes and periods of its waves (fixed values): those of x in both, those of x in the longitude, those of y in the latitude.
+GCJ_WAVES, GCJ_LNG_WAVES, GCJ_LAT_WAVES = ((20, 1 / 3), (20, 1.0)), ((20, 2.0), (40, 6.0), (150, 24.0), (300, 60.0)), ((20, 2.0), (40, 6.0), (160, 24.0), (320, 60.0))
 
 
 def _gcj_shift(lng: Column, lat: Column) -> tuple[Column, Column]:
     x, y = lng - 105, lat - 35
-    both = F.sin(x * (6 * math.pi)) * 20 + F.sin(x * (2 * math.pi)) * 20
 
-    def series(axis: str) -> Column:
-        c, cx, cy, cxx, cyy, cxy, root = GCJ_POLY[axis]
-        over, *groups = GCJ_SINES[axis]
-        u = y if over == "xy" else x
-        waves = [both, *(sum((F.sin(u * (math.pi / period)) * size for size, period in g), F.lit(0.0)) for g in groups)]
-        return c + cx * x + cy * y + cxx * x * x + cyy * y * y + cxy * x * y + root * F.sqrt(F.abs(x)) + sum(waves[1:], waves[0]) * (2 / 3)
+    def waves(c: Column, sizes: tuple) -> Column:
+        return sum((F.sin(c * (2 * math.pi / period)) * size for size, period in sizes), F.lit(0.0))
 
+    def smooth(c: tuple) -> Column:
+        return c[0] + c[1] * x + c[2] * y + c[3] * x * x + c[4] * y * y + c[5] * x * y + c[6] * F.sqrt(F.abs(x))
+
+    east = smooth(GCJ_LNG) + (waves(x, GCJ_WAVES) + waves(x, GCJ_LNG_WAVES)) * (2 / 3)
+    north = smooth(GCJ_LAT) + (waves(x, GCJ_WAVES) + waves(y, GCJ_LAT_WAVES)) * (2 / 3)
     phi = F.radians(lat)
     m = 1 - GCJ_E2 * F.sin(phi) * F.sin(phi)
-    return F.degrees(series("lng") * F.sqrt(m) / (GCJ_A * F.cos(phi))), F.degrees(series("lat") * m * F.sqrt(m) / (GCJ_A * (1 - GCJ_E2)))
+    return F.degrees(east * F.sqrt(m) / (GCJ_A * F.cos(phi))), F.degrees(north * m * F.sqrt(m) / (GCJ_A * (1 - GCJ_E2)))
 
 
 def _gcj_bd(lng: Column, lat: Column) -> tuple[Column, Column]:

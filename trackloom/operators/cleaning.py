@@ -102,20 +102,22 @@ def _kernel(points: DataFrame, f, schema: str, buckets: int | None = None) -> Da
     cols = ["agent_id", "seq", "t_s", "x_m", "y_m"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        rest: list[pd.DataFrame] = []
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             if not len(b):
                 continue
             a = b["agent_id"].to_numpy()
-            edge = np.flatnonzero(a[1:] != a[:-1]) + 1
-            cut = int(edge[-1]) if len(edge) else 0
-            rest = b.iloc[cut:]
-            done = [f(b.iloc[i:j]) for i, j in zip(np.concatenate([[0], edge[:-1]]), edge)] if len(edge) else []
+            edge = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
+            done: list[pd.DataFrame] = []
+            for i, j in zip(edge, edge[1:]):
+                if rest and rest[0]["agent_id"].iloc[0] != a[i]:
+                    done.append(f(pd.concat(rest, ignore_index=True)))
+                    rest = []
+                rest.append(b.iloc[i:j])
             if done:
                 yield pd.concat(done, ignore_index=True)
-        if rest is not None and len(rest):
-            yield f(rest)
+        if rest:
+            yield f(pd.concat(rest, ignore_index=True))
 
     return points.select(*cols).repartition("agent_id").sortWithinPartitions("agent_id", "seq").mapInPandas(run, schema)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.geo import EARTH_RADIUS_M, great_circle_m
 from trackloom.functions.wkt import polygon_parts, ring_edges
 from trackloom.plans.joins import cell_join
+from trackloom.plans.stage import staged
 
 #: A polygon is covered by about this many cells across its longer side.
 CELLS_ACROSS = 24
@@ -122,7 +123,8 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_id: str = "p
     rule (left and lower edges are inside).  Null or infinite coordinates match
     nothing; either side may be empty.
     """
-    cells = region_cells(regions, region_id)
+    # read for the levels, for its size and for the join
+    cells = staged(region_cells(regions, region_id))
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())
     if not levels:
         return points.select(point_id).join(regions.select(region_id).limit(0), F.lit(False))

@@ -90,6 +90,23 @@ def links_near_nodes(spark, sf):
     return lines.nearest_on_lines(at, _links(spark, sf), 30.0).select(F.col("point_id").alias("node_id"), "link_id", milli("dist_m").alias("dist_mm"))
 
 
+@query(f"""WITH {PARTS_SQL},
+p AS (SELECT ping_id, lng * 90000 AS x, lat * 111000 AS y FROM example_sparse_gps WHERE lng BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90),
+acc AS (SELECT *, sum(m) OVER (PARTITION BY link_id ORDER BY k) - m AS before FROM seg WHERE x2 IS NOT NULL),
+b AS (SELECT *, unnest(generate_series(CAST(floor((least(x1, x2) - 40) / 40) AS BIGINT), CAST(floor((greatest(x1, x2) + 40) / 40) AS BIGINT))) AS cx FROM acc),
+c AS (SELECT *, unnest(generate_series(CAST(floor((least(y1, y2) - 40) / 40) AS BIGINT), CAST(floor((greatest(y1, y2) + 40) / 40) AS BIGINT))) AS cy FROM b),
+f AS (SELECT *, coalesce(greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0))), 0) AS f
+  FROM (SELECT *, CAST(floor(x / 40) AS BIGINT) AS cx, CAST(floor(y / 40) AS BIGINT) AS cy FROM p) q JOIN c USING (cx, cy)),
+d AS (SELECT ping_id, link_id, k, before + f * m AS along, sqrt(pow(x1 + f * (x2 - x1) - x, 2) + pow(y1 + f * (y2 - y1) - y, 2)) AS d FROM f)
+SELECT ping_id, link_id, {_milli('min(d)')} AS dist_mm, CAST(floor(arg_min(along, d) / 1 + 0.5) AS BIGINT) AS along_m FROM d WHERE d <= 40 GROUP BY ping_id, link_id""")
+def road_candidates(spark, sf):
+    p = spark.read.parquet(f"{sf}/example_sparse_gps.parquet").where("lng between -180 and 180 and lat between -90 and 90")
+    p = p.select(F.col("ping_id").alias("agent_id"), F.lit(0).alias("seq"), (F.col("lng") * 90000).alias("x_m"), (F.col("lat") * 111000).alias("y_m"))
+    l = _links(spark, sf).select(F.col("link_id").alias("link"), "from_node", "to_node", "pts")
+    c = matching.candidates(p, l, matching.Model(buffer_m=40.0, top_k=1_000_000))
+    return c.select(F.col("agent_id").alias("ping_id"), F.col("link").alias("link_id"), milli("dist_m").alias("dist_mm"), F.floor(F.col("along_m") + 0.5).cast("bigint").alias("along_m"))
+
+
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY from_node, to_node, dir = 1 ORDER BY link_id) AS k FROM link_layer WHERE from_node <> to_node AND dir IN (0, 1, -1)),
 o AS (SELECT * FROM f WHERE dir <> 1 OR k = 1),
 g AS (SELECT *, count(*) OVER w AS ways, row_number() OVER (w ORDER BY link_id) AS n FROM o WINDOW w AS (PARTITION BY least(from_node, to_node), greatest(from_node, to_node), dir = 1))

@@ -6,6 +6,8 @@ a double doesn't decide whether two engines agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -324,17 +326,11 @@ def match_roads_completed(spark, sf):
     return _by_session(matching.completed(m, p, paths, l).select("agent_id", "seq", "sub_seq", "link", "from_node", "to_node", "t_s", "x_m", "y_m", "along_m"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM link_layer WHERE link_id % 3 = 0 UNION SELECT to_node, from_node FROM link_layer WHERE link_id % 3 = 0),
+@query("""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM link_layer WHERE from_node IS NOT NULL AND to_node IS NOT NULL UNION SELECT to_node, from_node FROM link_layer WHERE from_node IS NOT NULL AND to_node IS NOT NULL),
 reach(node, c) USING KEY (node) AS (
   SELECT a, a FROM e GROUP BY a
   UNION SELECT e.b, min(r.c) FROM reach r JOIN e ON e.a = r.node LEFT JOIN recurring.reach k ON k.node = e.b WHERE r.c < k.c GROUP BY e.b)
 SELECT node, c AS component FROM reach""")
-def components(spark, sf):
-    # its SQL cuts a third of the links out, so it isn't the road network: that is network_components
-    return network.components(_links(spark, sf).where("link_id % 3 = 0").select(F.col("from_node").alias("a"), F.col("to_node").alias("b")))
-
-
-@query()
 def network_components(spark, sf):
     return network.components(_links(spark, sf).select(F.col("from_node").alias("a"), F.col("to_node").alias("b")))
 
@@ -356,7 +352,14 @@ def chain_nodes(spark, sf):
     return network.chain_nodes(_links(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS ({SQL['node_degree']}), inn AS (SELECT node_id FROM d WHERE degree = 2 AND out_degree = in_degree AND out_degree IN (1, 2)),
+l AS (SELECT link_id, from_node, to_node FROM link_layer WHERE from_node <> to_node AND dir IN (0, 1, -1)),
+ends AS (SELECT link_id, from_node AS n FROM l UNION ALL SELECT link_id, to_node FROM l),
+e AS (SELECT DISTINCT a.link_id AS a, b.link_id AS b FROM ends a JOIN ends b USING (n) JOIN inn ON inn.node_id = a.n),
+reach(link_id, c) USING KEY (link_id) AS (
+  SELECT link_id, link_id FROM l GROUP BY link_id
+  UNION SELECT e.b, min(r.c) FROM reach r JOIN e ON e.a = r.link_id LEFT JOIN recurring.reach k ON k.link_id = e.b WHERE r.c < k.c GROUP BY e.b)
+SELECT link_id, c AS chain FROM reach""")
 def link_chains(spark, sf):
     return network.chains(_links(spark, sf))
 
@@ -368,30 +371,62 @@ def fishnet_grid(spark, sf):
     return grids.fishnet(spark, 0.0, 0.0, 5000.0, 3000.0, 2000.0)
 
 
-@query()
+_SHIFT = """, x{n} AS (SELECT *, lng{n} - 105 AS x, lat{n} - 35 AS y, radians(lat{n}) AS phi, 20 * sin(6 * pi() * (lng{n} - 105)) + 20 * sin(2 * pi() * (lng{n} - 105)) AS w FROM {table}),
+s{n} AS (SELECT *, 1 - 0.00669342162296594323 * sin(phi) * sin(phi) AS m,
+  300 + x + 2 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * sqrt(abs(x)) + (w + 20 * sin(pi() * x) + 40 * sin(pi() * x / 3) + 150 * sin(pi() * x / 12) + 300 * sin(pi() * x / 30)) * 2 / 3 AS u,
+  -100 + 2 * x + 3 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * sqrt(abs(x)) + (w + 20 * sin(pi() * y) + 40 * sin(pi() * y / 3) + 160 * sin(pi() * y / 12) + 320 * sin(pi() * y / 30)) * 2 / 3 AS v FROM x{n}),
+d{n} AS (SELECT ping_id, lng{n}, lat{n}, degrees(u * sqrt(m) / (6378245.0 * cos(phi))) AS dx{n}, degrees(v * m * sqrt(m) / (6378245.0 * (1 - 0.00669342162296594323))) AS dy{n} FROM s{n})"""
+
+
+@query(
+    """WITH p AS (SELECT ping_id, lng AS lng1, lat AS lat1, lng - 0.0065 AS bx, lat - 0.006 AS b_y FROM example_sparse_gps WHERE lng IS NOT NULL AND lat IS NOT NULL),
+g AS (SELECT ping_id, sqrt(bx * bx + b_y * b_y) - 0.00002 * sin(b_y * pi() * 3000 / 180) AS z, atan2(b_y, bx) - 0.000003 * cos(bx * pi() * 3000 / 180) AS a FROM p),
+q AS (SELECT ping_id, z * cos(a) AS lng2, z * sin(a) AS lat2 FROM g)"""
+    + _SHIFT.format(n=1, table="p")
+    + _SHIFT.format(n=2, table="q")
+    + """ SELECT ping_id, CAST(floor((lng1 + dx1) * 1e6 + 0.5) AS BIGINT) AS lng_84_gc, CAST(floor((lat1 + dy1) * 1e6 + 0.5) AS BIGINT) AS lat_84_gc, CAST(floor((lng2 - dx2) * 1e6 + 0.5) AS BIGINT) AS lng_bd_84, CAST(floor((lat2 - dy2) * 1e6 + 0.5) AS BIGINT) AS lat_bd_84
+FROM d1 JOIN d2 USING (ping_id)"""
+)
 def datum_transform(spark, sf):
-    p = spark.read.parquet(f"{sf}/example_sparse_gps.parquet").where("lng between -180 and 180 and lat between -80 and 80").select("ping_id", "lng", "lat")
-    for kind in ("84-gc", "gc-bd", "bd-84"):
+    p = spark.read.parquet(f"{sf}/example_sparse_gps.parquet").where("lng is not null and lat is not null").select("ping_id", "lng", "lat")
+    u = lambda c: F.floor(c * 1e6 + 0.5).cast("bigint")
+    for kind in ("84-gc", "bd-84"):
         x, y = projection.convert_datum(F.col("lng"), F.col("lat"), kind)
-        p = p.withColumn(f"lng_{kind.replace('-', '_')}", x).withColumn(f"lat_{kind.replace('-', '_')}", y)
-    return p
+        p = p.withColumn(f"lng_{kind.replace('-', '_')}", u(x)).withColumn(f"lat_{kind.replace('-', '_')}", u(y))
+    return p.drop("lng", "lat")
 
 
 @query("""WITH p AS (SELECT ping_id, lng, lat, sqrt(lng * lng + lat * lat) + 0.00002 * sin(lat * pi() * 3000 / 180) AS z, atan2(lat, lng) + 0.000003 * cos(lng * pi() * 3000 / 180) AS a
-  FROM example_sparse_gps WHERE lng BETWEEN -180 AND 180 AND lat BETWEEN -80 AND 80)
+  FROM example_sparse_gps WHERE lng IS NOT NULL AND lat IS NOT NULL)
 SELECT ping_id, CAST(floor((z * cos(a) + 0.0065) * 1e6 + 0.5) AS BIGINT) AS lng_u, CAST(floor((z * sin(a) + 0.006) * 1e6 + 0.5) AS BIGINT) AS lat_u FROM p""")
 def datum_gc_bd(spark, sf):
-    p = spark.read.parquet(f"{sf}/example_sparse_gps.parquet").where("lng between -180 and 180 and lat between -80 and 80")
+    p = spark.read.parquet(f"{sf}/example_sparse_gps.parquet").where("lng is not null and lat is not null")
     x, y = projection.convert_datum(F.col("lng"), F.col("lat"), "gc-bd")
     return p.select("ping_id", F.floor(x * 1e6 + 0.5).cast("bigint").alias("lng_u"), F.floor(y * 1e6 + 0.5).cast("bigint").alias("lat_u"))
 
 
-@query()
+def _utm_sql() -> str:
+    """The series of the projection spelt out for a table p with lng and lat."""
+    e, scale, rect = projection._E, projection.SCALE, projection._RECT
+    alpha = projection._ALPHA
+    xs = " + ".join(f"{a!r} * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))
+    ys = " + ".join(f"{a!r} * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))
+    return f"""WITH p AS (SELECT ping_id, lng, lat, greatest(1, least(60, CAST(floor((lng + 180) / 6) AS INT) + 1)) AS zone FROM example_sparse_gps WHERE lng BETWEEN -180 AND 180 AND lat BETWEEN -80 AND 84),
+a AS (SELECT *, radians(lng - (zone * 6 - 183)) AS lam, 0.5 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) - {e!r} * 0.5 * ln((1 + {e!r} * sin(radians(lat))) / (1 - {e!r} * sin(radians(lat)))) AS q FROM p),
+t AS (SELECT *, (exp(q) - exp(-q)) / 2 AS t FROM a),
+x AS (SELECT *, atan2(t, cos(lam)) AS xi, sin(lam) / sqrt(cos(lam) * cos(lam) + t * t) AS w FROM t),
+h AS (SELECT *, ln(w + sqrt(w * w + 1)) AS eta FROM x)
+SELECT ping_id, CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + zone AS epsg, CAST(floor(((eta + {xs}) * {scale * rect!r} + 500000) * 100 + 0.5) AS BIGINT) AS x_cm,
+  CAST(floor(((xi + {ys}) * {scale * rect!r} + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END) * 100 + 0.5) AS BIGINT) AS y_cm FROM h"""
+
+
+@query(_utm_sql())
 def utm_projection(spark, sf):
     p = spark.read.parquet(f"{sf}/example_sparse_gps.parquet").where("lng between -180 and 180 and lat between -80 and 84").select("ping_id", "lng", "lat")
     zone = projection.utm_zone(F.col("lng"))
     x, y = projection.to_utm(F.col("lng"), F.col("lat"), zone)
-    return p.select("ping_id", projection.utm_epsg(F.col("lng"), F.col("lat")).alias("epsg"), x.alias("x"), y.alias("y"))
+    cm = lambda c: F.floor(c * 100 + 0.5).cast("bigint")
+    return p.select("ping_id", projection.utm_epsg(F.col("lng"), F.col("lat")).alias("epsg"), cm(x).alias("x_cm"), cm(y).alias("y_cm"))
 
 
 @query("SELECT count(*) AS n, CAST(sum(x_m) AS BIGINT) AS px, CAST(sum(y_m) AS BIGINT) AS py, CAST(sum(x_m * x_m) AS BIGINT) AS pxx, CAST(sum(x_m * y_m) AS BIGINT) AS pxy, CAST(sum(x_m * (2 * x_m - y_m + 7)) AS BIGINT) AS pxax FROM (" + GPS_SQL + ") g")
@@ -400,14 +435,30 @@ def helmert_fit(spark, sf):
     return grids.control_sums(g).select(*[F.col(c).cast("bigint").alias(c) for c in ("n", "px", "py", "pxx", "pxy", "pxax")])
 
 
+@query(f"""{GPS}, s AS (SELECT count(*) AS n, sum(CAST(x_m AS DOUBLE)) AS px, sum(CAST(y_m AS DOUBLE)) AS py, sum(2.0 * x_m - y_m + 7) AS ax, sum(1.0 * x_m + 2.0 * y_m - 3) AS ay, sum(1.0 * x_m * x_m + 1.0 * y_m * y_m) AS q,
+  sum(x_m * (2.0 * x_m - y_m + 7) + y_m * (1.0 * x_m + 2.0 * y_m - 3)) AS u, sum(x_m * (1.0 * x_m + 2.0 * y_m - 3) - y_m * (2.0 * x_m - y_m + 7)) AS v FROM gps),
+f AS (SELECT *, (u - (px * ax + py * ay) / n) / (q - (px * px + py * py) / n) AS a, (v - (px * ay - py * ax) / n) / (q - (px * px + py * py) / n) AS b FROM s)
+SELECT CAST(floor(a * 1000 + 0.5) AS BIGINT) AS a_m, CAST(floor(b * 1000 + 0.5) AS BIGINT) AS b_m, CAST(floor((ax - a * px + b * py) / n * 1000 + 0.5) AS BIGINT) AS dx_m, CAST(floor((ay - b * px - a * py) / n * 1000 + 0.5) AS BIGINT) AS dy_m FROM f""")
+def helmert_matrix(spark, sf):
+    g = gps_view(spark, sf).select(F.col("x_m").alias("px"), F.col("y_m").alias("py"), (2 * F.col("x_m") - F.col("y_m") + 7).alias("ax"), (F.col("x_m") + 2 * F.col("y_m") - 3).alias("ay"))
+    m = grids.fit(g, "helmert")
+    whole = lambda v: int(math.floor(v * 1000 + 0.5))
+    return spark.createDataFrame([(whole(m[0, 0]), whole(m[0, 1]), whole(m[2, 0]), whole(m[2, 1]))], "a_m bigint, b_m bigint, dx_m bigint, dy_m bigint")
+
+
 @query()
 def link_segments(spark, sf):
     return network.segments(_links(spark, sf).withColumn("pts", line_points(F.col("geometry"))))
 
 
-@query()
+@query(r"""WITH v AS (SELECT link_id, string_split(regexp_extract(geometry, '\((.*)\)', 1), ',') AS v FROM link_layer),
+e AS (SELECT link_id, CAST(split_part(trim(v[1]), ' ', 1) AS DOUBLE) AS ax, CAST(split_part(trim(v[1]), ' ', 2) AS DOUBLE) AS ay, CAST(split_part(trim(v[-1]), ' ', 1) AS DOUBLE) AS bx, CAST(split_part(trim(v[-1]), ' ', 2) AS DOUBLE) AS b_y FROM v WHERE len(v) > 1),
+n AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS id FROM (SELECT ax AS x, ay AS y FROM e UNION SELECT bx, b_y FROM e)),
+l AS (SELECT link_id, a.id AS from_node, b.id AS to_node FROM e JOIN n a ON a.x = ax AND a.y = ay JOIN n b ON b.x = bx AND b.y = b_y WHERE a.id <> b.id)
+SELECT link_id, from_node, to_node, 0 AS dir FROM (SELECT *, row_number() OVER (PARTITION BY from_node, to_node ORDER BY link_id) AS k FROM l) WHERE k = 1""")
 def nodes_from_lines(spark, sf):
-    return network.nodes_from_ends(_links(spark, sf).select("link_id", line_points(F.col("geometry")).alias("pts")))[1].drop("pts")
+    # degrees have no length, so that of the lines is left out
+    return network.nodes_from_ends(_links(spark, sf).select("link_id", line_points(F.col("geometry")).alias("pts")))[1].drop("pts", "length")
 
 
 @query(r"""WITH p AS (SELECT od_id, unnest(string_split(way_points, ';')) AS q FROM od_table WHERE way_points IS NOT NULL)
@@ -423,11 +474,14 @@ def od_distance(spark, sf):
     return od.select("od_id", F.floor(great_circle_m(F.col("o_x"), F.col("o_y"), F.col("d_x"), F.col("d_y")) + 0.5).cast("bigint").alias("dist_m"))
 
 
-@query()
+@query("""WITH c AS (SELECT *, (o_x + d_x) / 2 + (d_y - o_y) * 0.25 AS cx, (o_y + d_y) / 2 - (d_x - o_x) * 0.25 AS cy, unnest(generate_series(0, 19)) AS k FROM od_table),
+t AS (SELECT *, k / 19.0 AS t, 1 - k / 19.0 AS u FROM c)
+SELECT od_id, CAST(k AS INT) AS k, CAST(floor((u * u * o_x + 2 * u * t * cx + t * t * d_x) * 1e6 + 0.5) AS BIGINT) AS x_u, CAST(floor((u * u * o_y + 2 * u * t * cy + t * t * d_y) * 1e6 + 0.5) AS BIGINT) AS y_u FROM t""")
 def od_curves(spark, sf):
     od = spark.read.parquet(f"{sf}/od_table.parquet")
     ends = [F.col(c) for c in ("o_x", "o_y", "d_x", "d_y")]
-    return od.select("od_id", F.posexplode(grids.bezier(*ends)).alias("k", "p")).select("od_id", "k", "p.x", "p.y")
+    u = lambda c: F.floor(F.col(c) * 1e6 + 0.5).cast("bigint").alias(f"{c[-1]}_u")
+    return od.select("od_id", F.posexplode(grids.bezier(*ends)).alias("k", "p")).select("od_id", "k", u("p.x"), u("p.y"))
 
 
 QUERIES = Q
