@@ -86,10 +86,15 @@ def test_streamed_sessions(spark, tmp_path):
 
 
 def test_streamed_matching(spark, tmp_path):
-    from trackloom.operators.matching import Model
+    from trackloom.operators.matching import Model, match
 
-    df = spark.createDataFrame([("a", float(k * 10), 30.0 * k, 103.0) for k in range(12)], "agent_id string, t_s double, x_m double, y_m double")
-    df.coalesce(1).write.parquet(str(tmp_path / "m"))
-    run(match_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "m")), two_way_lattice(spark), Model(buffer_m=60.0, top_k=6, cutoff_m=400.0)), tmp_path)
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("t_s").collect()
-    assert len(got) == 12 and all(abs(r["dist_m"] - 3) < 1e-9 for r in got)
+    df = spark.createDataFrame([("a", k, float(k * 10), 30.0 * k, 103.0 if k < 8 else 103.0 + 30 * (k - 7)) for k in range(12)], "agent_id string, seq bigint, t_s double, x_m double, y_m double")
+    m = Model(buffer_m=60.0, top_k=6, cutoff_m=400.0)
+    roads = two_way_lattice(spark).where("from_node <= 400 and to_node <= 400")
+    for k in range(2):
+        df.where(f"seq >= {k * 6} and seq < {k * 6 + 6}").drop("seq").coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+        run(match_stream(spark.readStream.schema(df.drop("seq").schema).parquet(str(tmp_path / "m")), roads, m), tmp_path)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["t_s"] for r in got if not r["revised"]) == [10.0 * k for k in range(12)] and sorted(r["t_s"] for r in got if r["revised"]) == [30.0, 40.0, 50.0]
+    last = {r["t_s"]: r["link"] for r in sorted(got, key=lambda r: r["revised"])}
+    assert last == {r["seq"] * 10.0: r["link"] for r in match(df, roads, m).collect()}

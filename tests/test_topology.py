@@ -108,7 +108,7 @@ def test_overlaps(spark):
 def test_double_links(spark):
     l = links_of(spark, [(1, 1, 2, 1, "a", [(0, 0), (10, 0)]), (2, 2, 1, 1, "a", [(10, 0), (5, 4), (0, 0)]), (3, 1, 2, 1, "a", [(0, 0), (10, 0)]), (4, 2, 3, 1, "a", [(10, 0), (20, 0)])])
     assert rows(network.merge_double(l, by_length=False).select("link_id", "dir")) == [(1, 0), (4, 1)]
-    assert rows(network.merge_double(l).select("link_id", "dir")) == [(1, 1), (2, 1), (4, 1)]
+    assert rows(network.merge_double(l).select("link_id", "dir")) == [(1, 1), (2, 1), (3, 1), (4, 1)]
 
 
 def test_lines_that_meet_themselves(spark):

@@ -66,18 +66,19 @@ def fold_two_way(links: DataFrame, attributes: list[str]) -> DataFrame:
 def merge_double(links: DataFrame, by_length: bool = True) -> DataFrame:
     """Forward links that run opposite to each other become one with dir 0, that with the least link_id.
 
-    Repeated forward links, with the same ends in the same order (and length, if
-    that counts), are dropped first but for the least link_id.  With
-    ``by_length`` a pair must agree in whole metres of length, without it any two
-    links between the same nodes fit, whatever their course.
+    With ``by_length`` they are told by their unordered ends and whole metres of
+    length, and all of them that agree become one.  Without it links between the
+    same nodes fit whatever their course; repeated ones, with the same ends in
+    the same order, are dropped first but for the least link_id.
     """
     one = F.col("dir") == 1
-    more = [F.floor("length")] if by_length else []
-    same = Window.partitionBy("from_node", "to_node", *more, one).orderBy("link_id")
-    d = links.withColumn("_k", F.row_number().over(same)).where(~one | (F.col("_k") == 1)).drop("_k")
-    w = Window.partitionBy(F.least("from_node", "to_node"), F.greatest("from_node", "to_node"), *more, one)
-    d = d.withColumn("_ways", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy("link_id")))
-    both = one & (F.col("_ways") == 2) & (F.col("from_node") != F.col("to_node"))
+    if not by_length:
+        same = Window.partitionBy("from_node", "to_node", one).orderBy("link_id")
+        links = links.withColumn("_k", F.row_number().over(same)).where(~one | (F.col("_k") == 1)).drop("_k")
+    key = [F.least("from_node", "to_node"), F.greatest("from_node", "to_node"), *([F.floor("length")] if by_length else [])]
+    w = Window.partitionBy(*key, one)
+    d = links.withColumn("_ways", F.size(F.collect_set("from_node").over(w))).withColumn("_k", F.row_number().over(w.orderBy("link_id")))
+    both = one & (F.col("_ways") == 2)
     return d.where(~both | (F.col("_k") == 1)).withColumn("dir", F.when(both, 0).otherwise(F.col("dir"))).drop("_ways", "_k")
 
 

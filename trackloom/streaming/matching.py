@@ -1,4 +1,4 @@
-"""Incremental map matching: Viterbi scores are carried from batch to batch."""
+"""Incremental map matching: the last points and their scores are carried from batch to batch."""
 
 from __future__ import annotations
 
@@ -8,113 +8,133 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trackloom.operators.matching import Model, _dijkstra
+from trackloom.operators.matching import GRAPH_ROWS, Graph, Model, Moves, link_edges, link_parts
+from trackloom.plans.joins import fits
 
-STATE = "t double, x double, y double, links array<bigint>, along array<double>, zeta array<double>"
-OUT = "agent_id string, t_s double, link bigint, dist_m double"
+#: The overlapped points, and links and scores of the first one's candidates.
+STATE = "t array<double>, x array<double>, y array<double>, links array<bigint>, zeta array<double>"
+OUT = "agent_id string, t_s double, link bigint, dist_m double, revised boolean"
 
 
 class Roads:
-    """Directed straight links with a cell index and bounded path costs, for one worker."""
-
-    def __init__(self, rows: list[tuple], m: Model) -> None:
-        self.m = m
-        self.link, self.f, self.t = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-        self.x1, self.y1, self.x2, self.y2 = (np.array([r[i] for r in rows], dtype=float) for i in range(3, 7))
-        self.length = np.hypot(self.x2 - self.x1, self.y2 - self.y1)
-        self.place = {int(k): i for i, k in enumerate(self.link)}
+    """Segments of directed links with a cell index, for one worker."""
+
+    def __init__(self, parts: dict[str, np.ndarray], m: Model) -> None:
+        self.m, self.p = m, parts
+        p, b = parts, m.buffer_m
+        lo = [np.floor((np.minimum(p[f"{c}1"], p[f"{c}2"]) - b) / b).astype(int) for c in "xy"]
+        hi = [np.floor((np.maximum(p[f"{c}1"], p[f"{c}2"]) + b) / b).astype(int) for c in "xy"]
         self.cells: dict[tuple[int, int], list[int]] = {}
-        b = m.buffer_m
-        for i in range(len(rows)):
-            for cx in range(int((min(self.x1[i], self.x2[i]) - b) // b), int((max(self.x1[i], self.x2[i]) + b) // b) + 1):
-                for cy in range(int((min(self.y1[i], self.y2[i]) - b) // b), int((max(self.y1[i], self.y2[i]) + b) // b) + 1):
+        for i in range(len(p["link"])):
+            for cx in range(lo[0][i], hi[0][i] + 1):
+                for cy in range(lo[1][i], hi[1][i] + 1):
                     self.cells.setdefault((cx, cy), []).append(i)
-        self.next: dict[int, list[tuple[int, float]]] = {}
-        for f, t, n in zip(self.f.tolist(), self.t.tolist(), self.length.tolist()):
-            self.next.setdefault(f, []).append((t, n))
-        self.cost: dict[int, dict[int, tuple[float, int, int]]] = {}
 
-    def near(self, x: float, y: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, distances and positions along of the candidates, in order of link."""
+    def near(self, x: float, y: float) -> dict[str, np.ndarray]:
+        """The candidates of a place in order of link, each by its nearest segment."""
+        p = self.p
         i = np.array(self.cells.get((int(x // self.m.buffer_m), int(y // self.m.buffer_m)), []), dtype=np.int64)
-        ux, uy = self.x2[i] - self.x1[i], self.y2[i] - self.y1[i]
-        n = np.maximum(ux * ux + uy * uy, 1e-12)
-        f = np.clip(((x - self.x1[i]) * ux + (y - self.y1[i]) * uy) / n, 0, 1)
-        d = np.hypot(self.x1[i] + f * ux - x, self.y1[i] + f * uy - y)
-        k = np.lexsort((self.link[i], d))[: self.m.top_k]
-        k = k[d[k] <= self.m.buffer_m]
-        k = k[np.argsort(self.link[i][k])]
-        return i[k], d[k], f[k] * np.sqrt(n[k])
-
-    def moves(self, a: np.ndarray, along_a: np.ndarray, b: np.ndarray, along_b: np.ndarray, gps: float) -> np.ndarray:
-        out = np.empty((len(a), len(b)))
-        for p, i in enumerate(a):
-            o = int(self.f[i])
-            if o not in self.cost:
-                self.cost[o] = {d: (round(c, 1), q[1] if len(q) > 1 else d, q[-2] if len(q) > 1 else d) for d, c, q in _dijkstra(self.next, o, self.m.cutoff_m)}
-            for r, j in enumerate(b):
-                same, opposite = i == j, self.f[i] == self.t[j] and self.t[i] == self.f[j]
-                c = self.cost[o].get(int(self.f[j]))
-                fits = c is not None and c[0] > 0 and c[1] == self.t[i] and c[2] != self.t[j]
-                gap = abs(gps - abs((c[0] if c else 0.0) - along_a[p] + along_b[r])) if same or opposite or fits else self.m.not_connected
-                out[p, r] = -self.m.dis_para * gap / self.m.beta
-        return out
-
-
-def match_stream(points: DataFrame, directed: DataFrame, m: Model = Model(), gap_s: float = 1800.0, gap_m: float = 600.0) -> DataFrame:
-    """agent_id, t_s, link, dist_m for every point of a stream as soon as its batch is there.
-
-    An agent's state is its last matched point with the candidates' scores, at
-    most ``top_k`` of each.  A batch goes on from them unless the gap exceeds
-    ``gap_s`` seconds or ``gap_m`` metres, else it begins anew; silent agents are
-    forgotten after ``gap_s``.  Headings, which need the next point, aren't used.
-    The links are sent to the workers once; they must be a network of a size
-    checked against GRAPH_ROWS.
+        ux, uy = p["x2"][i] - p["x1"][i], p["y2"][i] - p["y1"][i]
+        n = ux * ux + uy * uy
+        f = np.clip(((x - p["x1"][i]) * ux + (y - p["y1"][i]) * uy) / np.where(n > 0, n, 1), 0, 1)
+        d = np.hypot(p["x1"][i] + f * ux - x, p["y1"][i] + f * uy - y)
+        k = np.flatnonzero(d <= self.m.buffer_m)
+        k = k[np.lexsort((p["part"][i][k], d[k], p["link"][i][k]))]
+        k = k[np.concatenate([[True], np.diff(p["link"][i][k]) != 0])] if len(k) else k
+        k = k[np.lexsort((p["link"][i][k], d[k]))][: self.m.top_k]
+        k = k[np.argsort(p["link"][i][k])]
+        at = i[k]
+        return {"link": p["link"][at], "from_node": p["from_node"][at], "to_node": p["to_node"][at], "along_m": p["before"][at] + f[k] * np.sqrt(n[k]), "dist_m": d[k], "dx": ux[k], "dy": uy[k]}
+
+
+def _emission(c: dict[str, np.ndarray], gx: float, gy: float, m: Model) -> np.ndarray:
+    """As ``matching.emission``, the way from the point before to the one behind being (gx, gy)."""
+    way = math.hypot(gx, gy)
+    off = np.zeros(len(c["link"]))
+    if m.use_heading and way > m.omitted_m:
+        n = way * np.hypot(c["dx"], c["dy"])
+        off = np.minimum(np.degrees(np.arccos(np.clip(np.where(n > 0, (gx * c["dx"] + gy * c["dy"]) / np.where(n > 0, n, 1), 1.0), -1, 1))), 179.9)
+    factor = np.array(m.headings)[(off / (180.0 / len(m.headings))).astype(int)]
+    return np.log(factor) - 0.5 * (m.dis_para * c["dist_m"] / m.sigma_m) ** 2
+
+
+def match_stream(points: DataFrame, directed: DataFrame, m: Model = Model(), gap_s: float = 1800.0, gap_m: float = 600.0, overlap: int = 3) -> DataFrame:
+    """agent_id, t_s, link, dist_m, revised for every point of a stream as soon as its batch is there.
+
+    An agent's state is its last ``overlap`` matched points and the scores of the
+    first one's candidates, at most ``top_k``.  A batch goes on from there unless
+    the gap to its first point exceeds ``gap_s`` seconds or ``gap_m`` metres, else
+    it begins anew: the overlapped points are matched again with what came after
+    them and come out once more with ``revised`` true.  Silent agents are
+    forgotten after ``gap_s``.  A batch's points not behind the state's last one
+    are left out.  The links, straight or bent, are sent to the workers once; a
+    network of more than GRAPH_ROWS links is matched in batches instead.
     """
-    from trackloom.operators.matching import GRAPH_ROWS
-    from trackloom.plans.joins import fits
-
     if not fits(directed, GRAPH_ROWS):
-        raise ValueError(f"streams are matched on networks of at most {GRAPH_ROWS} directed links")
-    rows = [tuple(r) for r in directed.select("link", "from_node", "to_node", "x1", "y1", "x2", "y2").toLocalIterator()]
-    shared = directed.sparkSession.sparkContext.broadcast(rows)
-    made: list[Roads] = []
+        raise ValueError(f"streams are matched on networks of at most {GRAPH_ROWS} directed links; use matching.match in foreachBatch beyond that")
+    big = lambda c: F.col(c).cast("bigint").alias(c)
+    table = link_parts(directed).select(big("link"), big("from_node"), big("to_node"), big("part"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "before")]).toArrow()
+    parts = {c: table.column(c).to_numpy() for c in table.column_names}
+    shared = directed.sparkSession.sparkContext.broadcast((parts, Graph.of(link_edges(directed))))
+    made: list[tuple[Roads, Moves]] = []
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         if not made:
-            made.append(Roads(shared.value, m))
-        roads = made[0]
+            made.append((Roads(shared.value[0], m), Moves(shared.value[1], m)))
+        roads, moves = made[0]
         g = pd.concat(list(frames)).sort_values("t_s", kind="stable")
-        s = state.get if state.exists else None
-        # the steps of this batch: time, places, distances, scores, back pointers
-        steps: list[tuple] = []
-        for t, x, y in zip(g["t_s"].astype(float), g["x_m"].astype(float), g["y_m"].astype(float)):
-            k, d, along = roads.near(x, y)
-            if not len(k):
-                continue
-            e = -0.5 * (m.dis_para * d / m.sigma_m) ** 2
-            gps = math.hypot(x - s[1], y - s[2]) if s else 0.0
-            if s and 0 <= t - s[0] <= gap_s and gps <= gap_m:
-                total = np.array(s[5])[:, None] + roads.moves(np.array([roads.place[v] for v in s[3]]), np.array(s[4]), k, along, gps)
+        fresh = [(float(t), float(x), float(y)) for t, x, y in zip(g["t_s"], g["x_m"], g["y_m"])]
+        old: list[tuple[float, float, float]] = []
+        kept: tuple | None = None
+        if state.exists:
+            ts, xs, ys, links, zeta = state.get
+            fresh = [p for p in fresh if p[0] > ts[-1]]
+            if fresh and fresh[0][0] - ts[-1] <= gap_s and math.hypot(fresh[0][1] - xs[-1], fresh[0][2] - ys[-1]) <= gap_m:
+                old, kept = list(zip(ts, xs, ys)), (links, zeta)
+        rows: list[tuple] = []
+        at = [(p, roads.near(p[1], p[2])) for p in [*old, *fresh]]
+        at = [(p, c) for p, c in at if len(c["link"])]
+        # runs of points without a break; the first may go on from the state
+        run: list[tuple] = []
+
+        def finish() -> None:
+            j = int(run[-1][2].argmax())
+            found = []
+            for p, c, _, back in reversed(run):
+                found.append((key[0], p[0], int(c["link"][j]), float(c["dist_m"][j]), p in old))
+                j = int(back[j]) if back is not None else j
+            rows.extend(found[::-1])
+
+        for i, (p, c) in enumerate(at):
+            joined = bool(run) and p[0] - run[-1][0][0] <= gap_s and math.hypot(p[1] - run[-1][0][1], p[2] - run[-1][0][2]) <= gap_m
+            before = at[i - 1][0] if i and joined else p
+            after = at[i + 1][0] if i + 1 < len(at) else p
+            e = _emission(c, after[1] - before[1], after[2] - before[2], m)
+            if joined:
+                log_p, _, _ = moves.between(run[-1][1], c, math.hypot(p[1] - run[-1][0][1], p[2] - run[-1][0][2]), p[0] - run[-1][0][0])
+                total = run[-1][2][:, None] + log_p
                 back, z = total.argmax(axis=0), total.max(axis=0) + e
             else:
-                back, z = None, e - math.log(len(k))
-            z = z - z.max()  # only differences matter, and the state must not drift off
-            steps.append((t, k, d, z, back))
-            s = (float(t), float(x), float(y), roads.link[k].tolist(), along.tolist(), z.tolist())
-        if s is not None:
-            state.update(s)
+                if run:
+                    finish()
+                    run = []
+                back, z = None, e - math.log(len(e))
+                if i == 0 and kept is not None and kept[0] == c["link"].tolist():
+                    z = np.array(kept[1])
+            run.append((p, c, z - z.max(), back))  # only differences matter, and scores must not drift off
+        if run:
+            finish()
+            last = run[-overlap:]
+            state.update(([q[0][0] for q in last], [q[0][1] for q in last], [q[0][2] for q in last], last[0][1]["link"].tolist(), last[0][2].tolist()))
+            state.setTimeoutDuration(int(gap_s * 1000))
+        elif state.exists:
             state.setTimeoutDuration(int(gap_s * 1000))
-        found, j = [], None
-        for t, k, d, z, back in reversed(steps):
-            j = int(z.argmax()) if j is None else j
-            found.append((key[0], t, int(roads.link[k[j]]), float(d[j])))
-            j = int(back[j]) if back is not None else None
-        yield pd.DataFrame(found[::-1], columns=["agent_id", "t_s", "link", "dist_m"])
+        yield pd.DataFrame(rows, columns=["agent_id", "t_s", "link", "dist_m", "revised"])
 
     return points.groupBy("agent_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
