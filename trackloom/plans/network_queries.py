@@ -186,15 +186,15 @@ def one_and_two_way_nodes(spark, sf):
     return l.where("dir = 1").select(F.col("from_node").alias("node_id")).intersect(l.where("dir = 0").select("to_node"))
 
 
-@query(f"""WITH RECURSIVE {LATTICE}, q AS (SELECT DISTINCT CAST(o_custkey % 2500 + 1 AS BIGINT) AS o, CAST(o_custkey * 7 % 2500 + 1 AS BIGINT) AS d FROM (SELECT c_custkey AS o_custkey FROM customer) c), src AS (SELECT DISTINCT o FROM q),
+@query(f"""WITH RECURSIVE {LATTICE}, q AS (SELECT DISTINCT CAST(s_suppkey * 13 % 2500 + 1 AS BIGINT) AS o, CAST(s_suppkey * 7 % 2500 + 1 AS BIGINT) AS d FROM supplier), src AS (SELECT DISTINCT o FROM q),
 walk(o, d, cost) USING KEY (o, d) AS (
   SELECT o, o, CAST(0 AS DOUBLE) FROM src GROUP BY o
   UNION SELECT w.o, e.t, min(w.cost + e.length) FROM walk w JOIN edges e ON w.d = e.f LEFT JOIN recurring.walk k ON k.o = w.o AND k.d = e.t
   WHERE k.cost IS NULL OR w.cost + e.length < k.cost GROUP BY w.o, e.t)
 SELECT q.o, q.d, {_milli('coalesce(w.cost, -1)')} AS cost_mm FROM q LEFT JOIN walk w ON w.o = q.o AND w.d = q.d""")
 def od_shortest_paths(spark, sf):
-    c = spark.read.parquet(f"{sf}/customer.parquet")
-    q = c.select((F.col("c_custkey") % 2500 + 1).alias("o"), (F.col("c_custkey") * 7 % 2500 + 1).alias("d"))
+    c = spark.read.parquet(f"{sf}/supplier.parquet")
+    q = c.select((F.col("s_suppkey") * 13 % 2500 + 1).alias("o"), (F.col("s_suppkey") * 7 % 2500 + 1).alias("d"))
     e = _lattice(spark).select(F.col("from_node").alias("f"), F.col("to_node").alias("t"), F.lit(100.0).alias("length"))
     return matching.od_paths(e, q, -1.0).select("o", "d", milli("cost").alias("cost_mm"))
 

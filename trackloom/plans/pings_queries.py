@@ -22,7 +22,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_series(spark: SparkSession, sf: str) -> DataFrame:
-    return gridding.session_grid(_raw(spark, sf))
+    # to a millionth of a degree and a millimetre, as the order of sums is left to the engine
+    near = lambda c, k: (F.floor(F.col(c) * k + 0.5) / k).alias(c)
+    g = gridding.session_grid(_raw(spark, sf))
+    return g.select("agent_id", "period_s", near("lng", 1e6), near("lat", 1e6), near("moved_m", 1e3), "n_located", "covered")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +97,18 @@ ORACLE = {
 SELECT agent_id, period_s FROM (
   SELECT agent_id, unnest(generate_series(start_s // 300 * 300, end_s // 300 * 300, 300)) AS period_s FROM sess) c
 WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.agent_id = c.agent_id AND e.s // 300 * 300 = c.period_s AND e.lng IS NOT NULL)""",
+    "p1_series": f"""WITH {EVENTS_SQL},
+loc AS (SELECT agent_id, session_no, s, lng, lat, lag(s) OVER w AS ps, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat, {DISTANCE_SQL.format(a1="lag(lng) OVER w", b1="lag(lat) OVER w", a2="lng", b2="lat")} AS m
+  FROM numbered WHERE lng IS NOT NULL WINDOW w AS (PARTITION BY agent_id, session_no ORDER BY s)),
+cells AS (SELECT agent_id, unnest(generate_series(start_s // 300 * 300, end_s // 300 * 300, 300)) AS period_s FROM sess),
+own AS (SELECT agent_id, s // 300 * 300 AS period_s, count(*) AS n, avg(lng) AS lng, avg(lat) AS lat FROM loc GROUP BY ALL),
+seg AS (SELECT *, CASE WHEN abs(lng) <= 180 AND abs(plng) <= 180 THEN lng - plng - 360 * round((lng - plng) / 360) ELSE lng - plng END AS turn FROM loc WHERE s - ps <= 3600),
+parts AS (SELECT *, unnest(generate_series(ps // 300 * 300, s // 300 * 300, 300)) AS period_s FROM seg),
+mid AS (SELECT *, greatest(0, least(period_s + 300, s) - greatest(period_s, ps)) / CAST(s - ps AS DOUBLE) AS part, (period_s + 150.0 - ps) / CAST(s - ps AS DOUBLE) AS f FROM parts),
+at_mid AS (SELECT *, CASE WHEN f BETWEEN 0 AND 1 THEN plng + turn * f END AS x, CASE WHEN f BETWEEN 0 AND 1 THEN plat + (lat - plat) * f END AS y FROM mid),
+way AS (SELECT agent_id, period_s, sum(m * part) AS moved_m, max(CASE WHEN abs(lng) <= 180 AND abs(plng) <= 180 THEN x - 360 * round(x / 360) ELSE x END) AS lng, max(y) AS lat FROM at_mid GROUP BY ALL)
+SELECT agent_id, period_s, floor(coalesce(o.lng, w.lng) * 1e6 + 0.5) / 1e6 AS lng, floor(coalesce(o.lat, w.lat) * 1e6 + 0.5) / 1e6 AS lat, floor(moved_m * 1e3 + 0.5) / 1e3 AS moved_m, coalesce(n, 0) AS n_located, n IS NOT NULL AS covered
+FROM cells LEFT JOIN own o USING (agent_id, period_s) LEFT JOIN way w USING (agent_id, period_s)""",
     "p2_found": f"WITH {EVENTS_SQL} SELECT agent_id, start_s, end_s FROM sess",
     "p2_sessions": f"WITH {EVENTS_SQL} SELECT agent_id, start_s, end_s, end_s - start_s AS duration_s, n_events FROM sess",
     "p5_found": rf"""WITH nodes AS (

@@ -99,9 +99,19 @@ def heading_difference(spark, sf):
     return cleaning.difference_heading(gps_view(spark, sf)).select("agent_id", "seq", "dx", "dy", milli("vec_len").alias("len_mm"))
 
 
-@query()
+_FILTER = """WITH RECURSIVE gps AS ({gps}), k(agent_id, seq, t_s, x, vx, y, vy, a, b, d) AS (
+  SELECT agent_id, seq, t_s, CAST(x_m AS DOUBLE), CAST(0 AS DOUBLE), CAST(y_m AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM gps WHERE seq = 0
+  UNION ALL
+  SELECT agent_id, seq, t_s, px + a / (a + 25) * (zx - px), vx + b / (a + 25) * (zx - px), py + a / (a + 25) * (zy - py), vy + b / (a + 25) * (zy - py), (1 - a / (a + 25)) * a, (1 - a / (a + 25)) * b, d - b / (a + 25) * b
+  FROM (SELECT g.agent_id, g.seq, g.t_s, g.x_m AS zx, g.y_m AS zy, k.vx, k.vy, k.x + (g.t_s - k.t_s) * k.vx AS px, k.y + (g.t_s - k.t_s) * k.vy AS py,
+      k.a + 2 * (g.t_s - k.t_s) * k.b + (g.t_s - k.t_s) * (g.t_s - k.t_s) * k.d + 0.25 AS a, k.b + (g.t_s - k.t_s) * k.d AS b, k.d + 0.25 AS d
+    FROM k JOIN gps g ON g.agent_id = k.agent_id AND g.seq = k.seq + 1) s)
+SELECT agent_id, seq, {x} AS x_mm, {y} AS y_mm FROM k"""
+
+
+@query(_FILTER.format(gps=GPS_SQL, x=_milli("x"), y=_milli("y")))
 def kalman_smooth(spark, sf):
-    return cleaning.kalman_smooth(gps_view(spark, sf), 0.5, 5.0)
+    return cleaning.kalman_smooth(gps_view(spark, sf), 0.5, 5.0).select("agent_id", "seq", milli("x_m").alias("x_mm"), milli("y_m").alias("y_mm"))
 
 
 @query()
@@ -255,7 +265,15 @@ def _some_points(spark: SparkSession, sf: str) -> DataFrame:
     return gps_view(spark, sf)
 
 
-@query()
+@query(f"""{GPS}, lv AS ({LINK_SQL}),
+dl AS (SELECT link_id * 2 AS link, x1, y1, x2, y2 FROM lv WHERE dir IN (0, 1) UNION ALL SELECT link_id * 2 + 1, x2, y2, x1, y1 FROM lv WHERE dir IN (0, -1)),
+v AS (SELECT agent_id, seq, x_m, y_m, coalesce(lead(x_m) OVER w, x_m) - coalesce(lag(x_m) OVER w, x_m) AS gx, coalesce(lead(y_m) OVER w, y_m) - coalesce(lag(y_m) OVER w, y_m) AS gy FROM gps {W}),
+c AS (SELECT agent_id, seq, link, gx, gy, x2 - x1 AS dx, y2 - y1 AS dy, x_m, y_m, x1, y1, greatest(0.0, least(1.0, ((x_m - x1) * (x2 - x1) + (y_m - y1) * (y2 - y1)) / CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE))) AS f
+  FROM v JOIN dl ON x_m BETWEEN least(x1, x2) - 120 AND greatest(x1, x2) + 120 AND y_m BETWEEN least(y1, y2) - 120 AND greatest(y1, y2) + 120),
+d AS (SELECT *, sqrt((x_m - (x1 + f * dx)) * (x_m - (x1 + f * dx)) + (y_m - (y1 + f * dy)) * (y_m - (y1 + f * dy))) AS dist FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY agent_id, seq ORDER BY dist, link) AS k FROM d WHERE dist <= 120),
+a AS (SELECT *, CASE WHEN sqrt(gx * gx + gy * gy) > 6 THEN least(179.9, degrees(acos(greatest(-1.0, least(1.0, (gx * dx + gy * dy) / (sqrt(gx * gx + gy * gy) * sqrt(dx * dx + dy * dy))))))) ELSE 0 END AS off FROM k WHERE k <= 6)
+SELECT agent_id, seq, CAST(row_number() OVER (PARTITION BY agent_id, seq ORDER BY link) - 1 AS INT) AS state, link, {_milli("ln([1.0, 1.0, 1.0, 0.9, 0.8, 0.7, 0.6, 0.6, 0.5][CAST(floor(off / 20) AS INT) + 1]) - 0.5 * pow(0.1 * dist / 30, 2)")} AS emission_m FROM a""")
 def emission_logp(spark, sf):
     p = _some_points(spark, sf)
     c = matching.emission(matching.with_state(matching.candidates(p, _lattice(spark), MODEL)), p, MODEL)
