@@ -65,6 +65,11 @@ def test_kalman_and_simplify(spark):
     assert cleaning.simplify_line(np.array([0, 1, 2, 3.0]), np.array([0, 0.1, 5, 0]), 1).tolist() == [0, 2, 3]
 
 
+def test_run_ids(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (1, 5, "a"), (2, 1, "a")], "k int, t int, v string")
+    assert rows(cleaning.run_ids(df, ["k"], ["t"], ["v"]).select("k", "t", "run")) == [(1, 1, 1), (1, 2, 1), (1, 3, 2), (1, 4, 2), (1, 5, 3), (2, 1, 1)]
+
+
 def test_gap_fill(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([None, 1.0, None, None, 4.0, None])], "k int, t int, v double")
     assert [r["v"] for r in cleaning.gap_fill(df, ["k"], "t", "v").orderBy("t").collect()] == [1, 1, 2, 3, 4, 4]

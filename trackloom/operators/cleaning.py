@@ -93,6 +93,14 @@ def trajectory_export(points: DataFrame, info: DataFrame | None = None) -> DataF
     return p.join(own, ["agent_id", "seq"], "left")
 
 
+def run_ids(df: DataFrame, keys: list[str], order: list[str], value: list[str], name: str = "run") -> DataFrame:
+    """Adds ``name``, from 1 in each of ``keys``: the number of the run of equal consecutive ``value``; nulls equal each other."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    v = F.struct(*value)
+    new = F.when(F.lag(F.lit(1)).over(w).isNull() | ~F.lag(v).over(w).eqNullSafe(v), 1).otherwise(0)
+    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def _kernel(points: DataFrame, f, schema: str, buckets: int | None = None) -> DataFrame:
     """One call of ``f`` an agent, many agents a task; an agent's rows arrive sorted.
 

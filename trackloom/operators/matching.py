@@ -593,9 +593,7 @@ def dense_result(matched: DataFrame, points: DataFrame, directed: DataFrame, lea
     ``least_m`` to the next one are left out, but for an agent's last one.  Times
     of vertices are filled in between those of the points.
     """
-    w = by_agent()
-    changed = F.coalesce(F.lag("link").over(w) != F.col("link"), F.lit(True)).cast("int")
-    m = matched.join(points.select("agent_id", "seq", "t_s"), ["agent_id", "seq"]).withColumn("_c", changed).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    m = cleaning.run_ids(matched.join(points.select("agent_id", "seq", "t_s"), ["agent_id", "seq"]), ["agent_id"], ["seq"], ["link"])
     parts = staged(link_parts(directed))
     last_run = Window.partitionBy("agent_id")
     runs = m.groupBy("agent_id", "run", "link").agg(F.min("along_m").alias("a"), F.max("along_m").alias("z")).withColumn("_runs", F.max("run").over(last_run))

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.wkt import line_points, point_xy
-from trackloom.operators import grids, lines, matching, network, topology, trips
+from trackloom.operators import cleaning, grids, lines, matching, network, topology, trips
 from trackloom.plans.stage import staged
 from trackloom.plans.track_queries import LATTICE, _lattice, _milli, milli
+from trackloom.plans.views import GPS_SQL, gps_view
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -219,6 +220,13 @@ def road_path_table(spark, sf):
     return t.select("o", "d", milli("cost").alias("cost_mm"), "second", "last_but_one")
 
 
+@query(f"""WITH gps AS ({GPS_SQL}), c AS (SELECT agent_id, seq, CAST(floor(x_m / 100.0) AS BIGINT) AS cell, CASE WHEN lag(floor(x_m / 100.0)) OVER w = floor(x_m / 100.0) THEN 0 ELSE 1 END AS new FROM gps WINDOW w AS (PARTITION BY agent_id ORDER BY seq))
+SELECT agent_id, seq, CAST(sum(new) OVER (PARTITION BY agent_id ORDER BY seq) AS BIGINT) AS run FROM c""")
+def run_labels(spark, sf):
+    g = gps_view(spark, sf).withColumn("cell", F.floor(F.col("x_m") / 100.0))
+    return cleaning.run_ids(g, ["agent_id"], ["seq"], ["cell"]).select("agent_id", "seq", "run")
+
+
 @query()
 def dense_match_result(spark, sf):
     from trackloom.plans.track_queries import MODEL, _some_points
@@ -244,8 +252,6 @@ def random_region_od(spark, sf):
 
 @query()
 def od_by_gps(spark, sf):
-    from trackloom.plans.views import gps_view
-
     return trips.od_by_gps(gps_view(spark, sf), 1800, 10.0, 3, 60.0)
 
 
