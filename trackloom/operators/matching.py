@@ -381,6 +381,13 @@ def decode(c: DataFrame, t: DataFrame) -> DataFrame:
     return rows.repartition("agent_id").sortWithinPartitions("agent_id", "kind", "seq", "i", "j").mapInPandas(run, f"agent_id {kind}, seq bigint, state int, route_m double, valid boolean")
 
 
+def _tenth(c: float) -> float:
+    """Rounded to a tenth as ``bround`` does, by the number's decimal notation; only near ties that takes decimals."""
+    if abs(c * 10 % 1 - 0.5) > 1e-6:
+        return round(c, 1)
+    return float(Decimal(repr(c)).quantize(TENTH, ROUND_HALF_EVEN))
+
+
 class Moves:
     """Transitions between the candidates of two points, on a shared graph whose bounded paths are searched once a source and worker."""
 
@@ -395,22 +402,43 @@ class Moves:
             # a bound on memory, not on what is found
             if self.held > 5_000_000:
                 self.known, self.held = {}, 0
-            speed = self.graph.mean_speed if self.m.use_speed else lambda _: math.nan
-            found = {d: (float(Decimal(repr(c)).quantize(TENTH, ROUND_HALF_EVEN)), p[1], p[-2], speed(p)) for d, c, p in _dijkstra(self.graph, o, self.m.cutoff_m) if d != o}
+            if self.m.use_speed:
+                found = {d: (_tenth(c), p[1], p[-2], self.graph.mean_speed(p)) for d, c, p in _dijkstra(self.graph, o, self.m.cutoff_m) if d != o}
+            else:
+                found = self._ends(o)
             for d, c in self.graph.get(o):
                 if d != o and d not in found:
-                    found[d] = (float(Decimal(repr(c)).quantize(TENTH, ROUND_HALF_EVEN)), d, o, speed([o, d]))
+                    found[d] = (_tenth(c), d, o, self.graph.mean_speed([o, d]) if self.m.use_speed else math.nan)
             self.known[o] = found
             self.held += len(found)
         return self.known[o]
 
+    def _ends(self, o: int) -> dict[int, tuple[float, int, int, float]]:
+        """The search of ``_dijkstra``, of whose paths only the second and last but one node are kept."""
+        cutoff, neighbours = self.m.cutoff_m, self.graph.get
+        second: dict[int, int] = {}
+        found: dict[int, tuple[float, int, int, float]] = {}
+        best = {o: (0.0, 0, -1)}
+        heap = [(0.0, 0, o, -1)]
+        while heap:
+            cost, links, node, before = heapq.heappop(heap)
+            if node in second:
+                continue
+            second[node] = node if before in (-1, o) else second[before]
+            if node != o:
+                found[node] = (_tenth(cost), second[node], before, math.nan)
+            for to, length in neighbours(node):
+                c = cost + length
+                if c <= cutoff and to not in second and (to not in best or (c, links + 1, node) < best[to]):
+                    best[to] = (c, links + 1, node)
+                    heapq.heappush(heap, (c, links + 1, to, node))
+        return found
+
     def between(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray], gps_m: float, dt: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log probability, route, valid) for each pair of candidates."""
         none = (math.nan, -1, -1, math.nan)
-        fa, ia = np.unique(a["from_node"], return_inverse=True)
-        fb, ib = np.unique(b["from_node"], return_inverse=True)
-        table = np.array([[found.get(d, none) for d in fb.tolist()] for found in map(self.paths, fa.tolist())], dtype=float)[ia][:, ib]
-        cost, second, before, road = np.moveaxis(table, 2, 0)
+        ends = b["from_node"].tolist()
+        cost, second, before, road = np.array([[found.get(d, none) for d in ends] for found in map(self.paths, a["from_node"].tolist())], dtype=float).transpose(2, 0, 1)
         with np.errstate(invalid="ignore", divide="ignore"):
             on = (cost > 0) & (second == a["to_node"][:, None]) & (before != b["to_node"])
             same = a["link"][:, None] == b["link"]
