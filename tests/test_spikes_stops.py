@@ -1,7 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from trackloom.functions import paths
 from trackloom.functions.forest import Forests
+from trackloom.operators import spikes, stops, tracks
 from trackloom.operators.spikes import false_readings, score_readings
 from trackloom.operators.stops import stop_pings, stops_and_trips
 
@@ -185,3 +190,45 @@ def test_longest_neighbourhood_is_that_of_all_events():
         last = [k + min(np.flatnonzero(away[k, k:]), default=n - k) - 1 for k in range(n)]
         a, z = paths._densest(s, x, y, 15.0, 100)
         assert s[z] - s[a] == max(s[j] - s[i] for i, j in zip(first, last))
+
+
+def day_batch(days, events, agents):
+    """One Arrow batch of packed days with their agents' habits; every 50th event is far off."""
+    rng = np.random.default_rng(5)
+    t = (T0 + np.sort(rng.choice(86_400, (days, events)), axis=1)).ravel()
+    lng, lat = (c + np.cumsum(rng.normal(0, 0.002, (days, events)), axis=1).ravel() for c in (98.4, 36.3))
+    lng[::50] += 0.5
+    lists = lambda v, n: pa.ListArray.from_arrays(pa.array(np.arange(days + 1, dtype=np.int32) * n), pa.array(v))
+    cols = {"agent_id": pa.array([f"a{k % agents}" for k in range(days)]), "day": pa.array(np.full(days, T0 // 86_400))}
+    cols |= {"s": lists(t, events), "lng": lists(lng, events), "lat": lists(lat, events), "ping_ids": lists(np.arange(days * events), events)}
+    cols |= {c: pa.array(np.full(days, v)) for c, v in (("top", 20.0), ("jitter", 2.0), ("lines", 0.01), ("readings", 1000))}
+    return pa.RecordBatch.from_pydict(cols | {"usual": lists(np.ones(days * 24, np.float32), 24)})
+
+
+@pytest.mark.parametrize("kernel", [spikes._flags, tracks._profile], ids=["flags", "profile"])
+def test_memory_does_not_grow_with_the_days_of_a_batch(kernel):
+    b = day_batch(1500, 200, 1500)
+    tracemalloc.start()
+    try:
+        for _ in tracks.over_batches(kernel)(iter([b])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 50 << 20
+
+
+def test_pieces_of_a_batch_are_the_whole_batch(monkeypatch):
+    b = day_batch(60, 100, 7)
+    whole = {f: f(b) for f in (spikes._flags, stops._stopped(300, 60.0), stops._parts(300, 60.0), tracks._profile)}
+    monkeypatch.setattr(tracks, "PIECE_BYTES", b.nbytes // 9)
+    empty, lone = b.slice(0, 0), b.slice(3, 1)
+    assert [p.num_rows for x in (empty, lone) for p in tracks._pieces(x)] == [1]
+    for f, want in whole.items():
+        got = list(tracks.over_batches(f)(iter([b])))
+        assert len(got) > 9
+        if f is tracks._profile:
+            total = lambda t: {(r["agent_id"], r["k"]): r["n_sum"] for r in t.group_by(["agent_id", "k"]).aggregate([("n", "sum")]).to_pylist()}
+            assert total(pa.Table.from_batches(got)) == pytest.approx(total(pa.Table.from_batches([want])))
+        else:
+            assert pa.Table.from_batches(got).to_pylist() == pa.Table.from_batches([want]).to_pylist()

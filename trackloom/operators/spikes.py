@@ -117,7 +117,7 @@ def score_readings(raw: DataFrame) -> DataFrame:
     # about POOL readings a source, however many it has
     pools = flagged.where(F.length("pooled") > 0).groupBy("agent_id").agg(F.sort_array(F.collect_list("pooled")).alias("pools"))
     forests = staged(habits.select("agent_id").join(pools, "agent_id", "left").select("agent_id", F.coalesce("pools", F.array().cast("array<binary>")).alias("pools")).mapInArrow(over_batches(_forests), "agent_id string, forest binary"))
-    return cell_join(flagged, forests, ["agent_id"]).mapInArrow(over_batches(_scores), SCORED)
+    return cell_join(flagged.drop("pooled"), forests, ["agent_id"]).mapInArrow(over_batches(_scores), SCORED)
 
 
 def false_readings(raw: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from trackloom.plans.stage import staged
 
 #: Seconds before and behind a day that its kernels see as well.
 HALO_S = 7_200
+#: Bytes of a batch that a kernel sees at once; its arrays take many times as much.
+PIECE_BYTES = 2 << 20
 
 
 class Days:
@@ -54,11 +56,28 @@ class Days:
         return paths.Habits(*(b.column(c).to_numpy(zero_copy_only=False).astype(float)[self.pack[events]] for c in ("top", "jitter", "lines")))
 
 
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch, in order, halved until a piece has PIECE_BYTES or is a single row."""
+    if b.num_rows > 1 and b.nbytes > PIECE_BYTES:
+        half = b.num_rows // 2
+        yield from _pieces(b.slice(0, half))
+        yield from _pieces(b.slice(half))
+    elif b.num_rows:
+        yield b
+
+
 def over_batches(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` over the pieces of all batches.
+
+    ``f`` must treat rows apart, or give what is summed later.  Arrow batches are
+    bounded by rows, and a row is a whole day; in pieces a worker's memory doesn't
+    grow with the days in a batch or with their events.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            for piece in _pieces(b):
+                yield f(piece)
 
     return run
 
