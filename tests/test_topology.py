@@ -159,3 +159,29 @@ def test_near_groups_against_pairs(spark):
     loops = df.select(F.col("id").alias("a"), F.col("id").alias("b"))
     want = rows(network.components(network.near_pairs(df, 4.0).select("a", "b").unionByName(loops)))
     assert rows(network.near_groups(df, 4.0)) == want
+
+
+def test_lines_are_spread_along_their_course(spark):
+    rng = np.random.default_rng(1)
+    ends = rng.uniform(0, 300, (40, 4))
+    ends[0], ends[1], ends[2] = (0, 0, 300, 300), (90, 0, 90, 300), (60, 30, 60, 30)
+    l = spark.createDataFrame([(i, [(float(a), float(b)), (float(c), float(d))]) for i, (a, b, c, d) in enumerate(ends)], "link_id bigint, pts array<struct<x: double, y: double>>")
+    xy = rng.uniform(-5, 305, (400, 2))
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "point_id bigint, x double, y double")
+    a, u = ends[:, :2], ends[:, 2:] - ends[:, :2]
+    n = (u * u).sum(axis=1)
+    f = np.clip(((xy[:, None] - a) * u).sum(axis=2) / np.where(n > 0, n, 1), 0, 1)
+    d = np.hypot(*(a + f[..., None] * u - xy[:, None]).transpose(2, 0, 1))
+    assert rows(lines.nearest_on_lines(p, l, 3.0).select("point_id", "link_id")) == sorted(((int(i), int(k)) for i, k in zip(*np.nonzero(d <= 3))), key=repr)
+    # a diagonal of 424 m goes through some 100 columns of 3 m, not over their square
+    assert network.along_cells(network.segments(l.where("link_id = 0")), 3.0, 3.0).count() < 1000
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    from trackloom.plans.joins import cell_join
+
+    left = spark.range(1000).select(F.col("id").alias("k"))
+    right = spark.range(2).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"), "id")
+    assert cell_join(left, right, ["k"]).count() == 200
+    over = cell_join(left, right, ["k"], 150)
+    assert over.count() == 200 and "Broadcast" not in over._jdf.queryExecution().executedPlan().toString()

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.network import segments
+from trackloom.operators.network import along_cells, segments
 from trackloom.plans.joins import cell_join
 
 POINTS = "array<struct<x: double, y: double>>"
@@ -51,13 +51,12 @@ def nearest_on_lines(points: DataFrame, lines: DataFrame, radius: float, point:
     """point, key, dist_m, along_m, px, py: every line within ``radius`` of a point, by its nearest place, of equal ones the first.
 
     ``points`` has point, x and y, ``lines`` key and pts.  Segments are spread over
-    the cells their widened box touches, a point has one cell, the exact distance decides.
+    the cells along them, a point has one cell, the exact distance decides.
     """
     cell = lambda c: F.floor(c / radius).cast("bigint")
     s = segments(lines.select(F.col(key).alias("link_id"), "pts")).withColumnRenamed("link_id", key)
     s = s.select(key, "topo_seq", "x1", "y1", "x2", "y2", "seg_length", (F.col("seg_acc") - F.col("seg_length")).alias("before"))
-    over = lambda a, b: F.explode(F.sequence(cell(F.least(F.col(a), F.col(b)) - radius), cell(F.greatest(F.col(a), F.col(b)) + radius)))
-    s = s.withColumn("cx", over("x1", "x2")).withColumn("cy", over("y1", "y2"))
+    s = along_cells(s, radius, radius)
     p = points.where("x is not null and y is not null").select(point, F.col("x").alias("_x"), F.col("y").alias("_y"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
     ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     f = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("_x") - F.col("x1")) * ux + (F.col("_y") - F.col("y1")) * uy, ux * ux + uy * uy))), F.lit(0.0))
@@ -86,8 +85,7 @@ def coverage(lines: DataFrame, others: DataFrame, buffer_m: float, every_m: floa
     p = sampled(lines, every_m, key)
     s = segments(others.select(F.col("other").alias("link_id"), "pts")).withColumnRenamed("link_id", "other").where("seg_length > 0")
     cell = lambda c: F.floor(c / buffer_m).cast("bigint")
-    over = lambda a, b: F.explode(F.sequence(cell(F.least(F.col(a), F.col(b)) - buffer_m), cell(F.greatest(F.col(a), F.col(b)) + buffer_m)))
-    s = s.select("other", "x1", "y1", "x2", "y2", "seg_length").withColumn("cx", over("x1", "x2")).withColumn("cy", over("y1", "y2"))
+    s = along_cells(s.select("other", "x1", "y1", "x2", "y2", "seg_length"), buffer_m, buffer_m)
     ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * ux + (F.col("y") - F.col("y1")) * uy) / (ux * ux + uy * uy)))
     j = cell_join(p.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y"))), s, ["cx", "cy"]).withColumn("_f", f)

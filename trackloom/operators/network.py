@@ -118,6 +118,25 @@ def segments(links: DataFrame, geometry: str = "pts") -> DataFrame:
     return s.withColumn("seg_acc", F.sum("seg_length").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("seg_count", F.count(F.lit(1)).over(Window.partitionBy("link_id")))
 
 
+def along_cells(s: DataFrame, size: float, margin: float) -> DataFrame:
+    """Adds cx, cy: the square cells of ``size`` that hold all points within ``margin`` of the segment x1, y1, x2, y2.
+
+    In each column of cells only the part of the segment counts that points of
+    that column can lie near to, so cells grow with a segment's length and not
+    with the area of its box.  A millimetre more covers rounding.
+    """
+    cell = lambda c: F.floor(c / size).cast("bigint")
+    wide = margin + 1e-3
+    ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    s = s.withColumn("cx", F.explode(F.sequence(cell(F.least("x1", "x2") - wide), cell(F.greatest("x1", "x2") + wide))))
+    at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x - F.col("x1"), ux)))
+    upright = F.col("x1") == F.col("x2")
+    a, b = at(F.col("cx") * size - wide), at((F.col("cx") + 1) * size + wide)
+    ya = F.when(upright, F.col("y1")).otherwise(F.col("y1") + a * uy)
+    yb = F.when(upright, F.col("y2")).otherwise(F.col("y1") + b * uy)
+    return s.withColumn("cy", F.explode(F.sequence(cell(F.least(ya, yb) - wide), cell(F.greatest(ya, yb) + wide))))
+
+
 def weighted_speed(rows: DataFrame, keys: list[str], speed: str = "speed", length: str = "length") -> DataFrame:
     """keys, mean_speed: speeds weighted by length, null speeds left out; null if nothing is left."""
     v, m = F.col(speed).cast("double"), F.when(F.col(speed).isNotNull(), F.col(length).cast("double"))

@@ -47,7 +47,8 @@ def cell_join(left: DataFrame, right: DataFrame, keys: list[str], broadcast_rows
     """Inner equi-join of many rows with few rows a key; both sides should be cheap to read twice.
 
     A right side within ``broadcast_rows`` rows and BROADCAST_BYTES is broadcast.
-    Beyond that both sides are shuffled.  Keys with over HOT_ROWS left rows, found
+    Beyond that both sides are shuffled, whatever size Spark takes it for: it
+    doesn't count the rows an explode makes.  Keys with over HOT_ROWS left rows, found
     by one partial aggregation, are spread over up to SALTS salts and their right
     rows repeated as often, so one cell can't fill one task; the table of hot
     keys has at most rows / HOT_ROWS rows and is joined, not collected.
@@ -57,7 +58,7 @@ def cell_join(left: DataFrame, right: DataFrame, keys: list[str], broadcast_rows
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*keys, F.least(F.ceil(F.col("_n") / HOT_ROWS), F.lit(SALTS)).cast("int").alias("_salts"))
     hot = staged(hot)
     if not hot.limit(1).count():
-        return left.join(right, keys)
+        return left.join(right.hint("merge"), keys)
     salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"]).drop("_salt")
