@@ -116,3 +116,48 @@ def test_long_sequences_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert small == rows(matching.match(p, l, matching.Model(buffer_m=90.0, top_k=6, cutoff_m=500.0))) and math.isfinite(small[0][5])
+
+
+def test_candidates_never_become_rows(spark, monkeypatch):
+    staged, held = matching.staged, []
+
+    def counted(df):
+        held.append((t := staged(df)).count())
+        return t
+
+    monkeypatch.setattr(matching, "staged", counted)
+    l = two_way_lattice(spark).where("from_node <= 300 and to_node <= 300")
+    m, p = matching.Model(buffer_m=90.0, top_k=6, cutoff_m=500.0), drives(spark, 4, 400, 2)
+    got = rows(matching.match(p, l, m))
+    assert len(got) > 200 and held == [l.count()]  # the links alone are staged, no candidates
+    steps = rows(matching.gaps(p, l, m))
+    monkeypatch.setattr(matching, "SEGMENTS", 0)
+    assert rows(matching.match(p, l, m)) == got and rows(matching.gaps(p, l, m)) == steps and steps
+
+
+def test_sequences_matched_in_pieces(spark, monkeypatch):
+    from trackloom.functions import roads
+
+    rng = np.random.default_rng(4)
+    ends = [(a, b) for r in range(8) for c in range(8) for a, b in ((r * 8 + c, r * 8 + c + 1), (r * 8 + c, r * 8 + c + 8)) if (b - a == 8 or c < 7) and b < 64]
+    ends += [(b, a) for a, b in ends]
+    f, t = np.array(ends).T
+    xy = lambda n: (n % 8 * 100.0, n // 8 * 100.0)
+    (x1, y1), (x2, y2) = xy(f), xy(t)
+    r = roads.Roads({"link": np.arange(len(f)), "part": np.zeros(len(f), int), "from_node": f, "to_node": t, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "before": np.zeros(len(f)), "length": np.full(len(f), 100.0), "heading": np.zeros(len(f))}, f)
+    m = matching.Model(buffer_m=90.0, top_k=5, cutoff_m=400.0)
+    x, y = (np.abs(np.cumsum(rng.normal(0, 40, 500))) % 900 for _ in range(2))
+    x[7] = np.nan
+
+    def run(seq, x, y):
+        return roads.Matcher(r, matching.Moves(matching.Graph(f, t, np.full(len(f), 100.0)), m).search, m).match(seq, x, y)
+
+    whole = run(np.zeros(500, int), x, y)
+    # a part of a longer table is matched as if it were alone
+    both = run(np.repeat([0, 1], 500), np.tile(x, 2), np.tile(y, 2))
+    assert all(np.array_equal(np.concatenate([whole[k], whole[k] + 500 * (k == "row")]), both[k], equal_nan=k != "valid") for k in whole)
+    for name, v in (("POINTS", 16), ("MOVES", 7), ("NEAR", 50), ("SLOTS", 300)):
+        monkeypatch.setattr(roads, name, v)
+    pieces = run(np.zeros(500, int), x, y)
+    assert all(np.array_equal(whole[k], pieces[k], equal_nan=k != "valid") for k in whole) and 300 < len(whole["row"]) < 500
+    assert not len(run(np.zeros(2, int), np.full(2, 9e6), np.full(2, np.nan))["row"])

@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import roads
 from trackloom.operators import cleaning, network
 from trackloom.operators.cleaning import by_agent, plane_distance
 from trackloom.plans.joins import cell_join, fits
@@ -22,6 +23,8 @@ from trackloom.plans.stage import staged
 
 #: Directed links up to which the graph is sent to the workers; beyond them costs are relaxed by joins.
 GRAPH_ROWS = 2_000_000
+#: Segments up to which the links are sent to the workers, too.
+SEGMENTS = 100_000
 TENTH = Decimal("0.1")
 
 
@@ -402,17 +405,21 @@ class Moves:
             # a bound on memory, not on what is found
             if self.held > 5_000_000:
                 self.known, self.held = {}, 0
-            if self.m.use_speed:
-                found = {d: (_tenth(c), p[1], p[-2], self.graph.mean_speed(p)) for d, c, p in _dijkstra(self.graph, o, self.m.cutoff_m) if d != o}
-            else:
-                found = self._ends(o)
-            for d, c in self.graph.get(o):
-                if d != o and d not in found:
-                    found[d] = (_tenth(c), d, o, self.graph.mean_speed([o, d]) if self.m.use_speed else math.nan)
-            self.known[o] = found
-            self.held += len(found)
+            self.known[o] = self.search(o)
+            self.held += len(self.known[o])
         return self.known[o]
 
+    def search(self, o: int) -> dict[int, tuple[float, int, int, float]]:
+        """``paths``, not kept."""
+        if self.m.use_speed:
+            found = {d: (_tenth(c), p[1], p[-2], self.graph.mean_speed(p)) for d, c, p in _dijkstra(self.graph, o, self.m.cutoff_m) if d != o}
+        else:
+            found = self._ends(o)
+        for d, c in self.graph.get(o):
+            if d != o and d not in found:
+                found[d] = (_tenth(c), d, o, self.graph.mean_speed([o, d]) if self.m.use_speed else math.nan)
+        return found
+
     def _ends(self, o: int) -> dict[int, tuple[float, int, int, float]]:
         """The search of ``_dijkstra``, of whose paths only the second and last but one node are kept."""
         cutoff, neighbours = self.m.cutoff_m, self.graph.get
@@ -517,15 +524,97 @@ def decode_shared(c: DataFrame, points: DataFrame, edges: DataFrame, m: Model =
     return rows.repartition("agent_id").sortWithinPartitions("agent_id", "seq", "state").mapInPandas(run, f"agent_id {kind}, seq bigint, state int, route_m double, valid boolean")
 
 
+def _whole(points: DataFrame, parts: DataFrame, edges: DataFrame, m: Model, steps: bool) -> DataFrame:
+    """``match`` or, with ``steps``, ``gaps`` with segments and graph sent to the workers: a point and its match are the only rows.
+
+    Points reach a worker by agent and in order; agents are matched many at a
+    time, an agent of any length in pieces.
+    """
+    heading = F.round(F.pmod(F.degrees(F.atan2(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), F.lit(360.0)), 2)
+    big, real = ["link", "from_node", "to_node"], ["x1", "y1", "x2", "y2", "before", "length"]
+    table = parts.select(*[F.col(c).cast("bigint") for c in [*big, "part"]], *[F.col(c).cast("double") for c in real], heading.alias("heading")).toArrow()
+    graph = Graph.of(edges)
+    links = roads.Roads({c: table.column(c).to_numpy() for c in table.column_names}, np.concatenate([graph.f, graph.t]))
+    shared = edges.sparkSession.sparkContext.broadcast((graph, links))
+    kinds = dict(points.dtypes)
+    # the window brings agents together and in order; points that are so already aren't shuffled again
+    own = points.select("agent_id", F.col("seq").cast("bigint").alias("seq"), F.col("x_m").cast("double").alias("x_m"), F.col("y_m").cast("double").alias("y_m"), *(["t_s"] if steps else []), F.row_number().over(by_agent()).alias("_k"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, r = shared.value
+        matcher = roads.Matcher(r, Moves(graph, m).search, m)
+
+        def found(g: pd.DataFrame, agent: np.ndarray) -> pd.DataFrame:
+            got = matcher.match(agent, g["x_m"].to_numpy(), g["y_m"].to_numpy())
+            row, link = got["row"], r.seg_link[got["seg"]]
+            on = np.append(agent[row][1:] == agent[row][:-1], False) if len(row) else np.zeros(0, bool)
+            who, seq, f, t = g["agent_id"].to_numpy()[row], g["seq"].to_numpy()[row], r.from_node[link], r.to_node[link]
+            if steps:
+                i = np.flatnonzero(on)
+                i = i[~((f[i] == f[i + 1]) & (t[i] == t[i + 1])) & (t[i] != f[i + 1])]
+                s = g["t_s"].to_numpy()[row]
+                return pd.DataFrame({"agent_id": who[i], "seq": seq[i], "t_s": s[i], "to_node": t[i], "_d": f[i + 1], "t2": s[i + 1]})
+            return pd.DataFrame({"agent_id": who, "seq": seq, "link": r.link[link], "from_node": f, "to_node": t, "dist_m": got["dist"], "along_m": got["along"], "heading": r.heading[got["seg"]], "route_m": pd.Series(got["route"]).where(on), "valid": pd.Series(got["valid"], dtype=object).where(on, None)})
+
+        held: list[pd.DataFrame] = []
+        rows, wanted = 0, roads.POINTS
+        for b in chain(batches, [None]):
+            if b is not None and len(b):
+                held.append(b)
+                rows += len(b)
+            if not rows or (b is not None and rows < wanted):
+                continue
+            g = pd.concat(held, ignore_index=True)
+            who = g["agent_id"].to_numpy()
+            first = np.concatenate([[0], np.flatnonzero(who[1:] != who[:-1]) + 1, [rows]])
+            # the last agent may go on in the next batch
+            upto = len(first) - (1 if b is None else 2)
+            a = 0
+            while a < upto:
+                z = a + 1
+                while z < upto and first[z + 1] - first[a] <= 2 * roads.POINTS:
+                    z += 1
+                part = g.iloc[first[a] : first[z]].reset_index(drop=True)
+                yield found(part, np.repeat(np.arange(z - a), np.diff(first[a : z + 1])))
+                a = z
+            held = [g.iloc[first[a] :]]
+            rows = len(held[0])
+            wanted = max(roads.POINTS, 2 * rows)
+
+    agent = kinds["agent_id"]
+    out = f"agent_id {agent}, seq bigint, t_s {kinds['t_s']}, to_node bigint, _d bigint, t2 {kinds['t_s']}" if steps else f"agent_id {agent}, seq bigint, link bigint, from_node bigint, to_node bigint, dist_m double, along_m double, heading double, route_m double, valid boolean"
+    return own.mapInPandas(run, out)
+
+
+def _sent(parts: DataFrame, edges: DataFrame, m: Model) -> bool:
+    """Whether links and graph are of a size to be sent to the workers; speeds are only looked at with the candidates in rows."""
+    return not m.use_speed and fits(edges, GRAPH_ROWS) and fits(parts, SEGMENTS)
+
+
+def gaps(points: DataFrame, directed: DataFrame, m: Model = Model()) -> DataFrame:
+    """agent_id, seq, t_s, to_node, _d, t2: the steps of ``match`` between links that don't touch, from to_node to _d."""
+    parts, edges = staged(link_parts(directed)), link_edges(directed)
+    if _sent(parts, edges, m):
+        return _whole(points, parts, edges, m, True)
+    points = staged(points)
+    return open_steps(match(points, directed, m), points)
+
+
 def match(points: DataFrame, directed: DataFrame, m: Model = Model(), nodes: bool = False) -> DataFrame:
     """agent_id, seq, link, from_node, to_node, dist_m, along_m, heading, route_m, valid, loc_type of every matchable point.
 
     route_m and valid are those of the way to the agent's next matched point, null
     at its last one.  With ``nodes`` the points' node_id restricts their
-    candidates.  On networks of up to GRAPH_ROWS directed links sequences are
-    decoded on a shared graph, beyond that paths and transitions are joined; both
-    ways give the same.
+    candidates.  On networks of up to SEGMENTS segments candidates are sought where
+    the sequences are decoded.  Beyond that they are joined; up to GRAPH_ROWS
+    directed links sequences are then decoded on a shared graph, beyond that paths
+    and transitions are joined.  All ways give the same.
     """
+    if not nodes:
+        parts, edges = staged(link_parts(directed)), link_edges(directed)
+        if _sent(parts, edges, m):
+            return _whole(points, parts, edges, m, False).withColumn("loc_type", F.lit("s"))
+        points = staged(points)
     c = candidates(points, directed, m)
     if nodes:
         c = restricted(c, points, directed)
@@ -723,27 +812,38 @@ def k_shortest_paths(edges: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return p.repartition("o", "d").mapInPandas(run, "o bigint, d bigint, rank int, cost double, path array<bigint>")
 
 
+def open_steps(matched: DataFrame, points: DataFrame) -> DataFrame:
+    """``gaps`` of a table of matched points."""
+    w = by_agent()
+    t = points.select("agent_id", "seq", "t_s")
+    nxt = F.struct("seq", "from_node", "to_node", "t_s")
+    pairs = matched.join(t, ["agent_id", "seq"]).withColumn("n", F.lead(nxt).over(w)).where("n is not null and not (from_node = n.from_node and to_node = n.to_node) and to_node != n.from_node")
+    return pairs.select("agent_id", "seq", "t_s", "to_node", F.col("n.from_node").alias("_d"), F.col("n.t_s").alias("t2"))
+
+
 def completed(matched: DataFrame, points: DataFrame, paths: DataFrame, directed: DataFrame, top_kmh: float = 200.0) -> DataFrame:
     """Rows for the links between two matched ones that don't touch: loc_type 'c', sub_seq from 1.
 
     They lie on the cached path or, where ``paths`` has none, on the shortest one
     of any length, at their middle; times are spread evenly over them.  Paths that would need more than ``top_kmh`` aren't filled in.
     """
-    w = by_agent()
-    t = points.select("agent_id", "seq", "t_s")
-    nxt = F.struct("seq", "from_node", "to_node", "t_s")
-    pairs = matched.join(t, ["agent_id", "seq"]).withColumn("n", F.lead(nxt).over(w)).where("n is not null and not (from_node = n.from_node and to_node = n.to_node) and to_node != n.from_node")
+    return filled(staged(open_steps(matched, points)), paths, directed, top_kmh)
+
+
+def filled(pairs: DataFrame, paths: DataFrame, directed: DataFrame, top_kmh: float = 200.0) -> DataFrame:
+    """``completed`` from the steps of ``gaps``, which should be staged."""
     p = paths.select(F.col("o").alias("to_node"), F.col("d").alias("_d"), "cost", "path")
-    pairs = staged(pairs.withColumn("_d", F.col("n.from_node")))
-    ends = pairs.select(F.col("to_node").alias("o"), F.col("_d").alias("d")).join(paths.select("o", "d"), ["o", "d"], "left_anti")
+    ends = pairs.select(F.col("to_node").alias("o"), F.col("_d").alias("d")).distinct().join(paths.select("o", "d"), ["o", "d"], "left_anti")
     beyond = pair_paths(link_edges(directed), ends)
     p = p.unionByName(beyond.select(F.col("o").alias("to_node"), F.col("d").alias("_d"), "cost", "path"))
-    j = pairs.join(p, ["to_node", "_d"])
-    j = j.where((F.col("n.t_s") > F.col("t_s")) & (3.6 * F.col("cost") / (F.col("n.t_s") - F.col("t_s")) < top_kmh))
+    # only paths that are driven
+    p = staged(p.join(pairs.select("to_node", "_d").distinct(), ["to_node", "_d"], "left_semi"))
+    j = cell_join(pairs, p, ["to_node", "_d"])
+    j = j.where((F.col("t2") > F.col("t_s")) & (3.6 * F.col("cost") / (F.col("t2") - F.col("t_s")) < top_kmh))
     legs = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.struct(a.alias("f"), b.alias("t")))
-    j = j.select("agent_id", "seq", "t_s", F.col("n.t_s").alias("t2"), F.size("path").alias("parts"), F.posexplode(legs).alias("k", "leg"))
+    j = j.select("agent_id", "seq", "t_s", "t2", F.size("path").alias("parts"), F.posexplode(legs).alias("k", "leg"))
     j = j.select("agent_id", "seq", (F.col("k") + 1).alias("sub_seq"), F.col("leg.f").alias("from_node"), F.col("leg.t").alias("to_node"), (F.col("t_s") + (F.col("t2") - F.col("t_s")) * (F.col("k") + 1) / F.col("parts")).alias("t_s"))
-    return j.join(_middles(directed), ["from_node", "to_node"]).withColumn("loc_type", F.lit("c"))
+    return cell_join(j, staged(_middles(directed)), ["from_node", "to_node"]).withColumn("loc_type", F.lit("c"))
 
 
 def link_runs(matched: DataFrame, keep: str = "first") -> DataFrame:

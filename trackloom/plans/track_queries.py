@@ -316,8 +316,10 @@ def _road_points(spark: SparkSession, sf: str) -> DataFrame:
     """agent_id (agent and first second of the session), seq, t_s, x_m, y_m of the located events on the globe."""
     e = session_events(spark.read.parquet(f"{sf}/example_sparse_gps.parquet")).where("lng between -180 and 180 and lat between -80 and 84")
     x, y = projection.to_utm(F.col("lng"), F.col("lat"), _zone(spark, sf))
-    seq = F.row_number().over(Window.partitionBy("agent_id", "start_s").orderBy("s")) - 1
-    return staged(e.select(F.concat_ws("/", "agent_id", "start_s").alias("agent_id"), seq.cast("bigint").alias("seq"), F.col("s").alias("t_s"), x.alias("x_m"), y.alias("y_m")))
+    e = e.select(F.concat_ws("/", "agent_id", "start_s").alias("agent_id"), F.col("s").alias("t_s"), x.alias("x_m"), y.alias("y_m"))
+    # shuffled by what sequences are matched by
+    seq = F.row_number().over(Window.partitionBy("agent_id").orderBy("t_s")) - 1
+    return e.withColumn("seq", seq.cast("bigint")).select("agent_id", "seq", "t_s", "x_m", "y_m")
 
 
 def _by_session(matched: DataFrame) -> DataFrame:
