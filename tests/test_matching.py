@@ -161,3 +161,18 @@ def test_sequences_matched_in_pieces(spark, monkeypatch):
     pieces = run(np.zeros(500, int), x, y)
     assert all(np.array_equal(whole[k], pieces[k], equal_nan=k != "valid") for k in whole) and 300 < len(whole["row"]) < 500
     assert not len(run(np.zeros(2, int), np.full(2, 9e6), np.full(2, np.nan))["row"])
+
+
+def test_only_wanted_paths_are_made(spark):
+    rng = np.random.default_rng(6)
+    f, t = rng.integers(0, 30, (2, 120))
+    g = matching.Graph(f, t, rng.integers(1, 5, 120).astype(float))
+    for o in range(30):
+        all_ = {d: (d, c, p) for d, c, p in matching._dijkstra(g, o, math.inf) if d != o}
+        ends = {d for d in all_ if d % 3 == 0}
+        assert sorted(matching._paths_to(g, o, ends, math.inf)) == sorted(all_[d] for d in ends)
+        assert sorted(matching._paths_to(g, o, ends, 4.0)) == sorted(all_[d] for d in ends if all_[d][1] <= 4)
+    # of a pair too long for its time no path is sought
+    df = spark.createDataFrame([(1, 2, 5.0), (2, 3, 5.0)], EDGES)
+    pairs = spark.createDataFrame([(1, 3, 9.0), (2, 3, 9.0)], "o bigint, d bigint, most double")
+    assert rows(matching.pair_paths(df, pairs)) == [(2, 3, 5.0, [2, 3])]

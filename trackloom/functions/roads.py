@@ -148,7 +148,7 @@ class Paths:
     def _begin(self) -> None:
         n = len(self.r.ids)
         # a row has a slot for 'none' at either end
-        self.lo, self.wide, self.base = np.zeros(n, np.int32), np.full(n, -1, np.int32), np.zeros(n, np.int32)
+        self.lo, self.wide, self.base = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64)
         self.cost, self.second, self.last, self.used = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
 
     def ensure(self, sources: np.ndarray) -> None:
@@ -178,25 +178,26 @@ class Paths:
             self.used += wide + 1
 
     def moves(self, la: np.ndarray, lb: np.ndarray, ra: np.ndarray, rb: np.ndarray, gps: np.ndarray, not_connected: float, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log probability, route, valid) from each of the links la[k] to each of lb[k]; routes count only where they are valid."""
+        """(log probability, route, valid) by k, end and start, from each of the links la[k] to each of lb[k]; routes count only where they are valid."""
         r = self.r
-        fa, ta, fb, tb = r.f[la][:, :, None], r.t[la][:, :, None], r.f[lb][:, None, :], r.t[lb][:, None, :]
-        self.ensure(fa[la[:, :, None] >= 0])
-        at = fb - self.lo[fa]
+        fa, ta, fb, tb = r.f[la], r.t[la], r.f[lb][:, :, None], r.t[lb][:, :, None]
+        self.ensure(fa[la >= 0])
+        # within the row of its source, or one of the slots for 'none'
+        at = fb - self.lo[fa][:, None, :]
         np.maximum(at, 0, out=at)
-        np.minimum(at, np.maximum(self.wide[fa], 0), out=at)
-        at += self.base[fa]
-        valid = self.second[at] == ta
-        valid &= self.last[at] != tb
-        valid |= la[:, :, None] == lb[:, None, :]
-        valid |= (fa == tb) & (ta == fb)
-        route = self.cost[at]
-        route -= ra[:, :, None]
-        route += rb[:, None, :]
+        np.minimum(at, np.maximum(self.wide[fa], 0)[:, None, :], out=at)
+        at += self.base[fa][:, None, :]
+        valid = self.second.take(at, mode="clip") == ta[:, None, :]
+        valid &= self.last.take(at, mode="clip") != tb
+        valid |= la[:, None, :] == lb[:, :, None]
+        valid |= (fa[:, None, :] == tb) & (ta[:, None, :] == fb)
+        route = self.cost.take(at, mode="clip")
+        route -= ra[:, None, :]
+        route += rb[:, :, None]
         np.abs(route, out=route)
         log_p = gps[:, None, None] - route
         np.abs(log_p, out=log_p)
-        log_p[~valid] = not_connected
+        np.copyto(log_p, not_connected, where=~valid)
         log_p *= scale
         return log_p, route, valid
 
@@ -249,10 +250,10 @@ class Matcher:
                 rows = b[i:j]
                 s = seq[rows]
                 part = log_p[i:j]
-                part += z[s][:, :, None]
-                best = part.argmax(axis=1)
+                part += z[s][:, None, :]
+                best = part.argmax(axis=2)
                 back[rows] = best
-                z[s] = np.take_along_axis(part, best[:, None, :], axis=1)[:, 0] + e[rows]
+                z[s] = np.take_along_axis(part, best[:, :, None], axis=2)[:, :, 0] + e[rows]
         return back
 
     def _moves(self, c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, ka: np.ndarray | None = None, kb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -229,28 +229,51 @@ def with_long_links(paths: DataFrame, edges: DataFrame, sources: DataFrame | Non
     return paths.unionByName(e.join(paths.select("o", "d"), ["o", "d"], "left_anti"))
 
 
+def _paths_to(neighbours: Graph, source: int, ends: set[int], cutoff: float) -> Iterator[tuple[int, float, list[int]]]:
+    """(node, cost, path) of ``_dijkstra`` for the nodes in ``ends`` alone; the search stops when none of them is left."""
+    left = set(ends)
+    done: dict[int, int] = {}
+    best = {source: (0.0, 0, -1)}
+    heap = [(0.0, 0, source, -1)]
+    while heap and left:
+        cost, links, node, before = heapq.heappop(heap)
+        if node in done:
+            continue
+        done[node] = before
+        if node in left:
+            left.discard(node)
+            path = [node]
+            while path[-1] != source:
+                path.append(done[path[-1]])
+            yield node, cost, path[::-1]
+        for to, length in neighbours.get(node, ()):
+            c = cost + length
+            if c <= cutoff and to not in done and (to not in best or (c, links + 1, node) < best[to]):
+                best[to] = (c, links + 1, node)
+                heapq.heappush(heap, (c, links + 1, to, node))
+
+
 def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """o, d, cost, path of the given pairs, however long; pairs that aren't connected have no row."""
-    pairs = staged(pairs.select(F.col("o").cast("bigint"), F.col("d").cast("bigint")).where("o != d").distinct())
+    """o, d, cost, path of the given pairs, however long; pairs that aren't connected have no row.
+
+    A column most of ``pairs`` tells up to which cost a pair's path is wanted;
+    one that costs more may be left out.
+    """
+    most = F.col("most").cast("double") if "most" in pairs.columns else F.lit(math.inf)
+    pairs = staged(pairs.select(F.col("o").cast("bigint"), F.col("d").cast("bigint"), most.alias("most")).where("o != d").groupBy("o", "d").agg(F.max("most").alias("most")))
     if not fits(edges, GRAPH_ROWS):
         return relaxed_paths(edges, math.inf, pairs).join(pairs, ["o", "d"], "left_semi")
-    shared = edges.sparkSession.sparkContext.broadcast(Graph.of(edges))
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast(Graph.of(edges))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for o, ends in zip(b["o"], b["ends"]):
-                left = set(ends)
-                for d, c, p in _dijkstra(shared.value, o, math.inf):
-                    if d in left:
-                        rows.append((o, d, c, p))
-                        left.discard(d)
-                    if not left:
-                        break
+            rows = [(o, d, c, p) for o, ends, most in zip(b["o"], b["ends"], b["most"]) for d, c, p in _paths_to(shared.value, o, set(ends), most)]
             yield pd.DataFrame(rows, columns=["o", "d", "cost", "path"])
 
-    # a source has at most as many ends as there are nodes
-    return pairs.groupBy("o").agg(F.collect_set("d").alias("ends")).mapInPandas(run, "o bigint, d bigint, cost double, path array<bigint>")
+    # few rows with much work: a number keeps them apart; a source has at most as many ends as there are nodes
+    apart = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o")
+    return apart.groupBy("o").agg(F.collect_set("d").alias("ends"), F.max("most").alias("most")).mapInPandas(run, "o bigint, d bigint, cost double, path array<bigint>")
 
 
 def link_edges(directed: DataFrame) -> DataFrame:
@@ -833,7 +856,9 @@ def completed(matched: DataFrame, points: DataFrame, paths: DataFrame, directed:
 def filled(pairs: DataFrame, paths: DataFrame, directed: DataFrame, top_kmh: float = 200.0) -> DataFrame:
     """``completed`` from the steps of ``gaps``, which should be staged."""
     p = paths.select(F.col("o").alias("to_node"), F.col("d").alias("_d"), "cost", "path")
-    ends = pairs.select(F.col("to_node").alias("o"), F.col("_d").alias("d")).distinct().join(paths.select("o", "d"), ["o", "d"], "left_anti")
+    # a longer path would be too fast; a little more covers rounding
+    most = (F.col("t2") - F.col("t_s")) * (top_kmh / 3.6 * (1 + 1e-9)) + 1e-6
+    ends = pairs.where("t2 > t_s").select(F.col("to_node").alias("o"), F.col("_d").alias("d"), most.alias("most")).groupBy("o", "d").agg(F.max("most").alias("most")).join(paths.select("o", "d"), ["o", "d"], "left_anti")
     beyond = pair_paths(link_edges(directed), ends)
     p = p.unionByName(beyond.select(F.col("o").alias("to_node"), F.col("d").alias("_d"), "cost", "path"))
     # only paths that are driven

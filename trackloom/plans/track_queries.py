@@ -341,9 +341,9 @@ def match_roads(spark, sf):
 @query()
 def match_roads_completed(spark, sf):
     p, l = _road_points(spark, sf), _roads(spark, sf)
-    m = staged(matching.match(p, l))
-    paths = staged(matching.bounded_paths(matching.link_edges(l), matching.Model().cutoff_m, m.select(F.col("to_node").alias("o"))))
-    return _by_session(matching.completed(m, p, paths, l).select("agent_id", "seq", "sub_seq", "link", "from_node", "to_node", "t_s", "x_m", "y_m", "along_m"))
+    g = staged(matching.gaps(p, l))
+    paths = staged(matching.bounded_paths(matching.link_edges(l), matching.Model().cutoff_m, g.select(F.col("to_node").alias("o"))))
+    return _by_session(matching.filled(g, paths, l).select("agent_id", "seq", "sub_seq", "link", "from_node", "to_node", "t_s", "x_m", "y_m", "along_m"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM link_layer WHERE from_node IS NOT NULL AND to_node IS NOT NULL UNION SELECT to_node, from_node FROM link_layer WHERE from_node IS NOT NULL AND to_node IS NOT NULL),
